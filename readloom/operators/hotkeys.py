@@ -122,12 +122,9 @@ def tree_aggregate(
     )
 
 
-def row_total(df: DataFrame) -> DataFrame:
-    """One row with the number of rows, nulls included."""
-    return df.groupBy().agg(F.count(F.lit(1)).alias("total"))
-
-
 def hot_keys(df: DataFrame, keys: dict[str, "F.Column"], value: "F.Column", share: float, **options) -> DataFrame:
-    """The keys that hold at least `share` of all rows, from the tree aggregation; see `tree_aggregate`."""
-    per_key = tree_aggregate(df, keys, value, **options)
-    return per_key.crossJoin(F.broadcast(row_total(df))).where(F.col("n_rows") >= F.col("total") * F.lit(share)).drop("total")
+    """The keys that hold at least `share` of all rows, from the tree aggregation; see `tree_aggregate`.
+
+    The number of all rows, nulls included, is counted first.
+    """
+    return tree_aggregate(df, keys, value, **options).where(F.col("n_rows") >= F.lit(df.count() * share))
