@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 #: Lines parsed at once on the fast path; a failing block is bisected.
 BLOCK_LINES = 512
-#: Blocks of this size or less, once they fail, go line by line to the strict diagnosis.
-STRICT_LINES = 1
 
 #: The twelve columns of a BED line, in order.
 COLUMNS = (
@@ -93,60 +91,72 @@ def diagnose(line: str | None) -> tuple[str, str | None, list]:
     return "entry", None, row
 
 
-def _integers(cells: pa.Array, blank: bool) -> pa.Array:
-    """Text to 32-bit integers, at once; raises ArrowInvalid if any cell isn't one. blank: '' and '.' are null."""
-    if blank:
-        cells = pc.if_else(pc.is_in(cells, pa.array(["", "."])), None, cells)
-    whole = pc.all(pc.match_substring_regex(cells, "^[+-]?[0-9]+$"), min_count=0).as_py()
-    if not whole:
-        raise pa.ArrowInvalid("not digits")
-    return pc.cast(pc.utf8_ltrim(cells, "+"), pa.int32())
+class Cells:
+    """A batch of lines cut into cells at once, of which blocks of lines can be parsed.
 
+    A line is plain if it has no header mark, no separator within quotes and 3 to 12 columns; the numbers of all
+    plain lines stand in one array, in order, so that a block's numbers are one slice of it.
+    """
+
+    def __init__(self, lines: pa.Array):
+        n = len(lines)
+        # Header lines, a separator within quotes, or an odd number of quotes: left to the strict path.
+        odd = pc.match_substring_regex(lines, r'^(#|browser|track)|"[^"]*[\t ][^"]*"|^[^"]*("[^"]*"[^"]*)*"[^"]*$')
+        cells = pc.split_pattern(pc.replace_substring_regex(lines, " +", "\t"), "\t")
+        width = pc.fill_null(pc.list_value_length(cells), 0).to_numpy(zero_copy_only=False)
+        self.plain = ~pc.fill_null(odd, True).to_numpy(zero_copy_only=False) & (width >= 3) & (width <= len(COLUMNS))
+        self.width, self.first = width, np.concatenate(([0], np.cumsum(width)[:-1])).astype("int64")
+        self.flat = cells.flatten()
+        # Rows of numbers: which cells of each plain line must be one, line by line.
+        column = np.array(NUMBERS)
+        there = self.plain[:, None] & (column[None, :] < width[:, None])
+        at = (self.first[:, None] + column[None, :])[there]
+        text = self.flat.take(pa.array(at))
+        blank = pc.is_in(text, pa.array(["", "."])).to_numpy(zero_copy_only=False) & (np.broadcast_to(column, there.shape)[there] == 4)
+        there[there] = ~blank
+        text = text.filter(pa.array(~blank))
+        # One sign goes before the cast, which knows no '+' and would take hexadecimal numbers.
+        self.numbers = pc.replace_substring_regex(pc.replace_substring_regex(text, r"^\+([0-9])", r"\1"), r"^-?0[xX]", "!")
+        self.upto = np.concatenate(([0], np.cumsum(there.sum(1))))
+        self.there, self.n = there, n
+
+    def parse(self, a: int, b: int) -> pa.Array:
+        """The numbers of lines a to b as 32-bit integers; raises ArrowInvalid if any line is no plain entry."""
+        if not self.plain[a:b].all():
+            raise pa.ArrowInvalid("not plain")
+        return self.numbers.slice(self.upto[a], self.upto[b] - self.upto[a]).cast(pa.int32())
+
+    def columns(self, rows: np.ndarray, values: np.ndarray) -> list[pa.Array]:
+        """The twelve columns of parsed lines; `values`: their numbers, in order."""
+        numbers = np.zeros((len(rows), len(NUMBERS)), "int32")
+        numbers[self.there[rows]] = values
+        out = []
+        for i in range(len(COLUMNS)):
+            if i in NUMBERS:
+                k = NUMBERS.index(i)
+                out.append(pa.array(numbers[:, k], mask=~self.there[rows, k]))
+            else:
+                have = self.width[rows] > i
+                out.append(self.flat.take(pa.array(np.where(have, self.first[rows] + i, 0), mask=~have)))
+        return out
 
-def parse_block(lines: pa.Array) -> list[pa.Array]:
-    """All lines of a block as entry columns, on whole arrays; raises ArrowInvalid if any line is no plain entry.
 
-    Plain: tab- or space-separated, 3 to 12 columns, valid numbers; quoted cells only without separators inside.
-    """
-    n = len(lines)
-    if lines.null_count:
-        raise pa.ArrowInvalid("null line")
-    if pc.any(pc.match_substring_regex(lines, r'^(#|browser|track)|"[^"]*[\t ][^"]*"|^[^"]*("[^"]*"[^"]*)*"[^"]*$')).as_py():
-        # A header line, a separator within quotes, or an odd number of quotes: left to the strict path.
-        raise pa.ArrowInvalid("not plain")
-    if pc.any(pc.match_substring(lines, " ")).as_py():
-        lines = pc.replace_substring_regex(lines, " +", "\t")
-    cells = pc.split_pattern(lines, "\t")
-    width = pc.list_value_length(cells).to_numpy()
-    if width.min() < 3 or width.max() > len(COLUMNS):
-        raise pa.ArrowInvalid("columns")
-    flat, first = cells.flatten(), np.concatenate(([0], np.cumsum(width)[:-1]))
-    out = []
-    for i in range(len(COLUMNS)):
-        have = width > i
-        if not have.any():
-            out.append(pa.nulls(n, pa.int32() if i in NUMBERS else pa.string()))
-            continue
-        at = pa.array(np.where(have, first + i, 0), mask=~have)
-        column = flat.take(at)
-        out.append(_integers(column, i == 4) if i in NUMBERS else column)
-    return out
-
-
-def _resolve(lines: pa.Array, at: np.ndarray, good: list, bad: list) -> None:
-    """Entries of parsed blocks to `good`, single lines that fail to `bad`, by bisection."""
-    stack = [(0, len(lines))]
+def resolve(cells: Cells, block: int) -> tuple[list[tuple[int, int, pa.Array]], list[int]]:
+    """(from, to, numbers) of each block that parses, and the lines that stop one, isolated by bisection."""
+    good: list[tuple[int, int, pa.Array]] = []
+    bad: list[int] = []
+    stack = [(a, min(cells.n, a + block)) for a in range(0, cells.n, block)][::-1]
     while stack:
         a, b = stack.pop()
-        part = lines.slice(a, b - a)
         try:
-            good.append((at[a:b], parse_block(part)))
+            good.append((a, b, cells.parse(a, b)))
         except pa.ArrowInvalid:
-            if b - a <= STRICT_LINES:
-                bad += [(at[i], diagnose(lines[i].as_py())) for i in range(a, b)]
+            if b - a == 1:
+                bad.append(a)
             else:
                 m = (a + b) // 2
                 stack += [(m, b), (a, m)]
+    return good, bad
 
 
 def _parse(block: int, keep: int):
@@ -160,21 +170,17 @@ def _parse(block: int, keep: int):
                 continue
             lines = b.column(keep).cast(pa.string())
             lines = pc.replace_substring_regex(lines, "\r\\z", "")
-            good: list = []
-            bad: list = []
-            for a in range(0, b.num_rows, block):
-                part = lines.slice(a, min(block, b.num_rows - a))
-                _resolve(part, np.arange(a, a + len(part)), good, bad)
-            order = np.concatenate([np.concatenate([g[0] for g in good]) if good else np.array([], "int64"), np.array([i for i, _ in bad], "int64")]).astype("int64")
-            n_good = len(order) - len(bad)
-            cols: list[pa.Array] = [
-                pa.array(["entry"] * n_good + [d[0] for _, d in bad], pa.string()),
-                pa.array([None] * n_good + [d[1] for _, d in bad], pa.string()),
-            ]
-            for i, t in enumerate(types):
-                cols.append(pa.concat_arrays([*[g[1][i].cast(t) for g in good], pa.array([d[2][i] for _, d in bad], t)]))
-            rest = [b.column(i).take(pa.array(order)) for i in range(keep)]
-            yield pa.RecordBatch.from_arrays([*rest, *cols], names=[*b.schema.names[:keep], *names])
+            cells = Cells(lines)
+            good, isolated = resolve(cells, block)
+            rows = np.concatenate([np.arange(x, y) for x, y, _ in good]) if good else np.zeros(0, "int64")
+            values = np.concatenate([v.to_numpy(zero_copy_only=False) for _, _, v in good]) if good else np.zeros(0, "int32")
+            strict = [diagnose(lines[i].as_py()) for i in isolated]
+            columns = [
+                pa.array(["entry"] * len(rows) + [d[0] for d in strict], pa.string()), pa.array([None] * len(rows) + [d[1] for d in strict], pa.string()),
+                *[pa.concat_arrays([c.cast(t), pa.array([d[2][i] for d in strict], t)]) for i, (c, t) in enumerate(zip(cells.columns(rows, values), types, strict=True))],
+            ]
+            order = pa.array(np.concatenate([rows, np.array(isolated, "int64")]))
+            yield pa.RecordBatch.from_arrays([*[b.column(i).take(order) for i in range(keep)], *columns], names=[*b.schema.names[:keep], *names])
 
     return run
 
@@ -183,8 +189,9 @@ def parse_lines(df: DataFrame, line: str, keep: list[str], *, block: int = BLOCK
     """Each line with its kind, the reason if it is bad, and its twelve typed columns if it is an entry.
 
     Columns: `keep`, then kind ('entry', 'track', 'skipped', 'bad'), reason, container_name ... block_starts.
-    Blocks of lines are parsed at once by columns; a block in which any line isn't a plain entry is halved until
-    the lines that stop it are alone, and these are diagnosed strictly, one by one. There is no shuffle, and a
+    Lines are cut into cells a batch at a time, and blocks of lines parsed at once: one cast of all their numbers.
+    A block that doesn't parse is halved until the lines that stop it are alone, and these are diagnosed
+    strictly, one by one. There is no shuffle, and a
     task holds one Arrow batch at a time.
 
     Rules: a carriage return at the end is no part of the line. Lines starting with '#' or 'browser' are
