@@ -42,7 +42,7 @@ def _col(c: Column | str) -> Column:
 def chars(c: Column | str) -> Column:
     """The characters as an array; empty for an empty string."""
     c = _col(c)
-    return F.when(F.length(c) > 0, F.split(c, "(?!^)", -1)).when(c.isNotNull(), F.array().cast("array<string>"))
+    return F.when(F.length(c) > 0, F.split(c, "")).when(c.isNotNull(), F.array().cast("array<string>"))
 
 
 def mask(code: Column) -> Column:
@@ -225,18 +225,17 @@ def merge_pair(negative: Column, up: Column, down: Column, up_qual: Column, down
     over = F.greatest(F.lit(0), F.least(un - shift, dn))
     hole = F.greatest(F.lit(0), shift - un)
 
-    def overlap(s: Column, start: Column) -> Column:
-        return chars(F.substring(s, start, over))
+    def tokens(seq: Column, qual: Column, start: Column) -> Column:
+        """The overlap's positions, each as its quality and base."""
+        return F.zip_with(chars(F.substring(qual, start, over)), chars(F.substring(seq, start, over)), lambda q, b: F.concat(q, b))
 
-    better = F.zip_with(overlap(up_qual, shift + 1), overlap(down_qual, F.lit(1)), lambda a, b: F.ascii(a) >= F.ascii(b))
+    best = F.zip_with(tokens(up, up_qual, shift + 1), tokens(down, down_qual, F.lit(1)), lambda x, y: F.when(F.ascii(x) >= F.ascii(y), x).otherwise(y))
 
-    def parts(a: Column, b: Column, fill: str) -> Column:
-        mine, other = overlap(a, shift + 1), overlap(b, F.lit(1))
-        at = F.when(over > 0, F.sequence(F.lit(1), over)).otherwise(F.array().cast("array<int>"))
-        mid = F.array_join(F.transform(at, lambda i: F.when(F.element_at(better, i), F.element_at(mine, i)).otherwise(F.element_at(other, i))), "")
+    def parts(a: Column, b: Column, fill: str, at: int) -> Column:
+        mid = F.array_join(F.transform(best, lambda t: F.substring(t, at, 1)), "")
         head = F.substring(a, F.lit(1), F.least(un, shift))
         tail = F.when(dn > over, F.substring(b, over + 1, dn)).otherwise(F.substring(a, shift + over + 1, un))
         return F.concat(head, F.when(hole > 0, F.repeat(F.lit(fill), hole)).otherwise(mid), tail)
 
-    seq, qual = parts(up, down, "N"), parts(up_qual, down_qual, "!")
+    seq, qual = parts(up, down, "N", 2), parts(up_qual, down_qual, "!", 1)
     return F.struct(F.when(negative, reverse_complement(seq)).otherwise(seq).alias("seq"), F.when(negative, F.reverse(qual)).otherwise(qual).alias("qual"))

@@ -106,7 +106,7 @@ def roman_value(c: Column | str) -> Column:
     """A Roman numeral as a number; null for anything else."""
     c = F.lower(_col(c))
     table = F.create_map(*[F.lit(x) for kv in ROMAN.items() for x in kv])
-    values = F.transform(F.split(c, "(?!^)"), lambda x: F.element_at(table, x))
+    values = F.transform(F.split(c, ""), lambda x: F.element_at(table, x))
     rest = F.concat(F.slice(values, F.lit(2), F.size(values)), F.array(F.lit(0)))
     total = F.aggregate(F.zip_with(values, rest, lambda a, b: F.when(a < b, -a).otherwise(a)), F.lit(0), lambda a, x: a + x)
     return F.when(c.rlike("^(?=.)m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"), total)

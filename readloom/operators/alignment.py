@@ -42,47 +42,56 @@ def _matrix(texts: list[str]) -> np.ndarray:
 
 
 def _fill(ref: np.ndarray, qry: np.ndarray, s: Scoring) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of the last cells and steps (1 left, 2 up, 3 diagonal) of pairs of one shape, antidiagonal by antidiagonal.
+    """Scores of the last cells, and steps (1 left, 2 up, 3 diagonal) of pairs of one shape by antidiagonal, pair and query row.
 
-    A cell's gap continues if the neighbour's own best step is that same gap. Of equal scores the step to the
-    left goes first, then up, then diagonal.
+    On antidiagonal d, row i is reference column d - i; the neighbours of a cell are rows i and i - 1 of the
+    antidiagonal before and row i - 1 of the one before that, so all arithmetic runs over whole slices. A cell's
+    gap continues if the neighbour's own best step is that same gap. Of equal scores the step to the left goes
+    first, then up, then diagonal.
     """
     b, n = ref.shape
     m = qry.shape[1]
-    score = np.zeros((b, m + 1, n + 1), "float32")
-    step = np.zeros((b, m + 1, n + 1), "uint8")
-    step[:, 0, 1:], step[:, 1:, 0] = 1, 2
-    if s.start_gaps:
-        score[:, 0, 1:] = s.gap_open - np.arange(n)
-        score[:, 1:, 0] = s.gap_open - np.arange(m)
-    for d in range(2, m + n + 1):
-        i = np.arange(max(1, d - n), min(m, d - 1) + 1)
-        j = d - i
-        up, left = step[:, i - 1, j], step[:, i, j - 1]
-        up_cost = np.where(up == 2, s.gap_extend, s.gap_open)
-        left_cost = np.where(left == 1, s.gap_extend, s.gap_open)
-        if not s.end_gaps:
-            up_cost = np.where(j == n, 0, up_cost)
-            left_cost = np.where(i == m, 0, left_cost)
-        by_up = score[:, i - 1, j] + up_cost
-        by_left = score[:, i, j - 1] + left_cost
-        same = (qry[:, i - 1] & ref[:, j - 1]) > 0
-        by_both = score[:, i - 1, j - 1] + np.where(same, s.match, s.mismatch)
-        best = np.maximum(np.maximum(by_up, by_left), by_both)
-        score[:, i, j] = best
-        step[:, i, j] = np.where(best == by_left, 1, np.where(best == by_up, 2, 3))
-    return score[:, m, n], step
-
-
-def _trace(step: np.ndarray) -> list[bytes]:
+    back = ref[:, ::-1]
+    steps = np.zeros((m + n + 1, b, m + 1), "uint8")
+    edge = (lambda k: s.gap_open - (k - 1)) if s.start_gaps else (lambda k: 0.0)
+    older, old = np.zeros((b, m + 1), "float32"), np.zeros((b, m + 1), "float32")
+    for d in range(1, m + n + 1):
+        now = np.zeros((b, m + 1), "float32")
+        step = steps[d]
+        if d <= n:
+            now[:, 0], step[:, 0] = edge(d), 1
+        if d <= m:
+            now[:, d], step[:, d] = edge(d), 2
+        lo, hi = max(1, d - n), min(m, d - 1)
+        if lo <= hi:
+            before = steps[d - 1]
+            up_cost = np.where(before[:, lo - 1 : hi] == 2, np.float32(s.gap_extend), np.float32(s.gap_open))
+            left_cost = np.where(before[:, lo : hi + 1] == 1, np.float32(s.gap_extend), np.float32(s.gap_open))
+            if not s.end_gaps:
+                if lo == d - n:
+                    up_cost[:, 0] = 0
+                if hi == m:
+                    left_cost[:, -1] = 0
+            by_up = old[:, lo - 1 : hi] + up_cost
+            by_left = old[:, lo : hi + 1] + left_cost
+            same = (qry[:, lo - 1 : hi] & back[:, n - d + lo : n - d + hi + 1]) > 0
+            best = np.maximum(older[:, lo - 1 : hi] + np.where(same, np.float32(s.match), np.float32(s.mismatch)), np.maximum(by_up, by_left))
+            now[:, lo : hi + 1] = best
+            step[:, lo : hi + 1] = np.where(best == by_left, 1, np.where(best == by_up, 2, 3))
+        older, old = old, now
+    return old[:, m], steps
+
+
+def _trace(steps: np.ndarray, m: int, n: int) -> list[bytes]:
     """The steps from first to last column of each alignment, as bytes 1, 2, 3."""
-    b, m, n = step.shape[0], step.shape[1] - 1, step.shape[2] - 1
-    i, j, k = np.full(b, m), np.full(b, n), np.arange(b)
+    b = steps.shape[1]
+    i, d, k = np.full(b, m), np.full(b, m + n), np.arange(b)
     out = np.zeros((b, m + n), "uint8")
     for c in range(m + n):
-        s = step[k, i, j]
+        s = steps[d, k, i]
         out[:, c] = s
-        i, j = i - ((s == 2) | (s == 3)), j - ((s == 1) | (s == 3))
+        i = i - (s >= 2)
+        d = d - (s > 0) - (s == 3)
     return [r[r > 0][::-1].tobytes() for r in out]
 
 
@@ -96,11 +105,10 @@ def align_all(pairs: list[tuple[str, str]], s: Scoring = Scoring()) -> list[tupl
         at_once = max(1, _CELLS // ((n + 1) * (m + 1)))
         for a in range(0, len(ks), at_once):
             part = ks[a : a + at_once]
-            score, step = _fill(_matrix([pairs[k][0] for k in part]), _matrix([pairs[k][1] for k in part]), s)
-            for k, path, sc in zip(part, _trace(step), score, strict=True):
+            score, steps = _fill(_matrix([pairs[k][0] for k in part]), _matrix([pairs[k][1] for k in part]), s)
+            for k, path, sc in zip(part, _trace(steps, m, n), score, strict=True):
                 r, q = iter(pairs[k][0]), iter(pairs[k][1])
-                cols = [("-" if c == 2 else next(r), "-" if c == 1 else next(q)) for c in path]
-                out[k] = ("".join(c[0] for c in cols), "".join(c[1] for c in cols), float(sc))
+                out[k] = ("".join(["-" if c == 2 else next(r) for c in path]), "".join(["-" if c == 1 else next(q) for c in path]), float(sc))
     return out
 
 
@@ -210,6 +218,15 @@ def _align(s: Scoring):
     return run
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for work that takes far longer than its bytes suggest: adaptive coalescing would leave one.
+
+    Pairs are ranged by their lengths, so that a batch holds few shapes, which are computed together.
+    """
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def global_alignments(df: DataFrame, ref: str, qry: str, scoring: Scoring = Scoring()) -> DataFrame:
     """Distinct (ref, qry) pairs of two columns with their global alignment, to be joined back by both.
 
@@ -217,6 +234,8 @@ def global_alignments(df: DataFrame, ref: str, qry: str, scoring: Scoring = Scor
     sequences). Each distinct pair is aligned once: reads of few probes repeat much. Pairs with a null give none.
     """
     pairs = df.select(F.col(ref).alias("ref"), F.col(qry).alias("qry")).dropna().distinct()
+    pairs = pairs.repartitionByRange(_tasks(df), F.length("ref"), F.length("qry"), F.xxhash64("ref", "qry"))
+    pairs = pairs.sortWithinPartitions(F.length("ref"), F.length("qry"))
     return pairs.mapInArrow(_align(scoring), _ALIGNED)
 
 
@@ -269,7 +288,8 @@ def extend_to_primers(pairs: DataFrame, probes: DataFrame, *, scoring: Scoring =
     work = distinct.join(F.broadcast(side) if small else side, "probe_id")
     key = F.struct("probe_id", "r1", "r2")
     kind = work.select(key.alias("id")).schema["id"].dataType.simpleString()
-    done = work.select(key.alias("id"), "r1", "r2", "strand", "ext_sequence", "lig_sequence", "target_sequence", "ext_start", "ext_stop", "lig_edge").mapInArrow(
+    work = work.repartitionByRange(_tasks(pairs), "probe_id", F.length("r1"), F.length("r2"), F.xxhash64("r1", "r2"))
+    done = work.sortWithinPartitions("probe_id", F.length("r1"), F.length("r2")).select(key.alias("id"), "r1", "r2", "strand", "ext_sequence", "lig_sequence", "target_sequence", "ext_start", "ext_stop", "lig_edge").mapInArrow(
         _extend_pairs(scoring), f"id {kind}, one {_EXTENDED}, two {_EXTENDED}"
     )
     done = done.select(F.col("id.probe_id"), F.col("id.r1"), F.col("id.r2"), "one", "two")

@@ -190,10 +190,10 @@ def biweight_mean(spark, sf):
 
 
 @query(f"""with {_V}, r as (select probe_id, regr_count(x, y) as n, regr_slope(x, y) as slope, regr_intercept(x, y) as intercept, regr_r2(x, y) as r2, regr_syy(x, y) as syy from v group by 1)
-select probe_id, n, round(slope, 6) as slope, round(intercept, 6) as intercept, round(r2, 6) as r2, round(case when n > 2 then syy * (1 - r2) / (n - 2) end, 4) as mse, round(case when n > 2 then 1 - (1 - r2) * (n - 1) / (n - 2) end, 6) as adjusted_r2, round(sign(slope) * sqrt(r2), 6) as r from r""")
+select probe_id, n, round(slope, 6) as slope, round(intercept, 4) as intercept, round(r2, 6) as r2, round(case when n > 2 then syy * (1 - r2) / (n - 2) end, 4) as mse, round(case when n > 2 then 1 - (1 - r2) * (n - 1) / (n - 2) end, 6) as adjusted_r2, round(sign(slope) * sqrt(r2), 6) as r from r""")
 def linear_regression(spark, sf):
     out = st.linear_regression(_values(spark, sf), ["probe_id"], F.col("x"), F.col("y"))
-    return _rounded(_rounded(out, {"slope", "intercept", "r2", "adjusted_r2", "r"}), {"mse"}, 4)
+    return _rounded(_rounded(out, {"slope", "r2", "adjusted_r2", "r"}), {"mse", "intercept"}, 4)
 
 
 @query(f"with {_V}, w as (select 1.0::double as one, y::double as x0, z::double as x1, x::double as y from v where x is not null and y is not null and z is not null) select "
@@ -222,7 +222,7 @@ def number_functions(spark, sf):
     )
 
 
-@query("""with l as (select l_orderkey, list(l_quantity order by l_linenumber) as q, list(l_linenumber order by l_linenumber) as k from lineitem group by 1)
+@query("""with l as (select l_orderkey, list(l_quantity order by l_linenumber, l_quantity) as q from lineitem group by 1)
 select l_orderkey, list_min(q) as least, list_max(q) as greatest, list_sum(q) as total, (coalesce(list_position(q, 5.0), 0) - 1)::int as at_five,
   list_transform(list_sort(list_transform(range(1, len(q) + 1), lambda i: struct_pack(x := q[i], i := i))), lambda s: (s.i - 1)::int) as sorted from l""")
 def array_functions(spark, sf):

@@ -207,7 +207,7 @@ def consistency(alignments: DataFrame, reference: Column) -> DataFrame:
     """
     read_bases = F.aggregate(F.regexp_extract_all("cigar", F.lit("([0-9]+[MIS=X])"), F.lit(1)), F.lit(0), lambda a, p: a + F.regexp_extract(p, "^[0-9]+", 0).cast("int"))
     plain = F.col("cigar").rlike("^[0-9]+[M=]$")
-    differ = F.size(F.filter(F.zip_with(F.split("seq", "(?!^)"), F.split(reference, "(?!^)"), lambda a, b: a != b), lambda d: d))
+    differ = F.size(F.filter(F.zip_with(F.split("seq", ""), F.split(reference, ""), lambda a, b: a != b), lambda d: d))
     issues = F.array_compact(F.array(F.when(read_bases != F.length("seq"), "cigar_length"), F.when(plain & (F.col("nm") != differ), "nm")))
     return alignments.withColumn("issues", issues)
 

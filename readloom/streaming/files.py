@@ -38,8 +38,13 @@ def mapped_lines(lines: DataFrame, column: Callable) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, path: str, schema: T.StructType, *, per_trigger: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    """A folder of Parquet files, or a single one, as a stream."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        r, path = r.option("pathGlobFilter", p.getName()), p.getParent().toString()
+    return r.parquet(path)
 
 
 def running_best(pairs: DataFrame) -> DataFrame:
