@@ -57,14 +57,10 @@ def five_numbers(df: DataFrame, keys: list[str], x: Column) -> DataFrame:
         ((_at(F.floor((F.col("n") + 1) / 2)) + _at(F.floor((F.col("n") + 2) / 2))) / 2).alias("median"),
     )
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    both = q.alias("l").join(ends.alias("r"), on)
+    both = q.alias("l").join(ends.alias("r"), on or F.lit(True))
     return both.select(*[f"l.{k}" for k in keys], "l.n", "r.least", "l.q1", "r.median", "l.q3", "r.greatest", (F.col("l.q3") - F.col("l.q1")).alias("iqr"))
 
 
-def _medians(df: DataFrame, keys: list[str], x: Column, name: str) -> DataFrame:
-    return _ranked(df, keys, x).groupBy(*keys).agg(((_at(F.floor((F.col("n") + 1) / 2)) + _at(F.floor((F.col("n") + 2) / 2))) / 2).alias(name))
-
-
 def biweight_mean(df: DataFrame, keys: list[str], x: Column, tuning: float = 5.0) -> DataFrame:
     """Tukey's biweight mean of each group: (*keys, median, mad, biweight).
 
@@ -76,7 +72,7 @@ def biweight_mean(df: DataFrame, keys: list[str], x: Column, tuning: float = 5.0
     def joined(left: DataFrame, right: DataFrame) -> DataFrame:
         on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
         new = [c for c in right.columns if c not in keys]
-        return left.alias("l").join(right.alias("r"), on).select("l.*", *[f"r.{c}" for c in new])
+        return left.alias("l").join(right.alias("r"), on or F.lit(True)).select("l.*", *[f"r.{c}" for c in new])
 
     def median(values: DataFrame, name: str) -> DataFrame:
         g = W.partitionBy(*keys)

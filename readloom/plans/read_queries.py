@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import sequence as S
 from readloom.functions.keys import code_key, container_key, read_stem
-from readloom.operators import alignment, dedup, joins, kmers
+from readloom.operators import alignment, checks, dedup, joins, kmers, words
 from readloom.operators import statistics as st
 from readloom.plans import pipeline
 from readloom.session import shared_dir
@@ -460,3 +460,44 @@ def stream_best_pair(spark, sf):
     if run.exception():
         raise run.exception()
     return spark.read.parquet(f"{base}/out")
+
+
+# --- checks
+
+
+@query(f"""select read_index, {key('probe_id')} as probe_id, r.probe_id is not null and abs(r.ext_start + 36 - length(r1_seq) - r.ext_start) <= 2 as fits
+from pairs p join probes r on {key('p.probe_id')} = r.probe_id where r.strand = '+' and r1_seq is not null""".replace("read_index, nullif(upper(trim(probe_id", "read_index, nullif(upper(trim(p.probe_id"))
+def strict_coordinates(spark, sf):
+    """Mates one on '+' probes that would begin at the primer if they were 36 bases long, within 2 bases."""
+    p = table(spark, sf, "pairs").select("read_index", code_key("probe_id").alias("probe_id"), F.length("r1_seq").alias("n")).where("n is not null")
+    both = p.join(F.broadcast(table(spark, sf, "probes")), "probe_id").where("strand = '+'")
+    ok = checks.fits_probe(F.col("ext_start"), F.lit(36), F.col("n"), F.lit(1), F.col("strand"), *[F.col(c) for c in ("ext_start", "ext_stop", "lig_start", "lig_stop")], ext_uid=0, buffer=2)
+    return both.select("read_index", "probe_id", ok.alias("fits"))
+
+
+@query("""with a as (select l_orderkey * 8 + l_linenumber as i, l_shipdate as n from lineitem where l_linenumber < 5), b as (select l_orderkey * 8 + l_linenumber as i, l_shipdate as n from lineitem where l_linenumber > 2)
+select coalesce(a.i, b.i) as read_index, a.n as name_one, b.n as name_two from a full join b on a.i = b.i where a.n is distinct from b.n""")
+def mismatched_names(spark, sf):
+    li = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("read_index"), F.col("l_shipdate").alias("name"), "l_linenumber")
+    return pipeline.mismatched_names(li.where("l_linenumber < 5"), li.where("l_linenumber > 2"))
+
+
+@query(f"select distinct nullif(regexp_extract(read_name, '^[^ /]*'), '') as read_name from read2probe where {key('probe_id')} = (select min({key('probe_id')}) from read2probe)")
+def assigned_names(spark, sf):
+    """Distinct names assigned to the first probe, as a point lookup."""
+    r = table(spark, sf, "read2probe").select(read_stem("read_name").alias("read_name"), code_key("probe_id").alias("probe_id"))
+    return r.join(r.agg(F.min("probe_id").alias("probe_id")), "probe_id").select("read_name").distinct()
+
+
+@query()
+def variable_uids(spark, sf):
+    """Barcodes before the first 12 bases of the probe's target, of any length."""
+    p = table(spark, sf, "pairs").select(code_key("probe_id").alias("probe_id"), F.col("r1_seq").alias("read"))
+    both = p.join(F.broadcast(table(spark, sf, "probes").select("probe_id", F.substring("target_sequence", 1, 12).alias("primer"))), "probe_id")
+    return checks.variable_uids(both, "read", "primer")
+
+
+@query()
+def merged_words(spark, sf):
+    """Annotations of each container's probes merged into one string."""
+    return words.merged_words(table(spark, sf, "probes"), "container_name", "annotation")
