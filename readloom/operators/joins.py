@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Windows (probes) up to this many rows are broadcast; beyond, both sides are cut into bins.
 BROADCAST_WINDOWS = 100_000
@@ -22,7 +23,8 @@ def merge_raw_reads(alignments: DataFrame, reads: DataFrame) -> DataFrame:
     other columns, stays. Alignments without a read, and reads without an alignment, give no row.
     """
     others = [c for c in alignments.columns if c not in ("name", "mate")]
-    kept = alignments.dropna(subset=["name", "mate"]).groupBy("name", "mate").agg(F.min(F.struct(*sorted(others, key=lambda c: c != "start"))).alias("a"))
+    ordered = [c for c in sorted(others, key=lambda c: c != "start") if not isinstance(alignments.schema[c].dataType, T.MapType)]
+    kept = alignments.dropna(subset=["name", "mate"]).groupBy("name", "mate").agg(F.min_by(F.struct(*others), F.struct(*ordered)).alias("a"))
     flat = kept.select("name", "mate", *[F.col(f"a.{c}").alias(c) for c in others if c not in ("seq", "qual")], F.length("a.seq").alias("mapped_length"))
     return flat.join(reads.select("name", "mate", "read_index", "seq", "qual"), ["name", "mate"])
 

@@ -13,6 +13,7 @@ from readloom.operators.alignment import Scoring, extend_to_primers, global_alig
 from readloom.operators.dedup import reduce_duplicates
 from readloom.operators.joins import best_candidates, mate_probe_intersection, merge_raw_reads, range_join, unambiguous
 from readloom.operators.kmers import candidates
+from readloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -76,14 +77,15 @@ def dedup(alignments: DataFrame, reads: DataFrame, probes: DataFrame, options: D
     `alignments` as from `read_sam`, `reads`: name, mate, read_index, seq, qual. With `merge_pairs` the extended
     mates come as one sequence too (struct merged).
     """
-    whole = merge_raw_reads(alignments.where("is_primary"), reads)
+    # Read several times below, so written once: merged reads, and later the assigned and scored pairs.
+    whole = materialize(merge_raw_reads(alignments.where("is_primary"), reads), "merged-reads")
     one, two = (whole.where(f"mate = {m}").select("read_index", "name", F.col("seq").alias(f"r{m}"), F.col("qual").alias(f"q{m}")) for m in (1, 2))
     pairs = one.join(two.drop("name"), "read_index").where(~has_n("r1") & ~has_n("r2"))
-    assigned = assign_probes(whole, probes)
+    assigned = materialize(assign_probes(whole, probes), "assigned")
     probe_of = resolve(assigned, pairs, probes, ext_uid=options.ext_uid, lig_uid=options.lig_uid)
     barcode = F.concat(uid("r1", options.ext_uid), uid("r2", options.lig_uid))
     scored = pairs.join(probe_of, "read_index").select("read_index", "probe_id", barcode.alias("uid"), (quality_total("q1") + quality_total("q2")).alias("score"), "name", "r1", "q1", "r2", "q2")
-    kept = reduce_duplicates(scored, policy=options.policy)
+    kept = materialize(reduce_duplicates(materialize(scored, "scored"), policy=options.policy), "reduced")
     extended = extend_to_primers(kept.select(F.col("read_index").alias("id"), "probe_id", "r1", "r2"), probes, scoring=options.scoring)
     out = kept.join(extended.select(F.col("id").alias("read_index"), "one", "two", "extended"), "read_index").where("extended")
     if options.merge_pairs:
