@@ -104,16 +104,20 @@ def skyline_survivors(
     depth = depth if fill else 1
     rest = [c for c in df.columns if c not in keys]
     complete = sum((F.col(c).isNotNull().cast("int") for c in fields), F.lit(0))
-    base = df.dropna(subset=keys).withColumn("complete_", complete).withColumn("recent_", F.coalesce(F.unix_micros(F.col(recent).cast("timestamp")), F.lit(-(2**63))))
-    base = base.withColumn("trust_", F.struct(*[c.alias(f"t{i}") for i, c in enumerate(trust)], *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]))
-    base = base.withColumn("salt_", F.pmod(F.xxhash64(*rest), F.lit(salts)))
+    when = F.coalesce(F.unix_micros(F.col(recent).cast("timestamp")), F.lit(-(2**63)))
+    # All columns travel once, as the last parts of trust_.
+    parts = [c.alias(f"t{i}") for i, c in enumerate(trust)] + [F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]
+    base = df.dropna(subset=keys).select(
+        *keys, complete.alias("complete_"), when.alias("recent_"), F.struct(*parts).alias("trust_"), F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("short").alias("salt_")
+    )
+    held = {c: F.col(f"trust_.c{rest.index(c)}") for c in fill}
     part = [*keys, "salt_"]
     local = _layered(base, part, len(fields), depth)
     w = W.partitionBy(*part).orderBy(F.col("trust_").desc())
     local = local.withColumn("n_here_", F.when(F.row_number().over(w) == 1, F.count(F.lit(1)).over(W.partitionBy(*part))).otherwise(0))
     keep = F.col("layer_").isNotNull()
     for c in fill:
-        late = F.col("layer_").isNull() & F.col(c).isNotNull()
+        late = F.col("layer_").isNull() & held[c].isNotNull()
         keep = keep | (late & (F.count_if(late).over(w.rowsBetween(W.unboundedPreceding, 0)) == 1))
     kept = local.withColumn("kept_", keep).where("kept_").drop("salt_", "kept_", "layer_")
     whole = _layered(kept, keys, len(fields), depth)
@@ -123,7 +127,7 @@ def skyline_survivors(
     filled = {}
     for c in fill:
         order = F.struct(-F.coalesce("layer_", F.lit(depth + 1)), F.col("trust_"))
-        filled[c] = F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"f_{c}")
+        filled[c] = F.max_by(held[c], F.when(held[c].isNotNull(), order)).alias(f"f_{c}")
     out = ranked.groupBy(*keys).agg(F.max("n_").alias("n_records"), F.count_if(F.col("layer_") == 1).alias("n_skyline"), first.alias("s"), *filled.values())
     cols = [F.coalesce(F.col(f"s.trust_.c{i}"), F.col(f"f_{c}")).alias(c) if c in fill else F.col(f"s.trust_.c{i}").alias(c) for i, c in enumerate(rest)]
     return out.select(*keys, "n_records", "n_skyline", *cols)
