@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +11,7 @@ from readloom.functions import sequence as S
 from readloom.functions import text as X
 from readloom.operators.checks import input_report as report
 from readloom.plans.read_queries import table
-from readloom.session import shared_dir
+from readloom.session import scratch
 from readloom.sources import alignments as A
 from readloom.sources import lines as L
 from readloom.sources import reads as R
@@ -33,10 +31,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def _reads(spark: SparkSession, sf: str) -> DataFrame:
     """One whole read a read_index, numbered without gaps."""
     one = table(spark, sf, "pairs").where("length(r1_seq) = length(r1_qual) and length(r1_seq) > 0").groupBy("read_index").agg(F.min("read_name").alias("header"), F.min(F.struct("r1_seq", "r1_qual")).alias("m"))
@@ -50,7 +44,7 @@ x as (select read_index, header, m.s as seq, m.q as qual from r where read_index
 @query(f"with {_READS} select nullif(regexp_extract(header, '^[^ /]*'), '') as name, header, seq, qual from x")
 def fastq_round_trip(spark, sf):
     """Read ones of pairs written as FASTQ and read again."""
-    path = _folder(spark, "fastq")
+    path = scratch(spark, "fastq")
     R.write_fastq(_reads(spark, sf), path)
     return R.read_fastq(spark, path).select("name", "header", "seq", "qual")
 
@@ -58,7 +52,7 @@ def fastq_round_trip(spark, sf):
 @query("select probe_id as description, target_sequence as sequence from probes")
 def fasta_round_trip(spark, sf):
     """Targets written as FASTA in lines of 60 bases and read again."""
-    path = _folder(spark, "fasta")
+    path = scratch(spark, "fasta")
     p = table(spark, sf, "probes")
     R.write_fasta(p.select(F.col("probe_id").alias("description"), F.array_join(X.wrapped("target_sequence", 60), "\n").alias("sequence")), path)
     return R.read_fasta(spark, path).select("description", "sequence")
@@ -81,7 +75,7 @@ def _probe_columns(p: DataFrame) -> DataFrame:
 @query("select probe_id, container_name as chromosome, strand as probe_strand, ext_start, ext_stop, ext_sequence, lig_start, lig_stop, lig_sequence, target_start, target_stop, target_sequence, coalesce(trim(annotation), '') as annotation from probes")
 def probe_file_round_trip(spark, sf):
     """Probes written as a probe file with its header and read again; no annotation is an empty one."""
-    path = _folder(spark, "probes")
+    path = scratch(spark, "probes")
     T.write_probes(_probe_columns(table(spark, sf, "probes")), path, ext_uid=10, lig_uid=0)
     return T.read_probes(spark, path)
 
@@ -89,7 +83,7 @@ def probe_file_round_trip(spark, sf):
 @query("select c_custkey::varchar as c_custkey, c_name, c_mktsegment as extra from customer")
 def delimited_scan(spark, sf):
     """Customers written with a line before the header, found again by header names of other case and order."""
-    path = _folder(spark, "delimited")
+    path = scratch(spark, "delimited")
     T.write_delimited(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("extra"), F.col("c_name").alias("C_NAME"), "c_custkey"), path, pre_header="# customers")
     return T.read_delimited(spark, path, ["c_custkey", "c_name"], extra=True)
 
@@ -97,7 +91,7 @@ def delimited_scan(spark, sf):
 @query("select 'order' || o_orderkey as name, max(o_orderpriority) as value from orders group by 1")
 def name_values(spark, sf):
     """Orders' priorities as name=value lines."""
-    path = _folder(spark, "values")
+    path = scratch(spark, "values")
     table(spark, sf, "orders").select(F.concat(F.lit("order"), F.col("o_orderkey"), F.lit("="), F.col("o_orderpriority")).alias("value")).write.text(path)
     return T.read_name_values(spark, path)
 
@@ -108,7 +102,7 @@ _ENTRY = "lower(trim(container_name)) as container, least(chrom_start, chrom_end
 @query(f"select {_ENTRY} from features where chrom_start is not null and chrom_end is not null")
 def bed_scan(spark, sf):
     """Features written as BED lines under a track line; entries read again as coordinates in order."""
-    path = _folder(spark, "bed")
+    path = scratch(spark, "bed")
     f = table(spark, sf, "features").where("chrom_start is not null and chrom_end is not null")
     row = F.concat_ws("\t", F.lower(F.trim("container_name")), F.col("chrom_start").cast("string"), F.col("chrom_end").cast("string"), F.lit("n"), F.lit("."), F.coalesce("strand", F.lit(".")))
     f.select(row.alias("value")).write.text(path)
@@ -118,7 +112,7 @@ def bed_scan(spark, sf):
 @query("select lower(trim(container_name)) as container, feature_name as feature, chrom_start as start, chrom_end as stop, score from features where chrom_start is not null and chrom_end is not null and feature_name is not null")
 def gff_scan(spark, sf):
     """Features written as GFF; lines of other than nine columns are left out."""
-    path = _folder(spark, "gff")
+    path = scratch(spark, "gff")
     f = table(spark, sf, "features").where("chrom_start is not null and chrom_end is not null and feature_name is not null")
     cells = [F.lower(F.trim("container_name")), F.lit("s"), F.col("feature_name"), F.col("chrom_start").cast("string"), F.col("chrom_end").cast("string"), F.coalesce(F.col("score").cast("string"), F.lit(".")), F.lit("+"), F.lit("0"), F.lit("a=1")]
     f.select(F.explode(F.array(F.concat_ws("\t", *cells), F.concat_ws("\t", *cells[:8]))).alias("value")).write.text(path)
@@ -128,7 +122,7 @@ def gff_scan(spark, sf):
 @query(f"with {_READS} select header as name, 1 as mate, 100 + read_index % 1000 as start, 99 + read_index % 1000 + length(seq) as \"end\", seq, qual, read_index::int % 7 as nm, '-' as strand from x")
 def sam_round_trip(spark, sf):
     """Read ones as alignments, written as SAM in order of coordinate and read again."""
-    path = _folder(spark, "sam")
+    path = scratch(spark, "sam")
     x = _reads(spark, sf)
     tags = F.create_map(F.lit("NM"), (F.col("read_index").cast("int") % 7).cast("string"))
     a = x.select(
@@ -142,7 +136,7 @@ def sam_round_trip(spark, sf):
 @query("select row_number() over (partition by file_name order by line_id) - 1 as line_no, file_name as first_cell, line_id::varchar as second_cell from bed_lines")
 def numbered_lines(spark, sf):
     """Lines of one text file per original file, numbered in file order over all splits."""
-    path = _folder(spark, "lines")
+    path = scratch(spark, "lines")
     b = table(spark, sf, "bed_lines").select("file_name", F.concat_ws("\t", "file_name", F.col("line_id").cast("string")).alias("value"), "line_id")
     b.repartition("file_name").sortWithinPartitions("file_name", "line_id").select("file_name", "value").write.partitionBy("file_name").text(path)
     cells = F.split("line", "\t")

@@ -10,7 +10,7 @@ from readloom.functions.keys import code_key, container_key, read_stem
 from readloom.operators import alignment, checks, dedup, joins, kmers, words
 from readloom.operators import statistics as st
 from readloom.plans import pipeline
-from readloom.session import shared_dir
+from readloom.session import scratch
 from readloom.streaming import files
 
 QUERIES: dict = {}
@@ -447,14 +447,10 @@ def find_summary(spark, sf):
 @query(ORACLE["dedup_best_pair"])
 def stream_best_pair(spark, sf):
     """`dedup_best_pair` over pairs as a stream of files; the last state is written to the shared folder."""
-    import uuid
-
-    from readloom.functions.keys import code_key as ck
-
     src = table(spark, sf, "pairs")
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     stream = files.stream_table(spark, f"{sf}/pairs.parquet", src.schema, per_trigger=4)
-    best = files.running_best(stream.select("read_index", ck("probe_id").alias("probe_id"), F.concat(ck("ext_uid"), ck("lig_uid")).alias("uid"), "score"))
+    best = files.running_best(stream.select("read_index", code_key("probe_id").alias("probe_id"), F.concat(code_key("ext_uid"), code_key("lig_uid")).alias("uid"), "score"))
     run = best.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{base}/out")).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
     run.awaitTermination()
     if run.exception():
