@@ -77,7 +77,7 @@ def _best_pairs(spark: SparkSession, sf: str, fill: list[str], least: int, only:
     total = F.coalesce("q1", F.lit(0)) + F.coalesce("q2", F.lit(0))
     records = _records(spark, sf).withColumn("total_quality", total).withColumnRenamed("id", "read_index").select("probe_id", "ext_uid", "lig_uid", "read_index", "latest", "total_quality", *only)
     return survivors.skyline_survivors(
-        records, ["probe_id", "ext_uid", "lig_uid"], recent="latest", trust=[F.col("total_quality"), -F.col("read_index")], fields=only, fill=fill, least=least
+        records, ["probe_id", "ext_uid", "lig_uid"], recent="latest", trust=[F.col("total_quality"), -F.col("read_index")], fields=only, fill=fill, least=least, unique=True
     )
 
 

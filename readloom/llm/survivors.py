@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 #: Parts into which every group is split for the first, local skyline.
 SALTS = 16
-_OWN = {"complete_", "recent_", "trust_", "salt_", "layer_", "n_here_", "kept_", "n_"}
 
 
 def quality_sums(text: pa.Array) -> pa.Array:
@@ -77,7 +76,7 @@ def _layered(df: DataFrame, by: list[str], levels: int, depth: int) -> DataFrame
 
 
 def skyline_survivors(
-    df: DataFrame, keys: list[str], *, recent: str, trust: list[Column], fields: list[str], fill: list[str] = (), depth: int = 3, salts: int = SALTS, least: int = 1
+    df: DataFrame, keys: list[str], *, recent: str, trust: list[Column], fields: list[str], fill: list[str] = (), depth: int = 3, salts: int = SALTS, least: int = 1, unique: bool = False
 ) -> DataFrame:
     """One surviving record per group: (*keys, n_records, n_skyline, all other columns of the survivor).
 
@@ -94,11 +93,12 @@ def skyline_survivors(
     what is undominated of a hot group. Records beyond `depth` stay only where they hold a part's most trusted
     value of a column to fill.
 
-    Groups with a null key are no groups. Repeated rows count as records; of equal ones one survives. Groups of
-    fewer than `least` records are left out. An empty table gives an empty result.
+    Groups with a null key are no groups. Repeated rows count as records; of equal ones one survives. They are
+    collapsed first, within each task and then by row, unless `unique` says that there are none. Groups of fewer
+    than `least` records are left out. An empty table gives an empty result. Any column names will do; where `df`
+    has a column n_records or n_skyline itself, the operator's own gets an underscore. Map columns have no order
+    and are an error.
     """
-    if _OWN & set(df.columns) or {"n_records", "n_skyline"} & set(df.columns):
-        raise ValueError("column names taken by the operator: " + ", ".join(sorted(_OWN | {"n_records", "n_skyline"})))
     if depth < 1 or salts < 1:
         raise ValueError("depth and salts must be at least 1")
     depth = depth if fill else 1
@@ -107,27 +107,32 @@ def skyline_survivors(
     when = F.coalesce(F.unix_micros(F.col(recent).cast("timestamp")), F.lit(-(2**63)))
     # All columns travel once, as the last parts of trust_.
     parts = [c.alias(f"t{i}") for i, c in enumerate(trust)] + [F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]
+    k = [f"k{i}" for i in range(len(keys))]
     base = df.dropna(subset=keys).select(
-        *keys, complete.alias("complete_"), when.alias("recent_"), F.struct(*parts).alias("trust_"), F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("short").alias("salt_")
-    )
+        *[F.col(x).alias(y) for x, y in zip(keys, k, strict=True)], complete.alias("complete_"), when.alias("recent_"), F.struct(*parts).alias("trust_"),
+        F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("short").alias("salt_"),
+    )
+    columns = [*k, "salt_", "complete_", "recent_", "trust_"]
+    base = base.withColumn("m_", F.lit(1)) if unique else base.groupBy(*columns).agg(F.count(F.lit(1)).alias("m_"))
     held = {c: F.col(f"trust_.c{rest.index(c)}") for c in fill}
-    part = [*keys, "salt_"]
+    part = [*k, "salt_"]
     local = _layered(base, part, len(fields), depth)
     w = W.partitionBy(*part).orderBy(F.col("trust_").desc())
-    local = local.withColumn("n_here_", F.when(F.row_number().over(w) == 1, F.count(F.lit(1)).over(W.partitionBy(*part))).otherwise(0))
+    local = local.withColumn("n_here_", F.when(F.row_number().over(w) == 1, F.sum("m_").over(W.partitionBy(*part))).otherwise(0))
     keep = F.col("layer_").isNotNull()
     for c in fill:
         late = F.col("layer_").isNull() & held[c].isNotNull()
         keep = keep | (late & (F.count_if(late).over(w.rowsBetween(W.unboundedPreceding, 0)) == 1))
-    kept = local.withColumn("kept_", keep).where("kept_").drop("salt_", "kept_", "layer_")
-    whole = _layered(kept, keys, len(fields), depth)
-    g = W.partitionBy(*keys)
-    ranked = whole.withColumn("n_", F.sum("n_here_").over(g)).where(F.col("n_") >= least)
+    kept = local.withColumn("kept_", keep).where("kept_").drop("salt_", "kept_", "layer_", "m_")
+    whole = _layered(kept, k, len(fields), depth)
+    ranked = whole.withColumn("n_", F.sum("n_here_").over(W.partitionBy(*k))).where(F.col("n_") >= least)
     first = F.max(F.when(F.col("layer_") == 1, F.struct("trust_")))
-    filled = {}
-    for c in fill:
-        order = F.struct(-F.coalesce("layer_", F.lit(depth + 1)), F.col("trust_"))
-        filled[c] = F.max_by(held[c], F.when(held[c].isNotNull(), order)).alias(f"f_{c}")
-    out = ranked.groupBy(*keys).agg(F.max("n_").alias("n_records"), F.count_if(F.col("layer_") == 1).alias("n_skyline"), first.alias("s"), *filled.values())
-    cols = [F.coalesce(F.col(f"s.trust_.c{i}"), F.col(f"f_{c}")).alias(c) if c in fill else F.col(f"s.trust_.c{i}").alias(c) for i, c in enumerate(rest)]
-    return out.select(*keys, "n_records", "n_skyline", *cols)
+    order = F.struct(-F.coalesce("layer_", F.lit(depth + 1)), F.col("trust_"))
+    filled = [F.max_by(held[c], F.when(held[c].isNotNull(), order)).alias(f"f{i}") for i, c in enumerate(fill)]
+    out = ranked.groupBy(*k).agg(F.max("n_").alias("n_"), F.count_if(F.col("layer_") == 1).alias("s_"), first.alias("s"), *filled)
+
+    def free(name: str) -> str:
+        return free(name + "_") if name in df.columns else name
+
+    cols = [F.coalesce(F.col(f"s.trust_.c{i}"), F.col(f"f{list(fill).index(c)}")).alias(c) if c in fill else F.col(f"s.trust_.c{i}").alias(c) for i, c in enumerate(rest)]
+    return out.select(*[F.col(y).alias(x) for x, y in zip(keys, k, strict=True)], F.col("n_").alias(free("n_records")), F.col("s_").alias(free("n_skyline")), *cols)

@@ -193,5 +193,6 @@ def test_survivors_edges(spark):
     got = {r.k: r for r in survivors.skyline_survivors(df, ["k"], fill=["a"], **options).collect()}
     assert set(got) == {"x", "y"} and got["x"].n_records == 3 and len(got["y"].a) == 100_000
     assert survivors.skyline_survivors(df, ["k"], least=2, **options).count() == 1
-    with pytest.raises(ValueError, match="taken"):
-        survivors.skyline_survivors(df.withColumn("layer_", F.lit(1)), ["k"], **options)
+    clash = df.withColumn("layer_", F.lit(1)).withColumn("n_records", F.lit(7)).withColumn("k0", F.lit(2))
+    got = survivors.skyline_survivors(clash, ["k"], **options)
+    assert {(r.k, r.n_records_, r.n_records, r.layer_, r.k0) for r in got.collect()} == {("x", 3, 7, 1, 2), ("y", 1, 7, 1, 2)}
