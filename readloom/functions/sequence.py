@@ -45,6 +45,11 @@ def chars(c: Column | str) -> Column:
     return F.when(F.length(c) > 0, F.split(c, "")).when(c.isNotNull(), F.array().cast("array<string>"))
 
 
+def let(values: dict[str, Column], body) -> Column:
+    """`body` over a struct of values that are computed once; within higher-order functions Spark repeats shared parts."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
 def mask(code: Column) -> Column:
     """The set of nucleotides that one code stands for, as 4 bits; 0 for anything else."""
     pairs = [F.lit(x) for kv in BASES.items() for x in kv]
@@ -220,22 +225,38 @@ def merge_pair(negative: Column, up: Column, down: Column, up_qual: Column, down
     `up` starts at or before `down`. Where both cover a base the better quality wins, ties go to `up`; a hole
     between them is N with the worst quality. On the negative strand the result is reverse-complemented.
     """
-    un, dn = F.length(up), F.length(down)
-    shift = down_start - up_start
-    over = F.greatest(F.lit(0), F.least(un - shift, dn))
-    hole = F.greatest(F.lit(0), shift - un)
+    mates = {"neg": negative, "u": up, "d": down, "uq": up_qual, "dq": down_qual, "shift": down_start - up_start}
+    lengths = lambda x: {"x": x, "un": F.length(x["u"]), "dn": F.length(x["d"])}
+    shared = lambda y: {
+        "y": y, "over": F.greatest(F.lit(0), F.least(y["un"] - y["x"]["shift"], y["dn"])), "hole": F.greatest(F.lit(0), y["x"]["shift"] - y["un"]),
+    }
+
+    def better(z: Column) -> Column:
+        """The overlap's positions, each as the better mate's quality and base."""
+        x, over = z["y"]["x"], z["over"]
+
+        def tokens(seq: Column, qual: Column, start: Column) -> Column:
+            return F.zip_with(chars(F.substring(qual, start, over)), chars(F.substring(seq, start, over)), lambda q, b: F.concat(q, b))
+
+        up_side, down_side = tokens(x["u"], x["uq"], x["shift"] + 1), tokens(x["d"], x["dq"], F.lit(1))
+        return F.zip_with(up_side, down_side, lambda a, b: F.when(F.ascii(a) >= F.ascii(b), a).otherwise(b))
+
+    def whole(w: Column) -> Column:
+        z, y, x = w["z"], w["z"]["y"], w["z"]["y"]["x"]
+
+        def parts(a: Column, b: Column, fill: str, at: int) -> Column:
+            mid = F.array_join(F.transform(w["best"], lambda t: F.substring(t, at, 1)), "")
+            head = F.substring(a, F.lit(1), F.least(y["un"], x["shift"]))
+            tail = F.when(y["dn"] > z["over"], F.substring(b, z["over"] + 1, y["dn"])).otherwise(F.substring(a, x["shift"] + z["over"] + 1, y["un"]))
+            return F.concat(head, F.when(z["hole"] > 0, F.repeat(F.lit(fill), z["hole"])).otherwise(mid), tail)
 
-    def tokens(seq: Column, qual: Column, start: Column) -> Column:
-        """The overlap's positions, each as its quality and base."""
-        return F.zip_with(chars(F.substring(qual, start, over)), chars(F.substring(seq, start, over)), lambda q, b: F.concat(q, b))
+        return F.struct(parts(x["u"], x["d"], "N", 2).alias("seq"), parts(x["uq"], x["dq"], "!", 1).alias("qual"), x["neg"].alias("neg"))
 
-    best = F.zip_with(tokens(up, up_qual, shift + 1), tokens(down, down_qual, F.lit(1)), lambda x, y: F.when(F.ascii(x) >= F.ascii(y), x).otherwise(y))
+    def turned(m: Column) -> Column:
+        back = m["neg"]
+        return F.struct(F.when(back, reverse_complement(m["seq"])).otherwise(m["seq"]).alias("seq"), F.when(back, F.reverse(m["qual"])).otherwise(m["qual"]).alias("qual"))
 
-    def parts(a: Column, b: Column, fill: str, at: int) -> Column:
-        mid = F.array_join(F.transform(best, lambda t: F.substring(t, at, 1)), "")
-        head = F.substring(a, F.lit(1), F.least(un, shift))
-        tail = F.when(dn > over, F.substring(b, over + 1, dn)).otherwise(F.substring(a, shift + over + 1, un))
-        return F.concat(head, F.when(hole > 0, F.repeat(F.lit(fill), hole)).otherwise(mid), tail)
+    def merged(x: Column) -> Column:
+        return let(lengths(x), lambda y: let(shared(y), lambda z: let({"z": z, "best": better(z)}, whole)))
 
-    seq, qual = parts(up, down, "N", 2), parts(up_qual, down_qual, "!", 1)
-    return F.struct(F.when(negative, reverse_complement(seq)).otherwise(seq).alias("seq"), F.when(negative, F.reverse(qual)).otherwise(qual).alias("qual"))
+    return let({"m": let(mates, merged)}, lambda v: turned(v["m"]))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from readloom.session import scan_partitions
+
 #: Rows of one input chunk, combined locally before anything is shuffled.
 CHUNK_ROWS = 131_072
 #: A key holding at least chunk_rows / HEAVY_SHARE rows of a chunk goes through the tree.
@@ -83,8 +85,8 @@ def tree_aggregate(
     key; there are log(partitions, fan_in) rounds, over at most `heavy_share` keys a chunk. All other states
     carry few rows each; they meet by key and join the roots of the tree in one last aggregation by key.
 
-    `partitions`: by default the number of partitions of `df`, which must then be a plan without shuffles, such
-    as a scan. It sets the number of rounds only: a low figure costs balance, never rows.
+    `partitions`: by default the number of partitions of `df` if that is a plan without shuffles, such as a scan,
+    else spark.sql.shuffle.partitions. It sets the number of rounds only: a low figure costs balance, never rows.
 
     Null keys are no values and give no row. Null values count in n, not in valued; a key without any value
     has null lo and hi. Ties and repeated rows count as they stand. An empty table gives an empty result.
@@ -92,7 +94,7 @@ def tree_aggregate(
     """
     if fan_in < 2 or chunk_rows < 1:
         raise ValueError("fan_in must be at least 2 and chunk_rows at least 1")
-    partitions = partitions or df.rdd.getNumPartitions()
+    partitions = partitions or scan_partitions(df) or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labels = list(keys)
     flat = df.select(value.alias("value"), *[keys[k].cast("string").alias(f"k{i}") for i, k in enumerate(labels)])
     vt = flat.schema["value"].dataType

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readloom.functions.sequence import kmer_number, kmers, reverse_complement
+from readloom.functions.sequence import kmer_number, reverse_complement
 
 
 def exploded(df: DataFrame, ident: str, seq: str, k: int, *, spacing: int = 1, last: bool = True) -> DataFrame:
     """(ident, pos, kmer) of every spacing-th k-mer; sequences shorter than k have none."""
-    e = df.select(F.col(ident), F.explode(kmers(F.upper(F.col(seq)), k, last=last)).alias("k")).select(ident, "k.pos", "k.kmer")
-    return e.where(F.col("pos") % spacing == 0) if spacing > 1 else e
+    end = F.length(seq) - k - (0 if last else 1)
+    at = F.explode(F.when(end >= 0, F.sequence(F.lit(0), end, F.lit(spacing))))
+    # Positions are exploded, not k-mers: the cut is a compiled expression over single rows.
+    return df.select(F.col(ident), F.upper(seq).alias("s"), at.alias("pos")).select(ident, "pos", F.substring(F.col("s"), F.col("pos") + 1, F.lit(k)).alias("kmer"))
 
 
 def candidates(
@@ -61,7 +63,8 @@ def exact_search(genome: DataFrame, queries: DataFrame, *, k: int = 11) -> DataF
     ways = F.array(F.struct(F.lit("+").alias("strand"), F.upper("seq").alias("q")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.upper("seq")).alias("q")))
     both = asked.select("query_id", F.explode(ways).alias("w")).select("query_id", "w.strand", "w.q", F.substring("w.q", 1, k).alias("kmer"))
     g = genome.select("container", F.col("start").alias("piece"), F.upper("seq").alias("g"))
-    places = g.select("container", "piece", F.explode(kmers("g", k)).alias("m")).select("container", "piece", "m.pos", "m.kmer")
+    at = F.explode(F.when(F.length("g") >= k, F.sequence(F.lit(0), F.length("g") - k)))
+    places = g.select("container", "piece", "g", at.alias("pos")).select("container", "piece", "pos", F.substring(F.col("g"), F.col("pos") + 1, F.lit(k)).alias("kmer"))
     # Only the pieces of places that share a query's first k-mer are looked at again.
     hit = places.join(both, "kmer").join(g, ["container", "piece"]).where(F.substring(F.col("g"), F.col("pos") + 1, F.length("q")) == F.col("q"))
     return hit.select("query_id", "container", (F.col("piece") + F.col("pos")).alias("start"), "strand").distinct()

@@ -10,7 +10,7 @@ from readloom.functions.keys import code_key, container_key, read_stem
 from readloom.operators import alignment, checks, dedup, joins, kmers, words
 from readloom.operators import statistics as st
 from readloom.plans import pipeline
-from readloom.session import scratch
+from readloom.session import scratch, spread
 from readloom.streaming import files
 
 QUERIES: dict = {}
@@ -188,7 +188,7 @@ def quality_trim(spark, sf):
 
 @query("select read_index, list_sum(list_transform(range(1, length(r1_qual) + 1), lambda i: unicode(r1_qual[i]) - 33))::bigint as total from pairs where length(r1_qual) > 0")
 def quality_totals(spark, sf):
-    return table(spark, sf, "pairs").where("length(r1_qual) > 0").select("read_index", S.quality_total("r1_qual").alias("total"))
+    return spread(table(spark, sf, "pairs").where("length(r1_qual) > 0").select("read_index", "r1_qual")).select("read_index", S.quality_total("r1_qual").alias("total"))
 
 
 # --- sequences
@@ -246,7 +246,7 @@ select read_index, substr(u, 1, h) || list_aggregate(list_transform(range(1, 9),
 def pair_merge(spark, sf):
     """Mates of pairs merged over 8 bases."""
     ok = "length(r1_seq) = length(r1_qual) and length(r2_seq) = length(r2_qual) and length(r1_seq) >= 8 and length(r2_seq) >= 8"
-    df = table(spark, sf, "pairs").where(ok)
+    df = spread(table(spark, sf, "pairs").where(ok).select("read_index", "r1_seq", "r1_qual", "r2_seq", "r2_qual"))
     down = S.reverse_complement("r2_seq")
     m = S.merge_pair(F.lit(False), F.col("r1_seq"), down, F.col("r1_qual"), F.reverse("r2_qual"), F.lit(1), F.length("r1_seq") - 7)
     return df.select("read_index", m.alias("m")).select("read_index", "m.*")
@@ -299,7 +299,7 @@ q as (select read_index as query_id, s[p:p + 7] as k from (select read_index, up
 select * from k where rank <= 4""")
 def kmer_candidates(spark, sf):
     """Probes whose target shares 8-mers with read one: the best three, one more and ties."""
-    reads = table(spark, sf, "pairs").select(F.col("read_index").alias("query_id"), F.col("r1_seq").alias("seq")).distinct()
+    reads = spread(table(spark, sf, "pairs").select(F.col("read_index").alias("query_id"), F.col("r1_seq").alias("seq"))).distinct()
     refs = table(spark, sf, "probes").select(F.col("probe_id").alias("reference_id"), F.col("target_sequence").alias("seq"))
     return kmers.candidates(reads, refs, k=8, limit=3)
 

@@ -60,3 +60,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scan_partitions(df: DataFrame) -> int | None:
+    """Partitions of a plan without shuffles, such as a scan; None for others, whose count only running tells."""
+    plan = df._jdf.queryExecution().executedPlan()
+    return None if "AdaptiveSparkPlan" in plan.toString() or "Exchange" in plan.toString() else plan.execute().getNumPartitions()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is long for its bytes: an input of fewer partitions than there are cores, dealt out evenly.
+
+    Larger inputs, which have splits enough, come back as they are.
+    """
+    n, have = df.sparkSession.sparkContext.defaultParallelism, scan_partitions(df)
+    return df.repartition(n) if have is not None and have < n else df
