@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.session import spread
+
 #: Consecutive words of an item that make a passage.
 PASSAGE_WORDS = 12
 #: Characters of items in one automaton. More items are searched in blocks of at most this size, one scan each.
@@ -158,8 +160,8 @@ def leaked_spans(docs: DataFrame, ident: Column, text: Column, items: DataFrame,
     forms and invisible characters don't count; a passage must begin and end at word limits of the text.
 
     All passages of the items (questions and answers, the columns `item_texts`) form one automaton, and each
-    text is scanned once by it; offsets are worked out only for texts with a hit. Nothing is shuffled. The
-    items travel to the executors in blocks of at most `block_chars` characters, each with a scan of its own.
+    text is scanned once by it; offsets are worked out only for texts with a hit. Texts aren't shuffled unless
+    they come in fewer partitions than there are cores. The items travel to the executors in blocks of at most `block_chars` characters, each with a scan of its own.
 
     Null and empty texts, and items shorter than `words` words, give no row. Repeated rows of a text give rows
     each. Other columns aren't read, whatever their names.
@@ -171,7 +173,7 @@ def leaked_spans(docs: DataFrame, ident: Column, text: Column, items: DataFrame,
     asked = asked.where("item_id is not null")
     sizes = asked.select(F.sum(sum((F.length(F.coalesce(F.col(c), F.lit(""))) for c in asked.columns[1:]), F.lit(0)))).first()[0] or 0
     blocks = max(1, -(-sizes // block_chars))
-    src = docs.select(ident.cast("long").alias("id"), text.alias("text"))
+    src = spread(docs.select(ident.cast("long").alias("id"), text.alias("text")))
     out = None
     for k in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()

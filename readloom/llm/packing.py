@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.session import materialize
+from readloom.session import materialize, spread
 
 #: Folder of the public tokenizers' files, and the vocabulary used.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
@@ -63,7 +63,7 @@ def _counts(path: str):
 
 def token_counts(df: DataFrame, ident: Column, text: Column, *, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, n_tokens) of each row; whole texts, whatever their length."""
-    src = df.select(ident.cast("long").alias("id"), text.alias("text"))
+    src = spread(df.select(ident.cast("long").alias("id"), text.alias("text")))
     return src.mapInArrow(_counts(os.path.join(tokenizers, vocabulary)), "id long, n_tokens long")
 
 
