@@ -161,7 +161,8 @@ def leaked_spans(docs: DataFrame, ident: Column, text: Column, items: DataFrame,
 
     All passages of the items (questions and answers, the columns `item_texts`) form one automaton, and each
     text is scanned once by it; offsets are worked out only for texts with a hit. Texts aren't shuffled unless
-    they come in fewer partitions than there are cores. The items travel to the executors in blocks of at most `block_chars` characters, each with a scan of its own.
+    they come in fewer partitions than there are cores. The items travel to the executors in blocks of at most
+    `block_chars` characters, each with a scan of its own.
 
     Null and empty texts, and items shorter than `words` words, give no row. Repeated rows of a text give rows
     each. Other columns aren't read, whatever their names.
