@@ -316,3 +316,17 @@ def range_summaries(spark, sf):
     """Line numbers of each order as '1-3, 5'."""
     g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_linenumber").cast("int")).alias("k"))
     return g.select("l_orderkey", X.range_summary("k").alias("ranges"))
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k, try_cast(json_extract_string(props, '$.k') as double) is not null as numeric from events")
+def json_values(spark, sf):
+    """A value picked from a JSON text by its path."""
+    k = F.get_json_object("props", "$.k")
+    return table(spark, sf, "events").select("event_id", k.alias("k"), X.is_numeric(k).alias("numeric"))
+
+
+@query("select p_partkey, p_brand as brand from part where p_brand is not null")
+def xml_values(spark, sf):
+    """A value picked from an XML text by its path."""
+    doc = F.concat(F.lit("<part><brand>"), F.col("p_brand"), F.lit("</brand></part>"))
+    return table(spark, sf, "part").where("p_brand is not null").select("p_partkey", F.xpath_string(doc, F.lit("/part/brand")).alias("brand"))
