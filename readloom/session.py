@@ -75,3 +75,15 @@ def spread(df: DataFrame) -> DataFrame:
     """
     n, have = df.sparkSession.sparkContext.defaultParallelism, scan_partitions(df)
     return df.repartition(n) if have is not None and have < n else df
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Puts this package's folder on the Python path of workers, for drivers started from elsewhere.
+
+    On a cluster whose nodes don't have that folder the package is shipped by --py-files instead.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
