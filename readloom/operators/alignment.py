@@ -218,7 +218,7 @@ def _align(s: Scoring):
     return run
 
 
-def _tasks(df: DataFrame) -> int:
+def tasks(df: DataFrame) -> int:
     """Tasks for work that takes far longer than its bytes suggest: adaptive coalescing would leave one.
 
     Pairs are ranged by their lengths, so that a batch holds few shapes, which are computed together.
@@ -234,7 +234,7 @@ def global_alignments(df: DataFrame, ref: str, qry: str, scoring: Scoring = Scor
     sequences). Each distinct pair is aligned once: reads of few probes repeat much. Pairs with a null give none.
     """
     pairs = df.select(F.col(ref).alias("ref"), F.col(qry).alias("qry")).dropna().distinct()
-    pairs = pairs.repartitionByRange(_tasks(df), F.length("ref"), F.length("qry"), F.xxhash64("ref", "qry"))
+    pairs = pairs.repartitionByRange(tasks(df), F.length("ref"), F.length("qry"), F.xxhash64("ref", "qry"))
     pairs = pairs.sortWithinPartitions(F.length("ref"), F.length("qry"))
     return pairs.mapInArrow(_align(scoring), _ALIGNED)
 
@@ -288,7 +288,7 @@ def extend_to_primers(pairs: DataFrame, probes: DataFrame, *, scoring: Scoring =
     work = distinct.join(F.broadcast(side) if small else side, "probe_id")
     key = F.struct("probe_id", "r1", "r2")
     kind = work.select(key.alias("id")).schema["id"].dataType.simpleString()
-    work = work.repartitionByRange(_tasks(pairs), "probe_id", F.length("r1"), F.length("r2"), F.xxhash64("r1", "r2"))
+    work = work.repartitionByRange(tasks(pairs), "probe_id", F.length("r1"), F.length("r2"), F.xxhash64("r1", "r2"))
     done = work.sortWithinPartitions("probe_id", F.length("r1"), F.length("r2")).select(key.alias("id"), "r1", "r2", "strand", "ext_sequence", "lig_sequence", "target_sequence", "ext_start", "ext_stop", "lig_edge").mapInArrow(
         _extend_pairs(scoring), f"id {kind}, one {_EXTENDED}, two {_EXTENDED}"
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from readloom.functions import sequence as S
 from readloom.functions.sequence import kmer_number, reverse_complement
 
 
@@ -43,6 +44,35 @@ def candidates(
     return ranked if limit is None else ranked.where(F.col("rank") <= limit + 1)
 
 
+def placed(texts: DataFrame, sought: DataFrame, mismatches: int, *, broadcast: bool = False) -> DataFrame:
+    """Distinct (text, sought) that may fit without gaps: no pair with at most `mismatches` other bases is missing.
+
+    `texts`: text, of A, C, G, T; `sought`: sought, of any codes, few of them other than these, and longer than
+    `mismatches`; in either case. Of mismatches + 1 pieces of a sought sequence one must stand in the text without
+    a mismatch; pieces, as all the bases their codes stand for, are looked up among the text's substrings of their
+    length, and each place is compared whole: by its edit distance, never more than the mismatches, or code by
+    code. `broadcast` is for few sought sequences.
+    """
+    stands_for = F.create_map(*[x for c, bits in S.BASES.items() for x in (F.lit(c), F.array(*[F.lit(b) for b in "ACGT" if S.BASES[b] & bits]).cast("array<string>"))])
+
+    def spelled(c: Column) -> Column:
+        more = lambda out, code: F.flatten(F.transform(out, lambda o: F.transform(stands_for[code], lambda b: F.concat(o, b))))
+        return F.aggregate(S.chars(c), F.array(F.lit("")), more)
+
+    size = F.floor(F.length("sought") / (mismatches + 1)).cast("int")
+    pieces = sought.select("sought", size.alias("size"), F.explode(F.array(*[F.lit(i) for i in range(mismatches + 1)])).alias("i")).select(
+        "sought", "size", (F.col("i") * F.col("size")).alias("off"), F.explode(spelled(F.upper(F.substring(F.col("sought"), F.col("i") * F.col("size") + 1, F.col("size"))))).alias("piece"),
+        F.upper("sought").rlike("^[ACGT]*$").alias("plain"),
+    )
+    sizes = sought.select(size.alias("size")).distinct()
+    at = F.explode(F.when(F.length("text") >= F.col("size"), F.sequence(F.lit(0), F.length("text") - F.col("size"))))
+    places = texts.join(F.broadcast(sizes)).select("text", "size", at.alias("pos")).select("text", "size", "pos", F.upper(F.substring(F.col("text"), F.col("pos") + 1, F.col("size"))).alias("piece"))
+    hit = places.join(F.broadcast(pieces) if broadcast else pieces, ["size", "piece"]).withColumn("start", F.col("pos") - F.col("off"))
+    hit = hit.where((F.col("start") >= 0) & (F.col("start") + F.length("sought") <= F.length("text")))
+    there = F.upper(F.substring(F.col("text"), F.col("start") + 1, F.length("sought")))
+    return hit.where(F.when(F.col("plain"), F.levenshtein(there, F.upper("sought"), mismatches) >= 0).otherwise(S.mismatches(there, F.upper("sought")) <= mismatches)).select("text", "sought").distinct()
+
+
 def repeated(df: DataFrame, ident: str, seq: str, k: int, *, both_strands: bool = False) -> DataFrame:
     """K-mers that come more than once: (kmer, number, n), on both strands with `both_strands`; A, C, G, T only."""
     e = exploded(df, ident, seq, k).select("kmer")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from readloom.functions.cigar import pair_metrics
 from readloom.functions.sequence import fixed_trim, has_n, merge_pair, orientations, quality_total, quality_trim, reverse_complement, uid
-from readloom.operators.alignment import Scoring, extend_to_primers, global_alignments
+from readloom.operators.alignment import Scoring, extend_to_primers, global_alignments, tasks
 from readloom.operators.dedup import reduce_duplicates
 from readloom.operators.joins import best_candidates, mate_probe_intersection, merge_raw_reads, range_join, unambiguous
-from readloom.operators.kmers import candidates
+from readloom.operators.kmers import candidates, placed
 from readloom.session import materialize
 
 
@@ -139,22 +139,45 @@ class FindOptions:
     all_orientations: bool = True
 
 
+def _near(texts: DataFrame, sought: DataFrame, o: FindOptions, broadcast_rows: int = 100_000) -> DataFrame:
+    """(ref, qry) of texts and sought sequences worth an alignment, as `find_and_trim` tells."""
+    gaps = min(o.insertion_gaps, o.insertion_bases) > 0 or min(o.deletion_gaps, o.deletion_bases) > 0
+
+    def by_kmers(t: DataFrame, s: DataFrame) -> DataFrame:
+        got = candidates(t.select(F.col("text").alias("query_id"), F.col("text").alias("seq")), s.select(F.col("sought").alias("reference_id"), F.col("sought").alias("seq")), k=o.k)
+        return got.select(F.col("query_id").alias("ref"), F.col("reference_id").alias("qry"))
+
+    if gaps:
+        return by_kmers(texts, sought)
+    plain = lambda c: F.upper(c).rlike("^[ACGT]*$")
+    few = F.upper("sought").rlike("^[ACGT]*([RYSWKMBDHVNU][ACGT]*){0,4}$")
+    whole = few & (F.length("sought") >= o.k * (o.mismatches + 1))
+    n = sought.agg(F.count_if(whole).alias("whole"), F.count_if(~whole).alias("rest")).first()
+    out = by_kmers(texts.where(~plain("text")), sought)
+    if n["rest"]:
+        out = out.union(by_kmers(texts.where(plain("text")), sought.where(~whole)))
+    if n["whole"]:
+        out = out.union(placed(texts.where(plain("text")), sought.where(whole), o.mismatches, broadcast=n["whole"] <= broadcast_rows))
+    return out
+
+
 def find_and_trim(reads: DataFrame, searched: DataFrame, options: FindOptions = FindOptions()) -> DataFrame:
     """Reads with each searched sequence found in them, cut: read_index, status, primary_id, secondary_id, orientation, before, found, after, seq, qual.
 
     `reads`: read_index, seq, qual; `searched`: primary_id, secondary_id, seq. Reads are quality-trimmed, those
     with N left out (status 'skipped'). Candidates share k-mers with a searched sequence in any orientation;
-    they are aligned and must keep within the allowed differences. status: 'none', 'single' or 'multiple'; a
-    read gives one row for each match, and one if there is none. Each distinct pair is aligned once.
+    they are aligned and must keep within the allowed differences. Where no gaps are
+    allowed, only those that fit somewhere without any are aligned; no others can be found. status: 'none', 'single'
+    or 'multiple'; a read gives one row for each match, and one if there is none. Each distinct pair is aligned once.
     """
     cut = quality_trim("seq", "qual", options.leading_quality, options.trailing_quality)
     clean = reads.select("read_index", cut.alias("c")).select("read_index", "c.seq", "c.qual", has_n("c.seq").alias("skip"))
     ways = F.explode(orientations("seq")) if options.all_orientations else F.explode(F.array(F.struct(F.lit("FWD").alias("orientation"), F.col("seq").alias("sequence"))))
-    wanted = searched.select("primary_id", "secondary_id", ways.alias("o")).select("primary_id", "secondary_id", "o.orientation", F.col("o.sequence").alias("seq"))
-    wanted = wanted.withColumn("reference_id", F.concat_ws("/", "primary_id", "secondary_id", "orientation"))
+    wanted = searched.select("primary_id", "secondary_id", ways.alias("o")).select("primary_id", "secondary_id", "o.orientation", F.col("o.sequence").alias("qry"))
     live = clean.where(~F.col("skip"))
-    near = candidates(live.select(F.col("read_index").alias("query_id"), "seq"), wanted, k=options.k)
-    work = near.join(live.select(F.col("read_index").alias("query_id"), F.col("seq").alias("ref"), "qual"), "query_id").join(wanted.withColumnRenamed("seq", "qry"), "reference_id")
+    # Dealt out by text first: the search takes far longer than the bytes suggest.
+    texts = live.select(F.col("seq").alias("text")).repartition(tasks(live), "text").distinct()
+    work = _near(texts, wanted.select(F.col("qry").alias("sought")).dropna().distinct(), options)
     aligned = global_alignments(work, "ref", "qry")
     inner = F.length(F.regexp_extract("qry_aligned", "^-*", 0)), F.length(F.regexp_extract("qry_aligned", "-*$", 0))
     size = F.length("qry_aligned") - inner[0] - inner[1]
@@ -165,7 +188,7 @@ def find_and_trim(reads: DataFrame, searched: DataFrame, options: FindOptions =
         (F.col("m.mismatches") <= o.mismatches) & (F.col("m.insertions") <= o.insertion_bases) & (F.col("m.insertion_gaps") <= o.insertion_gaps)
         & (F.col("m.deletions") <= o.deletion_bases) & (F.col("m.deletion_gaps") <= o.deletion_gaps)
     )
-    found = work.join(fits, ["ref", "qry"]).select(F.col("query_id").alias("read_index"), "primary_id", "secondary_id", "orientation", "at", "len")
+    found = live.select("read_index", F.col("seq").alias("ref")).join(fits, "ref").join(wanted, "qry").select("read_index", "primary_id", "secondary_id", "orientation", "at", "len")
     n = found.groupBy("read_index").agg(F.count(F.lit(1)).alias("n"))
     out = clean.join(n, "read_index", "left").join(found, "read_index", "left")
     status = F.when(F.col("skip"), "skipped").when(F.col("n").isNull(), "none").when(F.col("n") == 1, "single").otherwise("multiple")

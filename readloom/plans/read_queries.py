@@ -428,14 +428,14 @@ def extend_to_primer(spark, sf):
 
 def _found(spark, sf):
     p = table(spark, sf, "pairs").groupBy("read_index").agg(F.min("r1_seq").alias("seq"), F.min("r1_qual").alias("qual"))
-    searched = table(spark, sf, "probes").select(F.col("probe_id").alias("primary_id"), F.lit("x").alias("secondary_id"), F.substring("target_sequence", 1, 12).alias("seq"))
-    options = pipeline.FindOptions(mismatches=1, k=8, all_orientations=False)
-    return pipeline.find_and_trim(p.where("length(seq) = length(qual)"), searched, options)
+    primers = F.array(*[F.struct(F.lit(k).alias("secondary_id"), F.col(c).alias("seq")) for k, c in (("extension", "ext_sequence"), ("ligation", "lig_sequence"))])
+    searched = table(spark, sf, "probes").select(F.col("probe_id").alias("primary_id"), F.explode(primers).alias("s")).select("primary_id", "s.*")
+    return pipeline.find_and_trim(p.where("length(seq) = length(qual)"), searched)
 
 
 @query()
 def find_and_trim(spark, sf):
-    """Targets' first 12 bases found in read one."""
+    """Whole extension and ligation primers, in all orientations, found in read one."""
     return _found(spark, sf)
 
 
