@@ -487,9 +487,9 @@ def assigned_names(spark, sf):
 
 @query()
 def variable_uids(spark, sf):
-    """Barcodes before the first 12 bases of the probe's target, of any length."""
+    """Barcodes before the whole extension primer of the read's probe, of any length."""
     p = table(spark, sf, "pairs").select(code_key("probe_id").alias("probe_id"), F.col("r1_seq").alias("read"))
-    both = p.join(F.broadcast(table(spark, sf, "probes").select("probe_id", F.substring("target_sequence", 1, 12).alias("primer"))), "probe_id")
+    both = p.join(F.broadcast(table(spark, sf, "probes").select("probe_id", F.col("ext_sequence").alias("primer"))), "probe_id")
     return checks.variable_uids(both, "read", "primer")
 
 

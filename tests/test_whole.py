@@ -59,3 +59,14 @@ def test_find_and_trim_whole_primers(spark, tables):
     assert len(want) > 60 and got.select("read_index").distinct().count() == 120
     s = Q.find_summary(spark, path).first()
     assert (s.reads, s.single + s.multiple) == (120, len({w[0] for w in want}))
+
+
+def test_variable_uids_whole_primer(spark, tables):
+    path, probes, pairs = tables
+    ext = {p[0]: p[2] for p in probes}
+    got = {(r.read, r.primer): r.uid for r in Q.variable_uids(spark, path).collect()}
+    assert set(got) == {(r1, ext[probe]) for _, probe, _, r1, *_ in pairs}
+    # Reads 96 and later hold the whole primer forward, after a barcode of 12 to 14 bases.
+    known = [(r1, ext[probe], uid) for i, probe, uid, r1, *_ in pairs if i >= 96 and i % 4 == 0]
+    assert len(known) == 6 and {len(u) for *_, u in known} == {12, 13, 14}
+    assert [got[r, p] for r, p, _ in known] == [u for *_, u in known]
