@@ -11,7 +11,7 @@ from readloom.functions import sequence as S
 from readloom.functions import text as X
 from readloom.operators.checks import input_report as report
 from readloom.plans.read_queries import table
-from readloom.session import scratch
+from readloom.session import scratch, spread
 from readloom.sources import alignments as A
 from readloom.sources import lines as L
 from readloom.sources import reads as R
@@ -184,6 +184,28 @@ def sequence_comparison(spark, sf):
     return p.select("read_index", S.mismatches("a", "b").alias("mismatches"), F.col("a").contains("GAT").alias("has_gat"), S.sub_sequence("a", 2, 5).alias("part"), F.length(F.concat("a", "b")).alias("size"))
 
 
+def _whole_mates(spark: SparkSession, sf: str) -> DataFrame:
+    """Both mates as a and b, over their common length."""
+    n = F.least(F.length("r1_seq"), F.length("r2_seq"))
+    p = table(spark, sf, "pairs").where("r1_seq is not null and r2_seq is not null")
+    return spread(p.select("read_index", "r1_seq", "r2_seq")).select("read_index", F.substring(F.col("r1_seq"), F.lit(1), n).alias("a"), F.substring(F.col("r2_seq"), F.lit(1), n).alias("b"))
+
+
+@query()
+def alignment_strings_whole(spark, sf):
+    """`alignment_strings`, which keeps its SQL, over all columns that both mates have."""
+    p = _whole_mates(spark, sf).select("read_index", F.translate("a", "T", "-").alias("a"), F.translate("b", "G", "-").alias("b")).withColumn("ops", C.operations("a", "b"))
+    m = C.pair_metrics("a", "b")
+    return p.select("read_index", "ops", C.edit_distance_of_operations("ops").alias("edits"), C.edit_distance_of_pair("a", "b").alias("differing"), m["matches"].alias("matches"), C.reference_length("ops").alias("reference_length"), m["deletions"].alias("deleted"))
+
+
+@query()
+def sequence_comparison_whole(spark, sf):
+    """`sequence_comparison`, which keeps its SQL, over all bases that both mates have."""
+    p = _whole_mates(spark, sf)
+    return p.select("read_index", S.mismatches("a", "b").alias("mismatches"), F.col("a").contains("GAT").alias("has_gat"), S.sub_sequence("a", 2, 5).alias("part"), F.length(F.concat("a", "b")).alias("size"))
+
+
 @query("""with p as (select read_index, read_name as name from pairs where read_index is not null) select unnest(['first file has records', 'second file has records', 'files differ', 'equally many records', 'names agree', 'alignments of both mates']) as "check",
 unnest([true, true, true, true, true, true]) as ok""")
 def input_report(spark, sf):

@@ -239,6 +239,12 @@ def approximate_matches(spark, sf):
     return table(spark, sf, "probes").select("probe_id", S.approximate_matches("target_sequence", F.substring("ext_sequence", 1, 6), 1).alias("positions"))
 
 
+@query()
+def approximate_matches_whole(spark, sf):
+    """Places of the whole primers in the targets, one mismatch allowed; `approximate_matches` keeps its SQL."""
+    return table(spark, sf, "probes").select("probe_id", S.approximate_matches("target_sequence", "ext_sequence", 1).alias("positions"))
+
+
 @query("""with x as (select read_index, r1_seq as u, reverse(translate(r2_seq, 'ACGTURYSWKMBDHVN', 'TGCAAYRSWMKVHDBN')) as d, r1_qual as uq, reverse(r2_qual) as dq from pairs
   where length(r1_seq) = length(r1_qual) and length(r2_seq) = length(r2_qual) and length(r1_seq) >= 8 and length(r2_seq) >= 8), y as (select *, length(u) - 8 as h from x)
 select read_index, substr(u, 1, h) || list_aggregate(list_transform(range(1, 9), lambda i: case when unicode(uq[h + i]) >= unicode(dq[i]) then u[h + i] else d[i] end), 'string_agg', '') || substr(d, 9) as seq,

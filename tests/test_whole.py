@@ -5,10 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from readloom.functions.sequence import BASES
 from readloom.operators.alignment import align_all, flip
+from readloom.plans import file_queries as FQ
 from readloom.plans import read_queries as Q
 
 WAYS = {"FWD": lambda s: s, "RVS": lambda s: s[::-1], "RVS_CMP": lambda s: flip(s)[::-1], "CMP": flip}
@@ -30,6 +30,7 @@ def tables(spark, tmp_path_factory):
     rnd, path = random.Random(5), tmp_path_factory.mktemp("whole")
     probes = [(f"P{i}", "+" if i % 2 else "-", _seq(rnd, 22 + i), _seq(rnd, 20 + i), _seq(rnd, 60)) for i in range(6)]
     probes[0] = (*probes[0][:2], probes[0][2][:9] + "R" + probes[0][2][10:], *probes[0][3:])
+    probes[1] = (*probes[1][:4], probes[1][4][:30] + probes[1][2][:20] + flip(probes[1][2][20]) + probes[1][2][21:] + probes[1][4][30:])
     pairs = []
     for i in range(120):
         p = probes[i % 6]
@@ -70,3 +71,22 @@ def test_variable_uids_whole_primer(spark, tables):
     known = [(r1, ext[probe], uid) for i, probe, uid, r1, *_ in pairs if i >= 96 and i % 4 == 0]
     assert len(known) == 6 and {len(u) for *_, u in known} == {12, 13, 14}
     assert [got[r, p] for r, p, _ in known] == [u for *_, u in known]
+
+
+def test_comparisons_whole(spark, tables):
+    path, probes, pairs = tables
+    strings = {r.read_index: r for r in FQ.alignment_strings_whole(spark, path).collect()}
+    compared = {r.read_index: r for r in FQ.sequence_comparison_whole(spark, path).collect()}
+    assert len(strings) == len(compared) == len(pairs)
+    for i, _, _, r1, _, r2, _ in pairs:
+        n = min(len(r1), len(r2))
+        a, b = r1[:n], r2[:n]
+        assert tuple(compared[i]) == (i, sum(x != y for x, y in zip(a, b, strict=True)), "GAT" in a, a[2:6], 2 * n)
+        a, b = a.replace("T", "-"), b.replace("G", "-")
+        ops = "".join("=" if x == y else "I" if x == "-" else "D" if y == "-" else "X" for x, y in zip(a, b, strict=True))
+        edits, wrong = ops.count("I") + ops.count("X"), sum(x != y for x, y in zip(a, b, strict=True))
+        assert tuple(strings[i]) == (i, ops, edits, wrong, ops.count("="), n - ops.count("I"), ops.count("D"))
+    assert max(len(r.ops) for r in strings.values()) > 30
+    fits = lambda t, q: [k + 1 for k in range(len(t) - len(q) + 1) if sum(not BASES[x] & BASES[y] for x, y in zip(t[k:], q)) <= 1]  # noqa: B905, E731
+    got = {r.probe_id: r.positions for r in Q.approximate_matches_whole(spark, path).collect()}
+    assert got == {p[0]: fits(p[4], p[2]) for p in probes} and got["P1"] == [31]
