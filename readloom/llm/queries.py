@@ -118,8 +118,8 @@ def _levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with demanding prose: of those the models don't rule out, the ones that the exact measures confirm."""
-    return _levels(spark, sf).where((F.col("margin") >= reading.RULED_OUT) & reading.is_demanding()).select(F.col("id").alias("doc_id"))
+    """Documents with demanding prose: those that the models put on level 5, confirmed by the exact measures."""
+    return _levels(spark, sf).where((F.col("level") == reading.LEVELS) & reading.is_demanding()).select(F.col("id").alias("doc_id"))
 
 
 def p9_profile(spark: SparkSession, sf: str) -> DataFrame:

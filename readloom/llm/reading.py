@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.session import spread
+from readloom.session import materialize, spread
 
 #: Texts, in expectation, that the models are fitted on; chosen by a hash of the id.
 SEED_TEXTS = 20_000
@@ -24,10 +25,10 @@ LEVELS = 5
 WORDS, WORDS_PER_SENTENCE, LETTERS_PER_WORD = 30, 18.0, 5.5
 #: Lower limits of the automated readability index for levels 2, 3 and 4.
 ARI_LIMITS = (2.0, 6.0, 10.0)
-#: Margin per word below which the models rule out that prose is demanding.
-RULED_OUT = -1.0
 #: Added to every count of a model.
 SMOOTHING = 0.5
+#: Words that one sentence's event weighs as much as; classes of sentence sizes, three to each doubling.
+SENTENCE_WEIGHT, SIZE_CLASSES = 10, 21
 
 _INDENTED = re.compile(r"^(?: {4}|\t)[^\n]*$", re.MULTILINE)
 _BLOCK = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)", re.DOTALL | re.IGNORECASE)
@@ -53,12 +54,12 @@ def sentences(text: str) -> list[list[str]]:
     return [w for w in (_WORD.findall(s) for s in _STOP.split(text)) if w]
 
 
-def measures(text: str) -> tuple[int, int, int, list[str]]:
-    """Words, sentences and letters of a text's prose, and its words in lower case."""
+def measures(text: str) -> tuple[int, int, int, list[str], list[int]]:
+    """Words, sentences and letters of a text's prose, its words in lower case, and the words of each sentence."""
     found = sentences(prose(text))
     words = [w for s in found for w in s]
     letters = sum(map(len, words)) - sum(len(_SIGNS.findall(w)) for w in words if not w.isalpha())
-    return len(words), len(found), letters, [w.lower() for w in words]
+    return len(words), len(found), letters, [w.lower() for w in words], [len(s) for s in found]
 
 
 def demanding(words: int, sents: int, letters: int) -> bool:
@@ -79,60 +80,74 @@ def _length_token(word: str) -> str:
     return f"<{min(len(word), 16)}>"
 
 
+def _size_token(words: int) -> str:
+    """The event of a sentence of so many words."""
+    return f"<s{min(int(3 * math.log2(words)), SIZE_CLASSES - 1)}>"
+
+
 def _seed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: texts -> (level, token, n), with sentence ends as tokens."""
+    """mapInArrow: texts -> (level, token, n): words, sentence events, and '<text>' for the text itself."""
     for b in batches:
         counts: Counter = Counter()
         for text in b.column(0).to_pylist():
             if text:
-                n, s, c, words = measures(text)
+                n, s, c, words, sizes = measures(text)
                 if level := seed_level(n, s, c):
                     counts.update((level, w) for w in words)
-                    counts[level, "<end>"] += s
+                    counts.update((level, _size_token(k)) for k in sizes)
                     counts[level, "<text>"] += 1
         lv, tk = zip(*counts, strict=True) if counts else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(lv, pa.int32()), pa.array(tk, pa.string()), pa.array(counts.values(), pa.int64())], names=["level", "token", "n"])
 
 
 class Models:
-    """Log probabilities of tokens by level, and of the levels themselves."""
+    """Per level the log probabilities of words and of sentence events, and those of the levels themselves."""
 
     def __init__(self, rows: list[tuple[int, str, int]]):
-        """rows: (level, token, n); '<text>' counts texts, '<end>' sentence ends, '<k>' other words of k letters."""
-        tokens = sorted({t for _, t, _ in rows if t != "<text>"} | {"<end>"} | {f"<{k}>" for k in range(1, 17)})
-        self.index = {t: i for i, t in enumerate(tokens)}
-        counts, texts = np.full((len(tokens), LEVELS), SMOOTHING), np.ones(LEVELS)
+        """rows: (level, token, n); '<text>' counts texts, '<sK>' sentences of size class K, '<k>' other words of k letters."""
+        kinds = {f"<s{k}>" for k in range(SIZE_CLASSES)}, {t for _, t, _ in rows if t[:2] != "<s" and t != "<text>"} | {f"<{k}>" for k in range(1, 17)}
+        self.log_p: dict[str, np.ndarray] = {}
+        for tokens in kinds:
+            counts = {t: np.full(LEVELS, SMOOTHING) for t in sorted(tokens)}
+            for level, token, n in rows:
+                if token in counts:
+                    counts[token][level - 1] += n
+            of = np.array(list(counts.values()))
+            self.log_p |= dict(zip(counts, np.log(of / of.sum(0)), strict=True))
+        texts = np.ones(LEVELS)
         for level, token, n in rows:
             if token == "<text>":
                 texts[level - 1] += n
-            else:
-                counts[self.index[token], level - 1] += n
-        self.log_p = np.log(counts / counts.sum(0))
         self.prior = np.log(texts / texts.sum())
 
-    def posterior(self, words: list[str], sents: int) -> np.ndarray:
+    def posterior(self, words: list[str], sizes: list[int]) -> np.ndarray:
         """Log posterior of each level, up to a constant."""
-        get = self.index.get
-        ids = [i if (i := get(w)) is not None else self.index[_length_token(w)] for w in words]
-        return self.prior + self.log_p[ids].sum(0) + sents * self.log_p[self.index["<end>"]]
+        get = self.log_p.get
+        said = [p if (p := get(w)) is not None else self.log_p[_length_token(w)] for w in words]
+        ends = [self.log_p[_size_token(k)] for k in sizes]
+        return self.prior + np.sum(said, 0) + SENTENCE_WEIGHT * np.sum(ends, 0)
 
 
 def fit(df: DataFrame, ident: Column, text: Column, *, seed_texts: int = SEED_TEXTS, vocabulary: int = VOCABULARY) -> Models:
     """Models from a sample of about `seed_texts` texts, labelled by the formula; the sample is the hash of the id.
 
-    Rare words count as their length, so the models hold at most `vocabulary` words whatever the corpus.
+    Words that are rare in the sample, or come after the `vocabulary` most frequent ones, count as their length, so
+    the models hold at most `vocabulary` words whatever the corpus. Texts too short for the formula are no seeds.
     """
     src = df.select(ident.alias("id"), text.alias("text")).where("text is not null")
     share = min(1.0, seed_texts / max(1, df.count()))
-    chosen = src.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    last = min(2**63 - 1, -(2**63) + int(share * 2**64))
+    chosen = src.where(F.xxhash64("id") <= F.lit(last))
     counts = spread(chosen.select("text")).mapInArrow(_seed_counts, "level int, token string, n long")
-    by_level = [F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(1, LEVELS + 1)]
-    per = counts.groupBy("token").agg(*by_level, F.sum("n").alias("all"))
+    levels = range(1, LEVELS + 1)
+    by_level = [F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in levels]
+    per = materialize(counts.groupBy("token").agg(*by_level, F.sum("n").alias("all")), "word-counts")  # read twice
     own = F.col("token").startswith("<")
     length = F.concat(F.lit("<"), F.least(F.length("token"), F.lit(16)).cast("string"), F.lit(">"))
-    named = per.groupBy(F.when(own | (F.col("all") >= LEAST_COUNT), F.col("token")).otherwise(length).alias("token")).agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(1, LEVELS + 1)], F.sum("all").alias("all"))
-    rows = named.orderBy(F.col("token").startswith("<").desc(), F.col("all").desc(), "token").limit(vocabulary + 32).collect()
-    return Models([(k, r["token"], r[f"n{k}"]) for r in rows for k in range(1, LEVELS + 1)])
+    frequent = per.where(~own & (F.col("all") >= LEAST_COUNT)).orderBy(F.col("all").desc(), "token").limit(vocabulary).withColumn("kept", F.lit(True))
+    named = per.join(F.broadcast(frequent.select("token", "kept")), "token", "left").select(F.when(own | F.col("kept"), F.col("token")).otherwise(length).alias("token"), *[f"n{k}" for k in levels])
+    rows = named.groupBy("token").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in levels]).collect()
+    return Models([(k, r["token"], r[f"n{k}"]) for r in rows for k in levels if r[f"n{k}"]])
 
 
 def _score(shared):
@@ -141,9 +156,9 @@ def _score(shared):
         for b in batches:
             out = []
             for text in b.column(1).to_pylist():
-                n, s, c, words = measures(text) if text else (0, 0, 0, [])
+                n, s, c, words, sizes = measures(text) if text else (0, 0, 0, [], [])
                 if n:
-                    post = models.posterior(words, s)
+                    post = models.posterior(words, sizes)
                     best = int(post.argmax())
                     others = np.delete(post, LEVELS - 1).max()
                     out.append((best + 1, float((post[LEVELS - 1] - others) / n), n, s, c))

@@ -181,6 +181,27 @@ def test_reading_levels(spark):
     new = spark.createDataFrame(list(_corpus(60, 9)), "id long, text string")
     held = reading.reading_levels(new, F.col("id"), F.col("text"), models=models).collect()
     assert all((r.level == 5) == (r.id % 3 == 0) for r in held)
-    found = reading.reading_levels(df, F.col("level"), F.col("text")).where((F.col("margin") >= reading.RULED_OUT) & reading.is_demanding())
+    found = reading.reading_levels(df, F.col("level"), F.col("text")).where((F.col("level") == 5) & reading.is_demanding())
     assert {r.id for r in found.collect()} == set(range(0, 300, 3))
     assert reading.reading_levels(df.limit(0), F.col("level"), F.col("text")).collect() == []
+
+
+def test_reading_levels_by_sentences_and_words(spark):
+    """Texts of the same words in short sentences, and of short words in long ones, aren't demanding: the events tell."""
+    rng = random.Random(4)
+    easy = ["cat", "dog", "sun", "red", "run", "big", "map", "sky"]
+    hard = ["asymptotic", "normalization", "heterogeneous", "stratification", "interdependent", "quantification"]
+
+    def text(words, size):
+        return " ".join(" ".join(rng.choices(words, k=max(2, int(rng.gauss(size, size / 5))))) + "." for _ in range(rng.randrange(4, 12)))
+
+    kinds = [(easy, 7), (hard, 7), (easy, 30), (hard, 30)]
+    rows = [(i, text(*kinds[i % 4])) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    models = reading.fit(df.where("id < 400"), F.col("id"), F.col("text"))
+    held = reading.reading_levels(df.where("id >= 400"), F.col("id"), F.col("text"), models=models).collect()
+    assert len(held) == 400 and all((r.level == 5) == (r.id % 4 == 3) for r in held)
+    few = reading.fit(df, F.col("id"), F.col("text"), vocabulary=3)  # the counts of the others go to their lengths
+    assert sum(1 for t in few.log_p if not t.startswith("<")) == 3
+    held = reading.reading_levels(df, F.col("id"), F.col("text"), models=few).collect()
+    assert all((r.level == 5) == (r.id % 4 == 3) for r in held)
