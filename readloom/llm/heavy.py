@@ -128,8 +128,13 @@ def vote_sketch(df: DataFrame, fields: dict[str, Column], *, depth: int = DEPTH,
     return merge_cells(df.select(*cols).mapInArrow(_sketches(list(fields), depth, width, tally_rows), _CELL))
 
 
-def _bounds(width: int):
-    """applyInPandas over the sketch of one field: each candidate with its bounds. Bounded by depth * width rows."""
+def _bounds(width: int, share: float):
+    """applyInPandas over the sketch of one field: candidates that may reach the share, and what may hide others.
+
+    A value that leads no cell has at most (total - surplus) / 2 rows in each of its cells. Where some hash row has no
+    cell that leaves room for `share` of the rows, all values are candidates. Else the open cells come too, with
+    null values: at most 1 / (2 share) a hash row.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = int(pdf.loc[pdf["row"] == -1, "total"].sum())
@@ -150,44 +155,71 @@ def _bounds(width: int):
             sign = np.where(mine, surplus[k, at], -surplus[k, at])
             upper = np.minimum(upper, (total[k, at] + sign) // 2)
             lower = np.maximum(lower, np.where(mine, surplus[k, at], 0))
-        field = pdf["field"].iloc[0]
-        return pd.DataFrame({"field": field, "value": names, "lower": lower, "upper": upper, "n_rows": rows})
+        out = pd.DataFrame({"value": names, "lower": lower, "upper": upper, "row": -1, "cell": 0})[upper >= share * rows]
+        room = (total - surplus) // 2
+        k, c = np.nonzero((room >= share * rows) & (room > 0))
+        if depth and len(set(k.tolist())) == depth:
+            others = pd.DataFrame({"value": np.full(len(k), None, object), "lower": 0, "upper": room[k, c], "row": k, "cell": c})
+            out = pd.concat([out, others], ignore_index=True)
+        return out.assign(field=pdf["field"].iloc[0], n_rows=rows)[["field", "value", "lower", "upper", "n_rows", "row", "cell"]]
 
     return run
 
 
+def _survey(df: DataFrame, fields: dict[str, Column], share: float, depth: int, width: int, tally_rows: int) -> DataFrame:
+    if not 0 < share <= 1:
+        raise ValueError("share must be above 0, at most 1")
+    sketch = vote_sketch(df, fields, depth=depth, width=width, tally_rows=tally_rows).withColumn("hash", F.xxhash64("candidate"))
+    return sketch.groupBy("field").applyInPandas(_bounds(width, share), "field string, value string, lower long, upper long, n_rows long, row int, cell int")
+
+
 def heavy_values(df: DataFrame, fields: dict[str, Column], share: float, *, depth: int = DEPTH, width: int = WIDTH, tally_rows: int = TALLY_ROWS) -> DataFrame:
     """Values that may hold at least `share` of all rows: field, value, lower, upper, n_rows.
 
-    lower <= true count <= upper always. Every value of at least `share` of the rows is found if it leads its
-    cell in one of the `depth` hash rows; with share well above 1 / width it misses only by sharing its cell with
-    a larger one in all of them. Nulls are no values but count as rows; equal values count together however
-    they repeat; ties among candidates go to the greater string. An empty table gives an empty result. Other
-    columns of `df` aren't read, whatever their names.
+    lower <= true count <= upper always. A field for which the sketch can't rule out that further values reach the
+    share, as they lead no cell, gets a row with a null value too, whose upper bounds the count of any such value;
+    without that row every value of at least `share` of the rows is listed. A greater width makes it rarer.
+
+    Nulls are no values but count as rows; equal values count together however they repeat; ties among candidates
+    go to the greater string. An empty table gives an empty result. Other columns of `df` aren't read, whatever
+    their names.
     """
-    sketch = vote_sketch(df, fields, depth=depth, width=width, tally_rows=tally_rows).withColumn("hash", F.xxhash64("candidate"))
-    out = sketch.groupBy("field").applyInPandas(_bounds(width), "field string, value string, lower long, upper long, n_rows long")
-    return out.where(F.col("upper") >= F.col("n_rows") * F.lit(share))
+    found = _survey(df, fields, share, depth, width, tally_rows)
+    cells = found.where("value is null").groupBy("field", "row").agg(F.max("upper").alias("upper"), F.max("n_rows").alias("n_rows"))
+    others = cells.groupBy("field").agg(F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("lower"), F.min("upper").alias("upper"), F.max("n_rows").alias("n_rows"))
+    return found.where("value is not null").select("field", "value", "lower", "upper", "n_rows").unionByName(others)
 
 
-def frequent_values(df: DataFrame, fields: dict[str, Column], share: float, **options) -> DataFrame:
-    """Exactly the values of `heavy_values` whose count reaches `share` of all rows: field, value, lower, upper.
+def frequent_values(df: DataFrame, fields: dict[str, Column], share: float, *, depth: int = DEPTH, width: int = WIDTH, tally_rows: int = TALLY_ROWS) -> DataFrame:
+    """Exactly the values whose count reaches `share` of all rows: field, value, lower, upper.
 
-    The bounds decide most of them; only where `share` lies between a value's bounds is it counted, in a second
-    pass over the rows that hold such values, and its bounds become its count. The candidates come to the
-    driver: at most fields * depth * width of them, whatever the input.
+    The bounds of the sketch decide most of them. Two kinds are counted exactly, in a second pass: candidates with
+    `share` between their bounds, and, where the sketch can't rule out further values, all values whose cells
+    are open in every hash row; their bounds become their count. So no value is missed, whatever the width. What
+    comes to the driver are candidates and open cells that may reach the share: at most depth / share a field.
     """
     spark = df.sparkSession
-    found = heavy_values(df, fields, share, **options).collect()
-    sure = [(r.field, r.value, r.lower, r.upper) for r in found if r.lower >= r.n_rows * share]
-    open_ = [(r.field, r.value, r.n_rows) for r in found if r.lower < r.n_rows * share]
-    schema = "field string, value string, lower long, upper long"
-    out = spark.createDataFrame(sure, schema)
-    if open_:
-        labels = list(fields)
-        flat = df.select(*[c.cast("string").alias(f"v{i}") for i, c in enumerate(fields.values())])
-        long = flat.select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"v{i}").alias("value")) for i, k in enumerate(labels)])).alias("x")).select("x.*")
-        ask = spark.createDataFrame(open_, "field string, value string, n_rows long")
-        counted = long.join(F.broadcast(ask), ["field", "value"]).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"), F.max("n_rows").alias("n_rows"))
-        out = out.unionByName(counted.where(F.col("n") >= F.col("n_rows") * F.lit(share)).select("field", "value", F.col("n").alias("lower"), F.col("n").alias("upper")))
-    return out
+    found = _survey(df, fields, share, depth, width, tally_rows).collect()
+    reach = {r.field: r.n_rows * share for r in found}
+    sure = [(r.field, r.value, r.lower, r.upper) for r in found if r.value is not None and r.lower >= reach[r.field]]
+    ask = [(r.field, r.value) for r in found if r.value is not None and r.lower < reach[r.field]]
+    cells: dict[str, dict[int, list[int]]] = {}
+    for r in found:
+        if r.value is None:
+            cells.setdefault(r.field, {}).setdefault(r.row, []).append(r.cell)
+    out = spark.createDataFrame(sure, "field string, value string, lower long, upper long")
+    if not ask and not cells:
+        return out
+    # Few strings and few cells a row: hashed sets within the compiled scan, no join.
+    per = []
+    for name, c in fields.items():
+        text = c.cast("string")
+        hidden = F.lit(name in cells)
+        for k, at in cells.get(name, {}).items():
+            hidden = hidden & F.shiftrightunsigned(F.xxhash64(text), 16 * k).bitwiseAND(F.lit(width - 1)).isin(at)
+        asked = [v for f, v in ask if f == name]
+        per.append(F.when((text.isin(asked) if asked else F.lit(False)) | hidden, F.struct(F.lit(name).alias("field"), text.alias("value"))))
+    counted = df.select(F.explode(F.array_compact(F.array(*per))).alias("x")).groupBy("x.field", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    least = F.element_at(F.create_map(*[F.lit(x) for kv in reach.items() for x in kv]), F.col("field"))
+    more = counted.where((F.col("n") >= least) & F.col("value").isNotNull()).join(F.broadcast(out.select("field", "value")), ["field", "value"], "left_anti")
+    return out.unionByName(more.select("field", "value", F.col("n").alias("lower"), F.col("n").alias("upper")))
