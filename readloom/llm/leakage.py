@@ -6,7 +6,10 @@ import html
 import re
 import unicodedata
 import uuid
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,7 +19,9 @@ from readloom.session import spread
 
 #: Consecutive words of an item that make a passage.
 PASSAGE_WORDS = 12
-#: Characters of items in one automaton. More items are searched in blocks of at most this size, one scan each.
+#: Letters of a key at most; a key is the begin of some words of an item, so the automaton has fewer nodes than the items have letters.
+KEY_CHARS = 20
+#: Characters of items in one automaton (about 30 bytes each in a Python worker). More items take a scan for each block of this size.
 BLOCK_CHARS = 8_000_000
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->", re.DOTALL)
@@ -79,68 +84,130 @@ def stream_offsets(text: str) -> tuple[list[int], list[bool]]:
     return at, begins
 
 
-def passages(text: str, words: int) -> list[str]:
-    """The streams of all runs of `words` consecutive words of an item; words stand between blanks."""
-    plain = [s for s in (stream(w) for w in _TARGET.sub(" ", _TAG.sub(" ", text)).split()) if s]
-    return ["".join(plain[i : i + words]) for i in range(len(plain) - words + 1)]
+def item_words(text: str) -> list[str]:
+    """The streams of an item's words, which stand between blanks; those without letters or digits are no words."""
+    return [s for s in (stream(w) for w in _TARGET.sub(" ", _TAG.sub(" ", text)).split()) if s]
 
 
-_BUILT: dict[str, object] = {}
+class Passages:
+    """An automaton that finds where a text holds `words` consecutive words of an item.
 
+    Its keys stand at every (words + 1) / 2 -th word of an item, as any passage of `words` words holds the whole
+    stretch of one of them. What surrounds a key that was found is compared with its item, letter by letter.
+    """
 
-def _automaton(key: str, items: list[tuple[int, str]], words: int):
-    """The automaton of a block of items, built once in each Python worker."""
-    if key not in _BUILT:
+    def __init__(self, items: list[tuple[int, str]], words: int):
         import ahocorasick
 
-        owners: dict[str, set[int]] = {}
-        for ident, text in items:
-            for p in passages(text, words):
-                owners.setdefault(p, set()).add(ident)
+        self.words, step = words, (words + 1) // 2
+        self.idents: list[int] = []
+        self.streams: list[str] = []
+        self.starts: list[array] = []  # of each word in the stream, and the stream's end
         auto = ahocorasick.Automaton()
-        for p, ids in owners.items():
-            auto.add_word(p, (len(p), tuple(sorted(ids))))
+        for ident, text in items:
+            found = item_words(text)
+            if len(found) < words:
+                continue
+            upto = array("l", [0, *accumulate(map(len, found))])
+            n = len(self.idents)
+            self.idents.append(ident)
+            self.streams.append("".join(found))
+            self.starts.append(upto)
+            for w in range(0, len(found) - step + 1, step):
+                key = self.streams[n][upto[w] : min(upto[w + step], upto[w] + KEY_CHARS)]
+                known = auto.get(key, None)
+                if known is None:
+                    auto.add_word(key, known := (len(key), array("l")))
+                known[1].extend((n, w))
         auto.make_automaton()
+        self.auto = auto if self.idents else None
+
+    def runs(self, plain: str) -> list[tuple[int, int, int, int]]:
+        """(item, text begin less item begin, first and end letter of the text that agree with the item around a key).
+
+        Only runs that hold `words` words of the item; an item repeated in the text is a run of its own.
+        """
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for end, (size, places) in self.auto.iter(plain):
+            at = end - size + 1
+            for n, w in zip(places[::2], places[1::2], strict=True):
+                known = found.setdefault((n, at - self.starts[n][w]), [])
+                if not known or known[-1][1] <= at:
+                    known.append(self._extent(plain, self.streams[n], at, self.starts[n][w]))
+        return [(n, shift, a, b) for (n, shift), of in found.items() for a, b in of if self._words_within(n, a - shift, b - shift)[1] >= self.words]
+
+    @staticmethod
+    def _extent(plain: str, item: str, at: int, i: int) -> tuple[int, int]:
+        """How far the text agrees with the item around a place where they do."""
+        a = 0
+        while a < i and a < at and plain[at - a - 1] == item[i - a - 1]:
+            a += 1
+        b, most = 0, min(len(plain) - at, len(item) - i)
+        while b < most:  # whole slices first
+            step = min(64, most - b)
+            if plain[at + b : at + b + step] == item[i + b : i + b + step]:
+                b += step
+            else:
+                b += next(k for k in range(step) if plain[at + b + k] != item[i + b + k])
+                break
+        return at - a, at + b
+
+    def _words_within(self, n: int, a: int, b: int) -> tuple[int, int]:
+        """The first whole word of item n from letter a on, and how many end by letter b."""
+        first = bisect_left(self.starts[n], a)
+        return first, bisect_right(self.starts[n], b) - 1 - first
+
+    def find(self, text: str) -> dict[int, list[list[int]]]:
+        """Item -> the spans of the text, as [start, end, passages], that hold passages of it; overlapping ones joined."""
+        plain = stream(text)
+        runs = self.runs(plain)
+        if not runs:
+            return {}
+        at, begins = stream_offsets(text)
+        if len(at) != len(plain):  # a compatibility form across characters: take the text as it is normalised
+            at, begins = stream_offsets(unicodedata.normalize("NFKC", text))
+        begins.append(True)
+        hits: dict[int, set[tuple[int, int]]] = {}
+        for n, shift, a, b in runs:
+            first, count = self._words_within(n, a - shift, b - shift)
+            limits = [self.starts[n][w] + shift for w in range(first, first + count + 1)]
+            for p, q in zip(limits, limits[self.words :], strict=False):
+                if q <= len(at) and begins[p] and begins[q]:
+                    hits.setdefault(self.idents[n], set()).add((p, q - 1))
+        found: dict[int, list[list[int]]] = {}
+        for ident, of in hits.items():
+            spans = found[ident] = []
+            for a, e in sorted(of):
+                if spans and at[a] < spans[-1][1]:
+                    spans[-1] = [spans[-1][0], max(spans[-1][1], at[e] + 1), spans[-1][2] + 1]
+                else:
+                    spans.append([at[a], at[e] + 1, 1])
+        return found
+
+
+_BUILT: dict[str, Passages] = {}
+
+
+def _passages(key: str, items: list[tuple[int, str]], words: int) -> Passages:
+    """The automaton of a block of items, built once in each Python worker, which holds one at a time."""
+    if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = auto if owners else None
+        _BUILT[key] = Passages(items, words)
     return _BUILT[key]
 
 
-def find_passages(auto, text: str) -> dict[int, list[list[int]]]:
-    """Item -> the spans of the text, as [start, end, passages], that hold passages of it; overlapping ones joined."""
-    plain = stream(text)
-    hits = [(e - n + 1, e, ids) for e, (n, ids) in auto.iter(plain)]
-    if not hits:
-        return {}
-    at, begins = stream_offsets(text)
-    if len(at) != len(plain):  # a compatibility form across characters: take the text as it is normalised
-        text = unicodedata.normalize("NFKC", text)
-        at, begins = stream_offsets(text)
-    found: dict[int, list[list[int]]] = {}
-    for a, e, ids in sorted(hits):
-        if e >= len(at) or not begins[a] or (e + 1 < len(at) and not begins[e + 1]):
-            continue
-        for i in ids:
-            spans = found.setdefault(i, [])
-            if spans and at[a] < spans[-1][1]:
-                spans[-1] = [spans[-1][0], max(spans[-1][1], at[e] + 1), spans[-1][2] + 1]
-            else:
-                spans.append([at[a], at[e] + 1, 1])
-    return found
-
-
 def _scan(shared, key: str, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = None
+        sought = None
         for b in batches:
-            auto = auto or _automaton(key, shared.value, words)
-            if auto is None:
+            sought = sought or _passages(key, shared.value, words)
+            if sought.auto is None:
                 return
             docs: list[int] = []
             rows: list[tuple] = []
             for k, text in enumerate(b.column(1).to_pylist()):
                 if text:
-                    for item, spans in find_passages(auto, text).items():
+                    for item, spans in sought.find(text).items():
                         for s in spans:
                             docs.append(k)
                             rows.append((item, *s))
@@ -159,10 +226,11 @@ def leaked_spans(docs: DataFrame, ident: Column, text: Column, items: DataFrame,
     them: case, punctuation, line breaks, markup, link targets, quote and comment signs, entities, compatibility
     forms and invisible characters don't count; a passage must begin and end at word limits of the text.
 
-    All passages of the items (questions and answers, the columns `item_texts`) form one automaton, and each
-    text is scanned once by it; offsets are worked out only for texts with a hit. Texts aren't shuffled unless
-    they come in fewer partitions than there are cores. The items travel to the executors in blocks of at most
-    `block_chars` characters, each with a scan of its own.
+    The items (questions and answers, the columns `item_texts`) form one automaton, and each text is scanned once
+    by it; offsets are worked out only for texts that agree with `words` words of an item. Texts aren't shuffled
+    unless they come in fewer partitions than there are cores. The items travel to the executors: up to
+    `block_chars` characters of them (whose automaton has at most as many nodes) in one scan, more of them in
+    blocks of about that size with a scan each.
 
     Null and empty texts, and items shorter than `words` words, give no row. Repeated rows of a text give rows
     each. Other columns aren't read, whatever their names.

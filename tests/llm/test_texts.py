@@ -145,6 +145,61 @@ def test_spans_point_into_the_text(spark):
     assert empty.collect() == [] and leakage.leaks(df.limit(0), F.col("id"), F.col("text"), items, F.col("item_id"), [F.col("t")]).collect() == []
 
 
+def _brute(text, items, words):
+    """Item -> the begins and ends, in the text's stream, of all its runs of words that stand in the text as words."""
+    plain = leakage.stream(text)
+    _, begins = leakage.stream_offsets(text)
+    begins.append(True)
+    out = defaultdict(set)
+    for ident, item in items:
+        w = leakage.item_words(item)
+        for i in range(len(w) - words + 1):
+            p = "".join(w[i : i + words])
+            for at in range(len(plain) - len(p) + 1):
+                if plain.startswith(p, at) and begins[at] and begins[at + len(p)]:
+                    out[ident].add((at, at + len(p)))
+    return out
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 5, 12])
+def test_passages_against_brute_force(words):
+    """Few words of few lengths, so items repeat, overlap, share keys, and are broken by words of equal length."""
+    rng = random.Random(words)
+    vocabulary = ["a", "b", "ab", "ba", "c", "aa", "abc", "longer", "other"]
+    for _ in range(150):
+        items = [(i % 3, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 3 * words)))) for i in range(5)]
+        parts = [" ".join(i[1].split()[rng.randrange(3) :]) for i in rng.choices(items, k=3)] + rng.choices(vocabulary, k=4)
+        text = " ".join(rng.sample(parts, len(parts)))
+        sought = leakage.Passages(items, words)
+        got = sought.find(text) if sought.auto is not None else {}
+        want = _brute(text, items, words)
+        at, _ = leakage.stream_offsets(text)
+        assert set(got) == set(want)
+        for ident, spans in got.items():
+            assert sum(n for _, _, n in spans) == len(want[ident])
+            assert min(a for a, _, _ in spans) == min(at[p] for p, _ in want[ident]) and max(b for _, b, _ in spans) == max(at[q - 1] + 1 for _, q in want[ident])
+
+
+def test_memory_of_an_automaton():
+    """Under 50 bytes a character of the items: a whole block of 8 million of them takes less than 400 MB."""
+    code = """
+import random, resource, sys
+from readloom.llm.leakage import Passages
+rng = random.Random(0)
+items = [(i, " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 10))) for _ in range(60))) for i in range(3000)]
+size = sum(len(t) for _, t in items)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+kept = Passages(items, 12)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / size)
+"""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(leakage.__file__))))
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": root})
+    assert float(got.stdout) < 50
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aZ9 .<>&;b/é­​](h\nﬁ１", max_size=40))
 def test_stream_offsets_match_stream(text):
