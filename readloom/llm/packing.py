@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,49 +23,71 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SHARD_ITEMS = 50_000
 #: Capacities that one call may ask for.
 MOST_CAPACITIES = 1000
-#: Characters given to the tokenizer at once; the cut falls before a blank, so counts differ by a token at most.
-_STRETCH = 200_000
+#: Characters given to the tokenizer at once where a text can be cut without changing its tokens; it takes _MOST at most.
+_STRETCH, _MOST = 200_000, 500_000
+#: Where no token spans: after a letter or digit and before white space, as PATTERN has it.
+_APART = re.compile(r"(?<=[^\W_])(?=[ \n])")
 
 
 @cache
-def _encoder(path: str):
+def _encoder(key: str, ranks: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    merges = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
+    return tiktoken.Encoding(key, pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
 
-def _stretches(text: str) -> list[str]:
-    """A very long text in pieces of at most _STRETCH characters, cut before blanks where there are any."""
-    out, at = [], 0
+def _stretches(text: str) -> Iterator[str]:
+    """A very long text in pieces of about _STRETCH characters that give the same tokens as the whole."""
+    at = 0
     while len(text) - at > _STRETCH:
-        cut = text.rfind(" ", at + 1, at + _STRETCH)
-        cut = cut if cut > at else at + _STRETCH
-        out.append(text[at:cut])
-        at = cut
-    return [*out, text[at:]]
+        m = _APART.search(text, at + _STRETCH)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
-def count_tokens(path: str, texts: list[str | None]) -> list[int]:
-    """Tokens of each text; 0 for null and empty ones."""
-    enc = _encoder(path)
-    return [sum(len(enc.encode_ordinary(s)) for s in _stretches(t)) if t else 0 for t in texts]
+def _count(enc, text: str) -> int:
+    if len(text) <= _MOST:
+        return len(enc.encode_ordinary(text))
+    import regex
 
+    # One run without a place to cut, too long for the tokenizer's own pattern search: cut by the same pattern here.
+    return sum(len(enc._core_bpe.encode_single_piece(m[0].encode())) for m in regex.finditer(PATTERN, text))
 
-def _counts(path: str):
+
+def count_tokens(enc, texts: list[str | None]) -> list[int]:
+    """Tokens of each text; 0 for null and empty ones. Exact whatever the length."""
+    return [sum(_count(enc, s) for s in _stretches(t)) if t else 0 for t in texts]
+
+
+def encoder(tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY):
+    """The tokenizer of a vocabulary file."""
+    with open(os.path.join(tokenizers, vocabulary), "rb") as f:
+        return _encoder(vocabulary, f.read())
+
+
+def _counts(key: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoder(key, shared.value)
         for b in batches:
-            n = count_tokens(path, b.column(1).to_pylist())
+            n = count_tokens(enc, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["id", "n_tokens"])
 
     return run
 
 
 def token_counts(df: DataFrame, ident: Column, text: Column, *, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, n_tokens) of each row; whole texts, whatever their length."""
+    """(id, n_tokens) of each row; whole texts, whatever their length.
+
+    The vocabulary (about 1 MB) is read by the driver only and travels to the executors.
+    """
+    with open(os.path.join(tokenizers, vocabulary), "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())
     src = spread(df.select(ident.cast("long").alias("id"), text.alias("text")))
-    return src.mapInArrow(_counts(os.path.join(tokenizers, vocabulary)), "id long, n_tokens long")
+    return src.mapInArrow(_counts(vocabulary, shared), "id long, n_tokens long")
 
 
 def best_two_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -123,12 +146,24 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
 
 
 def _pack(key: tuple, table: pa.Table) -> pa.Table:
-    shard = table["shard"][0].as_py()
-    order = np.lexsort((table["piece"].to_numpy(), table["id"].to_numpy()))
-    table = table.take(pa.array(order))  # the same packing whatever the order of arrival
-    where, _ = best_two_fit(table["n_tokens"].to_numpy(), table["max_tokens"][0].as_py())
-    box = pa.array((shard << 20) + where)
-    return pa.table({"capacity_id": table["capacity_id"], "container_id": box, "id": table["id"], "piece": table["piece"], "first_token": table["first_token"], "n_tokens": table["n_tokens"]})
+    capacity, room, shard = (k.as_py() for k in key)
+    table = table.sort_by([("id", "ascending"), ("n_tokens", "ascending"), ("copy", "ascending")])  # the same packing whatever the order of arrival
+    size = table["n_tokens"].to_numpy()
+    full, left = size // room, size % room
+    ends = np.flatnonzero((left > 0) | (size == 0))  # a row each for the rests, and for texts without tokens
+    where = np.full(len(size), -1)
+    some = np.flatnonzero(left)
+    where[some], bins = best_two_fit(left[some], room)
+    rows = np.r_[np.repeat(np.arange(len(size)), full), ends]
+    piece = np.r_[np.arange(full.sum()) - np.repeat(np.cumsum(full) - full, full), full[ends]]
+    box = np.r_[bins + np.arange(full.sum()), where[ends]]
+    n = np.r_[np.full(full.sum(), room), left[ends]]
+    return pa.table(
+        {
+            "capacity_id": pa.array(np.full(len(rows), capacity), pa.int32()), "container_id": pa.array((shard << 32) + box, mask=box < 0),
+            "id": table["id"].take(pa.array(rows)), "piece": pa.array(piece), "first_token": pa.array(piece * room), "n_tokens": pa.array(n),
+        }
+    )
 
 
 def pack(counts: DataFrame, capacities: DataFrame, *, shard_items: int = SHARD_ITEMS) -> DataFrame:
@@ -136,9 +171,9 @@ def pack(counts: DataFrame, capacities: DataFrame, *, shard_items: int = SHARD_I
 
     `counts` (id, n_tokens), `capacities` (capacity_id, max_tokens). A text is cut only if it exceeds the
     capacity, into full containers and a rest (piece 0, 1, ... from first_token on). The items of a capacity
-    are spread evenly, by a hash, over shards of about `shard_items`, each packed by itself by `best_two_fit`;
-    a container holds items of one shard. Full pieces fill a container each. Container ids are unique within a
-    capacity.
+    are spread evenly over shards of about `shard_items`, by a hash of id, size and the how-manieth such row it is;
+    each shard is packed by itself by `best_two_fit`, and a container holds items of one shard. Full pieces fill a
+    container each. Container ids are unique within a capacity, and depend on the rows only, not on their splits.
 
     Texts without tokens (null, empty) need no room: one row with piece 0 and a null container. Repeated rows
     are items of their own. Capacities that are null or below 1 are errors; an empty table on either side gives
@@ -155,21 +190,12 @@ def pack(counts: DataFrame, capacities: DataFrame, *, shard_items: int = SHARD_I
     each_kind = "array<struct<capacity_id:int,max_tokens:bigint>>"
     caps = F.array(*[F.struct(F.lit(c).cast("int").alias("capacity_id"), F.lit(m).cast("long").alias("max_tokens")) for c, m in asked]).cast(each_kind)
     shards = max(1, -(-n // shard_items))
+    # Repeated rows meet as one row and its number first, so an id that holds many rows is spread like any other.
+    rows = counts.groupBy("id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n"))
+    items = rows.select("id", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).select("*", F.pmod(F.xxhash64("id", "n_tokens", "copy"), F.lit(shards)).cast("long").alias("shard"))
     # Each text once per capacity: that is the result's size.
-    each = counts.select("id", "n_tokens", F.explode(caps).alias("c")).select("id", "n_tokens", "c.*").withColumn("full", F.floor(F.col("n_tokens") / F.col("max_tokens")))
-    whole = each.where("full > 0").select("capacity_id", "id", "max_tokens", "n_tokens", "full", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece"))
-    full = whole.select(
-        "capacity_id", (-1 - F.monotonically_increasing_id()).alias("container_id"), "id", "piece",
-        (F.col("piece") * F.col("max_tokens")).alias("first_token"), F.col("max_tokens").alias("n_tokens"),
-    )
-    rest = each.withColumn("left", F.col("n_tokens") - F.col("full") * F.col("max_tokens"))
-    none = rest.where("n_tokens = 0").select("capacity_id", F.lit(None).cast("long").alias("container_id"), "id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("first_token"), "n_tokens")
-    items = rest.where("left > 0").select(
-        "capacity_id", "max_tokens", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("long").alias("shard"), "id",
-        F.col("full").alias("piece"), (F.col("full") * F.col("max_tokens")).alias("first_token"), F.col("left").alias("n_tokens"),
-    )
-    packed = items.groupBy("capacity_id", "shard").applyInArrow(_pack, "capacity_id int, container_id long, id long, piece long, first_token long, n_tokens long")
-    return packed.unionByName(full).unionByName(none)
+    each = items.select("id", "n_tokens", "copy", "shard", F.explode(caps).alias("c")).select("c.capacity_id", "c.max_tokens", "shard", "id", "n_tokens", "copy")
+    return each.groupBy("capacity_id", "max_tokens", "shard").applyInArrow(_pack, "capacity_id int, container_id long, id long, piece long, first_token long, n_tokens long")
 
 
 def pack_texts(df: DataFrame, ident: Column, text: Column, capacities: DataFrame, *, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, **options) -> DataFrame:

@@ -88,17 +88,40 @@ def test_pack_edges(spark):
         packing.pack(twice, spark.createDataFrame([(1, 0)], "capacity_id int, max_tokens int"))
 
 
+def test_pack_does_not_depend_on_splits(spark):
+    rng = random.Random(6)
+    rows = [(i // 3, rng.choice([0, 3, 40, 90, 250])) for i in range(900)] + [(7, 33)] * 300
+    counts, caps = spark.createDataFrame(rows, "id long, n_tokens long"), spark.createDataFrame([(1, 100), (2, 64)], "capacity_id int, max_tokens int")
+    one, other = ([tuple(r) for r in packing.pack(counts.repartition(n), caps, shard_items=150).collect()] for n in (1, 7))
+    assert sorted(one, key=str) == sorted(other, key=str)
+
+
 @needs_tokenizer
 def test_token_counts(spark):
-    path = os.path.join(packing.TOKENIZERS, packing.VOCABULARY)
-    long = "word " * 100_000
-    assert packing.count_tokens(path, ["hello world", None, "", "<|endoftext|>", long])[:3] == [2, 0, 0]
-    assert abs(packing.count_tokens(path, [long])[0] - 100_001) <= 4
+    enc = packing.encoder()
+    assert packing.count_tokens(enc, ["hello world", None, "", "<|endoftext|>"])[:3] == [2, 0, 0]
     df = spark.createDataFrame([(1, "a b c", "x"), (2, None, "y")], "id long, text string, n_tokens string")
     got = packing.pack_texts(df, F.col("id"), F.col("text"), spark.createDataFrame([(1, 2)], "capacity_id int, max_tokens int")).collect()
     assert sorted((r.id, r.piece, r.n_tokens) for r in got) == [(1, 0, 2), (1, 1, 1), (2, 0, 0)]
 
 
+@needs_tokenizer
+def test_token_counts_of_very_long_texts(monkeypatch):
+    """Cut or not, a text has the same tokens; a run with no place to cut is counted too."""
+    enc = packing.encoder()
+    rng = random.Random(8)
+    texts = ["word " * 100_000, "a1.\t b  \n\n c's" * 30_000, "x" * 250_000, "é ß \u00a0ö's 12 " * 20_000]
+    texts += ["".join(rng.choices("ab1 .'s\n\t_\u00a0é", k=300)) for _ in range(200)]
+    whole = [len(enc.encode_ordinary(t)) for t in texts]
+    assert packing.count_tokens(enc, texts) == whole
+    monkeypatch.setattr(packing, "_STRETCH", 7)
+    assert packing.count_tokens(enc, texts) == whole
+    monkeypatch.setattr(packing, "_MOST", 20)
+    assert packing.count_tokens(enc, texts[-200:]) == whole[-200:]
+    monkeypatch.undo()
+    assert packing.count_tokens(enc, [" " * 1_000_000]) == [1_000_000]
+
+
 ITEM = "The saddler labelled 23 wheels beside the north gate, then cooled 61 kites by candle light before noon. Why?"
 
 
