@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,26 +21,18 @@ HEAVY_SHARE = 1024
 FAN_IN = 16
 
 
-def _combine(chunk_rows: int, heavy_at: int):
-    """mapInArrow: rows (key_field, key, value) -> one state per key and chunk."""
+def _combine(chunk_rows: int, heavy_at: int, valued: bool):
+    """mapInArrow: rows (key_field, key, value) -> one state per key and chunk; null keys, which are no values, count too."""
+    counted = [("value", "min"), ("value", "max"), ("value", "count")] if valued else []
 
     def states(parts: list[pa.RecordBatch], part: int, chunk: int) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
-        g = t.group_by(["key_field", "key_value"]).aggregate(
-            [([], "count_all"), ("value", "min"), ("value", "max"), ("value", "count")]
-        )
-        n = g["count_all"]
-        size = len(g)
-        heavy = pc.greater_equal(n, heavy_at)
-        out = pa.table(
-            {
-                "key_field": g["key_field"], "key_value": g["key_value"], "heavy": heavy,
-                "chunk": pa.array([(part << 24) + chunk] * size, pa.int64()),
-                "n": n.cast(pa.int64()), "lo": g["value_min"], "hi": g["value_max"],
-                "valued": g["value_count"].cast(pa.int64()),
-            }
-        )
-        return out.combine_chunks()
+        g = t.group_by(["key_field", "key_value"]).aggregate([([], "count_all"), *counted])
+        n, size = g["count_all"], len(g)
+        columns = {"key_field": g["key_field"], "key_value": g["key_value"], "heavy": pc.greater_equal(n, heavy_at), "chunk": pa.array([(part << 24) + chunk] * size, pa.int64()), "n": n.cast(pa.int64())}
+        if valued:
+            columns |= {"lo": g["value_min"], "hi": g["value_max"], "valued": g["value_count"].cast(pa.int64())}
+        return pa.table(columns).combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -60,21 +52,39 @@ def _combine(chunk_rows: int, heavy_at: int):
     return run
 
 
-def _merged(df: DataFrame, *by: str, **more: "F.Column") -> DataFrame:
-    state = {"n": F.sum("n"), "lo": F.min("lo"), "hi": F.max("hi"), "valued": F.sum("valued")} | more
-    return df.groupBy(*by).agg(*[c.alias(k) for k, c in state.items()])
+def _merged(df: DataFrame, *by: str, **more: Column) -> DataFrame:
+    state = {"n": F.sum("n"), "lo": F.min("lo"), "hi": F.max("hi"), "valued": F.sum("valued")}
+    return df.groupBy(*by).agg(*[c.alias(k) for k, c in (state | more).items() if k in df.columns or k in more])
+
+
+def _tree(df: DataFrame, keys: dict[str, Column], value: Column | None, chunk_rows: int, heavy_share: int, fan_in: int, partitions: int | None) -> DataFrame:
+    """States of all keys, null keys among them, merged through at least one round of the tree."""
+    if fan_in < 2 or chunk_rows < 1:
+        raise ValueError("fan_in must be at least 2 and chunk_rows at least 1")
+    partitions = partitions or scan_partitions(df) or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labels = list(keys)
+    values = [] if value is None else [value.alias("value")]
+    flat = df.select(*values, *[keys[k].cast("string").alias(f"k{i}") for i, k in enumerate(labels)])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("key_field"), F.col(f"k{i}").alias("key_value")) for i, k in enumerate(labels)]))
+    long = flat.select(*["value" for _ in values], each.alias("k")).select("k.key_field", "k.key_value", *["value" for _ in values])
+    kinds = {"key_field": T.StringType(), "key_value": T.StringType(), "heavy": T.BooleanType(), "chunk": T.LongType(), "n": T.LongType()}
+    if values:
+        kinds |= {"lo": (vt := flat.schema["value"].dataType), "hi": vt, "valued": T.LongType()}
+    schema = T.StructType([T.StructField(k, t) for k, t in kinds.items()])
+    states = long.mapInArrow(_combine(chunk_rows, max(2, chunk_rows // heavy_share), bool(values)), schema)
+    # First round: light states (slot -1) meet by key, heavy ones by key and fan_in partitions. Both branches read
+    # this one exchange: a filter on an aggregate isn't pushed below it.
+    slot = F.when(F.col("heavy"), F.floor(F.shiftright("chunk", 24) / fan_in)).otherwise(F.lit(-1))
+    first = _merged(states.withColumn("slot", slot), "key_field", "key_value", "slot", at=F.max("slot"))
+    light, heavy = first.where("at < 0").drop("at", "slot"), first.where("at >= 0").drop("at")
+    for _ in range(math.ceil(math.log(max(2, partitions), fan_in)) - 1):
+        heavy = _merged(heavy.withColumn("slot", F.floor(F.col("slot") / fan_in)), "key_field", "key_value", "slot")
+    return _merged(light.unionByName(heavy.drop("slot")), "key_field", "key_value", none=F.max(F.col("key_value").isNull()))
 
 
 def tree_aggregate(
-    df: DataFrame,
-    keys: dict[str, "F.Column"],
-    value: "F.Column",
-    *,
-    chunk_rows: int = CHUNK_ROWS,
-    heavy_share: int = HEAVY_SHARE,
-    fan_in: int = FAN_IN,
-    partitions: int | None = None,
-) -> DataFrame:
+    df: DataFrame, keys: dict[str, Column], value: Column, *, chunk_rows: int = CHUNK_ROWS, heavy_share: int = HEAVY_SHARE, fan_in: int = FAN_IN, partitions: int | None = None,
+) -> DataFrame:
     """Rows, valued rows, least and greatest value of every key, with evenly loaded tasks.
 
     `keys` maps a label (column key_field) to the expression whose values (key_value, string) are the keys;
@@ -82,8 +92,8 @@ def tree_aggregate(
 
     Each task combines fixed-size chunks of its input to one state per key. States of keys that are heavy in
     their chunk are merged in rounds of `fan_in` partitions, so that no task ever receives all states of a hot
-    key; there are log(partitions, fan_in) rounds, over at most `heavy_share` keys a chunk. All other states
-    carry few rows each; they meet by key and join the roots of the tree in one last aggregation by key.
+    key; there are log(partitions, fan_in) rounds, one at least, over at most `heavy_share` keys a chunk. All other
+    states carry few rows each; they meet by key and join the roots of the tree in one last aggregation by key.
 
     `partitions`: by default the number of partitions of `df` if that is a plan without shuffles, such as a scan,
     else spark.sql.shuffle.partitions. It sets the number of rounds only: a low figure costs balance, never rows.
@@ -92,41 +102,20 @@ def tree_aggregate(
     has null lo and hi. Ties and repeated rows count as they stand. An empty table gives an empty result.
     Other columns of `df`, whatever their names, are not read.
     """
-    if fan_in < 2 or chunk_rows < 1:
-        raise ValueError("fan_in must be at least 2 and chunk_rows at least 1")
-    partitions = partitions or scan_partitions(df) or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    labels = list(keys)
-    flat = df.select(value.alias("value"), *[keys[k].cast("string").alias(f"k{i}") for i, k in enumerate(labels)])
-    vt = flat.schema["value"].dataType
-    long = flat.select(
-        "value", F.explode(F.array(*[F.struct(F.lit(k).alias("key_field"), F.col(f"k{i}").alias("key_value")) for i, k in enumerate(labels)])).alias("k")
-    ).select("k.key_field", "k.key_value", "value").where("key_value is not null")
-    schema = T.StructType(
-        [T.StructField("key_field", T.StringType()), T.StructField("key_value", T.StringType()), T.StructField("heavy", T.BooleanType()),
-         T.StructField("chunk", T.LongType()), T.StructField("n", T.LongType()), T.StructField("lo", vt), T.StructField("hi", vt),
-         T.StructField("valued", T.LongType())]
-    )
-    heavy_at = max(2, chunk_rows // heavy_share)
-    states = long.mapInArrow(_combine(chunk_rows, heavy_at), schema)
-    rounds = math.ceil(math.log(max(2, partitions), fan_in))
-    tree = states
-    if rounds > 1:
-        # First round: light states (slot -1) meet by key, heavy ones by key and fan_in partitions. Both branches
-        # read this one exchange: a filter on an aggregate isn't pushed below it.
-        slot = F.when(F.col("heavy"), F.floor(F.shiftright("chunk", 24) / fan_in)).otherwise(F.lit(-1))
-        first = _merged(states.withColumn("slot", slot), "key_field", "key_value", "slot", at=F.max("slot"))
-        light, heavy = first.where("at < 0").drop("at", "slot"), first.where("at >= 0").drop("at")
-        for _ in range(rounds - 2):
-            heavy = _merged(heavy.withColumn("slot", F.floor(F.col("slot") / fan_in)), "key_field", "key_value", "slot")
-        tree = light.unionByName(heavy.drop("slot"))
-    return _merged(tree, "key_field", "key_value").select(
-        "key_field", "key_value", F.col("n").alias("n_rows"), F.col("valued").alias("n_valued"), F.col("lo").alias("first_value"), F.col("hi").alias("last_value")
-    )
-
-
-def hot_keys(df: DataFrame, keys: dict[str, "F.Column"], value: "F.Column", share: float, **options) -> DataFrame:
-    """The keys that hold at least `share` of all rows, from the tree aggregation; see `tree_aggregate`.
-
-    The number of all rows, nulls included, is counted first.
+    tree = _tree(df, keys, value, chunk_rows, heavy_share, fan_in, partitions).where(~F.col("none"))
+    return tree.select("key_field", "key_value", F.col("n").alias("n_rows"), F.col("valued").alias("n_valued"), F.col("lo").alias("first_value"), F.col("hi").alias("last_value"))
+
+
+def hot_keys(
+    df: DataFrame, keys: dict[str, Column], share: float, *, chunk_rows: int = CHUNK_ROWS, heavy_share: int = HEAVY_SHARE, fan_in: int = FAN_IN, partitions: int | None = None,
+) -> DataFrame:
+    """The keys that hold at least `share` of all rows, nulls included: (key_field, key_value, n_rows); see `tree_aggregate`.
+
+    The states carry all rows, so `df` is read once; the number of rows of each field (one row a field) is what is
+    broadcast to compare the keys with. Both sides read the tree's last exchange.
     """
-    return tree_aggregate(df, keys, value, **options).where(F.col("n_rows") >= F.lit(df.count() * share))
+    tree = _tree(df, keys, None, chunk_rows, heavy_share, fan_in, partitions)
+    # `nulls` is asked for so that both sides need the same columns: only then is the exchange the same.
+    totals = tree.groupBy("key_field").agg(F.sum("n").alias("all"), F.max("none").alias("nulls"))
+    found = tree.join(F.broadcast(totals), "key_field").where(~F.col("none") & F.col("nulls").isNotNull() & (F.col("n") >= F.col("all") * F.lit(share)))
+    return found.select("key_field", "key_value", F.col("n").alias("n_rows"))

@@ -18,7 +18,7 @@ def _keys() -> dict:
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Values of probe_id or read_name in at least 1 % of all rows of read2probe."""
     df = spark.read.parquet(f"{sf}/read2probe.parquet")
-    return hot_keys(df, _keys(), F.col("assigned_at"), 0.01).select("key_field", "key_value")
+    return hot_keys(df, _keys(), 0.01).select("key_field", "key_value")
 
 
 def p2_per_key(spark: SparkSession, sf: str) -> DataFrame:

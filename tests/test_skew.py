@@ -43,15 +43,25 @@ def test_tree_aggregate(spark, partitions):
 
 def test_hot_keys_edges(spark):
     empty = spark.createDataFrame([], "k string, n int, value string, chunk int")
-    assert hot_keys(empty, {"k": F.col("k")}, F.col("n"), 0.1).collect() == []
+    assert hot_keys(empty, {"k": F.col("k")}, 0.1).collect() == []
     # Columns named like the operator's own, nulls only, and repeated rows.
     df = spark.createDataFrame([("a", 1, "x", 0)] * 3 + [(None, 2, "y", 1)], "k string, n int, value string, chunk int")
-    got = hot_keys(df, {"k": F.col("k")}, F.col("n"), 0.5).collect()
+    got = hot_keys(df, {"k": F.col("k")}, 0.5).collect()
     assert [(r.key_value, r.n_rows) for r in got] == [("a", 3)]
     with pytest.raises(ValueError, match="fan_in"):
         tree_aggregate(df, {"k": F.col("k")}, F.col("n"), fan_in=1)
 
 
+def test_hot_keys_read_once_through_a_round(spark, tmp_path):
+    """At any number of partitions there is a round of the tree, and one scan serves keys and totals."""
+    spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) as k").repartition(2).write.parquet(str(tmp_path / "t"))
+    got = hot_keys(spark.read.parquet(str(tmp_path / "t")), {"k": F.col("k")}, 0.1, chunk_rows=200)
+    assert [tuple(r) for r in got.collect()] == [("k", "hot", 1000)]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    scans, reused = plan.count("Scan parquet"), plan.count("ReusedExchange")
+    assert "slot" in plan and scans == 1 and reused >= 2, plan
+
+
 def _brute_spans(rows):
     cover = defaultdict(set)
     for g, a, b in rows:
