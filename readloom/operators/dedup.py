@@ -40,13 +40,27 @@ def reduce_duplicates(pairs: DataFrame, *, policy: str = "remove") -> DataFrame:
     return flagged.withColumn("is_duplicate", ~F.col("is_best")).select(*rows.columns, "is_duplicate", "is_best")
 
 
+def _reduced(pairs: DataFrame) -> DataFrame:
+    """(probe_id, uid, n_pairs, n_unable, unable_best) per probe and barcode; pairs without a column `extended` all could be extended."""
+    rows = pairs.dropna(subset=["probe_id", "uid", "read_index"])
+    able = F.coalesce("extended", F.lit(True)) if "extended" in pairs.columns else F.lit(True)
+    best = F.max(F.struct("score", (-F.col("read_index")).alias("i"), able.alias("able")))
+    return rows.groupBy("probe_id", "uid").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(~able).alias("n_unable"), (~best["able"]).cast("long").alias("unable_best"))
+
+
 def probe_stats(pairs: DataFrame, probes: DataFrame) -> DataFrame:
-    """Per probe: unique_pairs, duplicate_pairs, total_pairs, average_pairs_per_uid (0 where there are none), max_pairs_per_uid."""
-    one = best_pairs(pairs).groupBy("probe_id").agg(F.count(F.lit(1)).alias("u"), F.sum("n_pairs").alias("t"), F.max("n_pairs").alias("m"))
+    """Per probe: unique_pairs, duplicate_pairs, total_pairs, average_pairs_per_uid (0 where there are none), max_pairs_per_uid.
+
+    Pairs whose column `extended`, if there is one, is false are taken off unique_pairs where they are the best of
+    their barcode and off duplicate_pairs where they aren't; max_pairs_per_uid counts them.
+    """
+    one = _reduced(pairs).groupBy("probe_id").agg(
+        (F.count(F.lit(1)) - F.sum("unable_best")).alias("u"), (F.sum("n_pairs") - F.sum("n_unable")).alias("t"), F.max("n_pairs").alias("m")
+    )
     u, t = F.coalesce("u", F.lit(0)), F.coalesce("t", F.lit(0))
+    average = F.when(u > 0, F.round(t.cast("double") / u, 2)).otherwise(0.0)
     return probes.select("probe_id").join(one, "probe_id", "left").select(
-        "probe_id", u.alias("unique_pairs"), (t - u).alias("duplicate_pairs"), t.alias("total_pairs"),
-        F.coalesce(F.round(F.try_divide(t.cast("double"), u), 2), F.lit(0.0)).alias("average_pairs_per_uid"), F.coalesce("m", F.lit(0)).alias("max_pairs_per_uid"),
+        "probe_id", u.alias("unique_pairs"), (t - u).alias("duplicate_pairs"), t.alias("total_pairs"), average.alias("average_pairs_per_uid"), F.coalesce("m", F.lit(0)).alias("max_pairs_per_uid"),
     )
 
 
@@ -58,11 +72,21 @@ def probe_details(pairs: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def uid_tallies(pairs: DataFrame) -> DataFrame:
-    """(probe_id, uid, n, rank): each probe's barcodes by falling count, ties by barcode, one row each."""
+    """(probe_id, uid, n, rank): each probe's barcodes by falling count, ties by barcode, one row each.
+
+    Ranks run within parts of a probe, cut by the size of the count; each part starts after the barcodes of the
+    parts before it. Only the barcodes of one count fall into one part, and those are cut further by their own order.
+    """
     from pyspark.sql import Window as W
 
     counts = best_pairs(pairs).select("probe_id", "uid", F.col("n_pairs").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(W.partitionBy("probe_id").orderBy(F.col("n").desc(), "uid")))
+    cut = counts.withColumn("lead", F.substring("uid", 1, 3))
+    part = ["probe_id", "n", "lead"]
+    sizes = cut.groupBy(*part).agg(F.count(F.lit(1)).alias("size"))
+    order = W.partitionBy("probe_id").orderBy(F.col("n").desc(), "lead").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select(*part, F.coalesce(F.sum("size").over(order), F.lit(0)).alias("before"))
+    own = F.row_number().over(W.partitionBy(*part).orderBy("uid"))
+    return cut.withColumn("own", own).join(before, part).select("probe_id", "uid", "n", (F.col("own") + F.col("before")).cast("int").alias("rank"))
 
 
 def distinct_uids(pairs: DataFrame) -> DataFrame:
@@ -85,7 +109,10 @@ def mapping_classes(records: DataFrame) -> DataFrame:
 
 
 def summary_report(pairs: DataFrame, probes: DataFrame, classes: DataFrame, *, prefix: str = "") -> DataFrame:
-    """The summary report, one row of 21 columns; `classes` is the row of `mapping_classes`."""
+    """The summary report, one row of 21 columns; `classes` is the row of `mapping_classes`.
+
+    Pairs on target are those counted by `probe_stats`, so without the ones that couldn't be extended.
+    """
     per = probe_stats(pairs, probes)
     u = F.col("unique_pairs")
     got = per.agg(

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from readloom.functions import sequence as S
 from readloom.functions.sequence import kmer_number, reverse_complement
 
+#: K-mers of A, C, G and T up to which the references' own are broadcast to sift the queries'.
+KNOWN_KMERS = 1 << 18
+
 
 def exploded(df: DataFrame, ident: str, seq: str, k: int, *, spacing: int = 1, last: bool = True) -> DataFrame:
     """(ident, pos, kmer) of every spacing-th k-mer; sequences shorter than k have none."""
@@ -20,20 +23,27 @@ def exploded(df: DataFrame, ident: str, seq: str, k: int, *, spacing: int = 1, l
 
 def candidates(
     queries: DataFrame, references: DataFrame, *, query_id: str = "query_id", reference_id: str = "reference_id", seq: str = "seq", k: int = 5, query_spacing: int = 1,
-    reference_spacing: int = 1, most_references: int = 15_000, limit: int | None = None, least_ratio: float = 0.0, include_last: bool = False,
+    reference_spacing: int = 1, most_references: int | None = None, limit: int | None = None, least_ratio: float = 0.0, include_last: bool = False,
 ) -> DataFrame:
     """Query and reference with the number of query k-mers that the reference holds: (query_id, reference_id, hits, rank).
 
-    The references' k-mers form an inverted index; k-mers that more than `most_references` references hold are
-    no evidence and left out of it. Candidates are ranked by hits; one stays while it reaches `least_ratio` of
+    The references' k-mers form an inverted index. With `most_references`, k-mers that more references hold are no
+    evidence and left out of it; without, nothing is. Candidates are ranked by hits; one stays while it reaches `least_ratio` of
     the query's or of its own possible hits and, with a `limit`, while at most `limit` are before it or it ties
     with the last of these. As is usual here, the last k-mer of a sequence counts only with `include_last`.
     Repeated k-mers of a query count each time, those of a reference once.
     """
     index = exploded(references, reference_id, seq, k, spacing=reference_spacing, last=include_last).select(reference_id, "kmer").distinct()
-    busy = index.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_references).select("kmer")
-    index = index.join(busy, "kmer", "left_anti")
-    asked = exploded(queries, query_id, seq, k, spacing=query_spacing, last=include_last).groupBy(query_id, "kmer").agg(F.count(F.lit(1)).alias("times"))
+    if most_references is not None:
+        busy = index.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_references).select("kmer")
+        index = index.join(busy, "kmer", "left_anti")
+    places = exploded(queries, query_id, seq, k, spacing=query_spacing, last=include_last)
+    # Where all k-mers of A, C, G and T are few, those that no reference holds are dropped before anything is shuffled.
+    if 4**k <= KNOWN_KMERS:
+        plain = F.col("kmer").rlike("^[ACGT]+$")
+        known = index.where(plain).select("kmer", F.lit(True).alias("known")).distinct()
+        places = places.join(F.broadcast(known), "kmer", "left").where(F.col("known") | ~plain).drop("known")
+    asked = places.groupBy(query_id, "kmer").agg(F.count(F.lit(1)).alias("times"))
     hits = asked.join(index, "kmer").groupBy(query_id, reference_id).agg(F.sum("times").alias("hits"))
     if least_ratio > 0:
         q = queries.select(query_id, ((F.length(seq) - k) / query_spacing).alias("q_possible"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from readloom.functions.cigar import pair_metrics
 from readloom.functions.sequence import fixed_trim, has_n, merge_pair, orientations, quality_total, quality_trim, reverse_complement, uid
 from readloom.operators.alignment import Scoring, extend_to_primers, global_alignments, tasks
-from readloom.operators.dedup import reduce_duplicates
+from readloom.operators.dedup import mapping_classes, probe_details, reduce_duplicates, summary_report, uid_tallies
 from readloom.operators.joins import best_candidates, mate_probe_intersection, merge_raw_reads, range_join, unambiguous
 from readloom.operators.kmers import candidates, placed
 from readloom.session import materialize
@@ -71,23 +71,52 @@ def resolve(assigned: DataFrame, pairs: DataFrame, probes: DataFrame, *, ext_uid
     return single.unionByName(best_candidates(per).select("read_index", "probe_id"))
 
 
+@dataclass(frozen=True)
+class DedupRun:
+    """What `dedup_run` makes: the reduced pairs, and its reports."""
+
+    pairs: DataFrame
+    probe_details: DataFrame
+    uid_tallies: DataFrame
+    summary: DataFrame
+
+
 def dedup(alignments: DataFrame, reads: DataFrame, probes: DataFrame, options: DedupOptions = DedupOptions()) -> DataFrame:
     """Reduced, extended read pairs: read_index, probe_id, uid, name, r1, r2, quals, is_duplicate, is_best, one, two, extended.
 
     `alignments` as from `read_sam`, `reads`: name, mate, read_index, seq, qual. With `merge_pairs` the extended
-    mates come as one sequence too (struct merged).
+    mates come as one sequence too (struct merged). Alignments none of which has a read are an error.
+    """
+    return dedup_run(alignments, reads, probes, options).pairs
+
+
+def dedup_run(alignments: DataFrame, reads: DataFrame, probes: DataFrame, options: DedupOptions = DedupOptions(), *, prefix: str = "") -> DedupRun:
+    """`dedup` with its reports: per probe, barcodes per probe, and the summary; `prefix` names the sample in it.
+
+    Pairs that reduction keeps but that can't be extended to their primers are taken off the reports' counts.
     """
     # Read several times below, so written once: merged reads, and later the assigned and scored pairs.
     whole = materialize(merge_raw_reads(alignments.where("is_primary"), reads), "merged-reads")
+    if whole.isEmpty():
+        a, r = (df.select("name").limit(1).collect() for df in (alignments, reads))
+        if a and r:
+            raise ValueError(f"no alignment has a read of its name, such as {a[0].name!r} and {r[0].name!r}")
     one, two = (whole.where(f"mate = {m}").select("read_index", "name", F.col("seq").alias(f"r{m}"), F.col("qual").alias(f"q{m}")) for m in (1, 2))
     pairs = one.join(two.drop("name"), "read_index").where(~has_n("r1") & ~has_n("r2"))
     assigned = materialize(assign_probes(whole, probes), "assigned")
     probe_of = resolve(assigned, pairs, probes, ext_uid=options.ext_uid, lig_uid=options.lig_uid)
     barcode = F.concat(uid("r1", options.ext_uid), uid("r2", options.lig_uid))
-    scored = pairs.join(probe_of, "read_index").select("read_index", "probe_id", barcode.alias("uid"), (quality_total("q1") + quality_total("q2")).alias("score"), "name", "r1", "q1", "r2", "q2")
-    kept = materialize(reduce_duplicates(materialize(scored, "scored"), policy=options.policy), "reduced")
-    extended = extend_to_primers(kept.select(F.col("read_index").alias("id"), "probe_id", "r1", "r2"), probes, scoring=options.scoring)
-    out = kept.join(extended.select(F.col("id").alias("read_index"), "one", "two", "extended"), "read_index").where("extended")
+    scored = materialize(pairs.join(probe_of, "read_index").select("read_index", "probe_id", barcode.alias("uid"), (quality_total("q1") + quality_total("q2")).alias("score"), "name", "r1", "q1", "r2", "q2"), "scored")
+    kept = materialize(reduce_duplicates(scored, policy=options.policy), "reduced")
+    extended = materialize(extend_to_primers(kept.select(F.col("read_index").alias("id"), "probe_id", "r1", "r2"), probes, scoring=options.scoring), "extended")
+    extended = extended.withColumnRenamed("id", "read_index")
+    counted = scored.select("read_index", "probe_id", "uid", "score").join(extended.select("read_index", "extended"), "read_index", "left")
+    classes = mapping_classes(alignments.where("is_primary").select("name", "mate", "mapped"))
+    out = _merged_mates(kept.join(extended.drop("probe_id"), "read_index").where("extended"), probes, options)
+    return DedupRun(out, probe_details(counted, probes), uid_tallies(counted), summary_report(counted, probes, classes, prefix=prefix))
+
+
+def _merged_mates(out: DataFrame, probes: DataFrame, options: DedupOptions) -> DataFrame:
     if options.merge_pairs:
         strand = probes.select("probe_id", (F.col("strand") == "-").alias("back"))
         out = out.join(strand, "probe_id")
@@ -123,7 +152,13 @@ def mismatched_names(one: DataFrame, two: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class FindOptions:
-    """Options of `find_and_trim`: what a match may differ by, and what of a read stays."""
+    """Options of `find_and_trim`: what a match may differ by, what of a read stays, and what is noted of it.
+
+    replace_found puts the searched sequence, with the best quality, in place of what was found (unless that is
+    kept). notes: names of annotations by what they hold: before, found, after, sought, primary_id, secondary_id,
+    orientation. limit and least_ratio: candidates as `kmers.candidates` bounds them, for speed; without them no
+    match is missed.
+    """
 
     mismatches: int = 2
     insertion_gaps: int = 0
@@ -134,41 +169,72 @@ class FindOptions:
     keep_before: bool = False
     keep_found: bool = True
     keep_after: bool = True
+    replace_found: bool = False
     leading_quality: int = 0
     trailing_quality: int = 0
     all_orientations: bool = True
+    notes: dict[str, str] = field(default_factory=dict)
+    limit: int | None = None
+    least_ratio: float = 0.0
 
 
-def _near(texts: DataFrame, sought: DataFrame, o: FindOptions, broadcast_rows: int = 100_000) -> DataFrame:
-    """(ref, qry) of texts and sought sequences worth an alignment, as `find_and_trim` tells."""
-    gaps = min(o.insertion_gaps, o.insertion_bases) > 0 or min(o.deletion_gaps, o.deletion_bases) > 0
+def _by_kmers(texts: DataFrame, sought: DataFrame, o: FindOptions) -> DataFrame:
+    """(ref, qry) that share as many k-mers as a match within the allowed differences must leave.
 
-    def by_kmers(t: DataFrame, s: DataFrame) -> DataFrame:
-        got = candidates(t.select(F.col("text").alias("query_id"), F.col("text").alias("seq")), s.select(F.col("sought").alias("reference_id"), F.col("sought").alias("seq")), k=o.k)
+    A mismatch, a missing base or a code that stands for several breaks at most k k-mers of the sought sequence, a
+    gap k - 1 more at its place. k is the greatest, up to o.k, for which one is left. Of a text with such codes one
+    k-mer is enough.
+    """
+    q, r = texts.select(F.col("text").alias("query_id"), F.col("text").alias("seq")), sought.select(F.col("sought").alias("reference_id"), F.col("sought").alias("seq"))
+    if o.limit is not None or o.least_ratio > 0:
+        got = candidates(q, r, k=o.k, limit=o.limit, least_ratio=o.least_ratio)
         return got.select(F.col("query_id").alias("ref"), F.col("reference_id").alias("qry"))
+    insertions = o.insertion_gaps if o.insertion_bases else 0
+    deletions = min(o.deletion_gaps, o.deletion_bases)
+    missing = o.deletion_bases if o.deletion_gaps else 0
+    codes = F.regexp_count(F.upper("seq"), F.lit("[^ACGT]"))
+
+    def left(k: int) -> Column:
+        return F.length("seq") - k + 1 - k * (o.mismatches + codes) - (k - 1) * (insertions + deletions) - missing
+
+    best = F.coalesce(*[F.when(left(k) >= 1, F.lit(k)) for k in range(o.k, 0, -1)], F.when(F.length("seq") > o.mismatches + missing, F.lit(1)), F.lit(0))
+    sized = r.withColumn("k", best).where("k > 0")
+    out = q.select("query_id", F.col("query_id").alias("reference_id")).limit(0)
+    for k in sorted(row.k for row in sized.select("k").distinct().collect()):
+        of = sized.where(F.col("k") == k)
+        got = candidates(q, of.drop("k"), k=k, include_last=True).join(of.select("reference_id", left(k).alias("left")), "reference_id")
+        enough = F.when(F.upper("query_id").rlike("^[ACGT]*$"), F.greatest(F.col("left"), F.lit(1))).otherwise(1)
+        out = out.unionByName(got.where(F.col("hits") >= enough).select("query_id", "reference_id"))
+    return out.select(F.col("query_id").alias("ref"), F.col("reference_id").alias("qry"))
 
-    if gaps:
-        return by_kmers(texts, sought)
+
+def _near(texts: DataFrame, sought: DataFrame, o: FindOptions, broadcast_rows: int = 100_000) -> DataFrame:
+    """(ref, qry) of texts and sought sequences worth an alignment, as `find_and_trim` tells."""
+    gaps = min(o.insertion_gaps, o.insertion_bases) > 0 or min(o.deletion_gaps, o.deletion_bases) > 0
+    if gaps or o.limit is not None or o.least_ratio > 0:
+        return _by_kmers(texts, sought, o)
     plain = lambda c: F.upper(c).rlike("^[ACGT]*$")
     few = F.upper("sought").rlike("^[ACGT]*([RYSWKMBDHVNU][ACGT]*){0,4}$")
-    whole = few & (F.length("sought") >= o.k * (o.mismatches + 1))
+    whole = few & (F.length("sought") >= 3 * (o.mismatches + 1))
     n = sought.agg(F.count_if(whole).alias("whole"), F.count_if(~whole).alias("rest")).first()
-    out = by_kmers(texts.where(~plain("text")), sought)
+    out = _by_kmers(texts.where(~plain("text")), sought, o)
     if n["rest"]:
-        out = out.union(by_kmers(texts.where(plain("text")), sought.where(~whole)))
+        out = out.union(_by_kmers(texts.where(plain("text")), sought.where(~whole), o))
     if n["whole"]:
         out = out.union(placed(texts.where(plain("text")), sought.where(whole), o.mismatches, broadcast=n["whole"] <= broadcast_rows))
     return out
 
 
 def find_and_trim(reads: DataFrame, searched: DataFrame, options: FindOptions = FindOptions()) -> DataFrame:
-    """Reads with each searched sequence found in them, cut: read_index, status, primary_id, secondary_id, orientation, before, found, after, seq, qual.
+    """Reads with each searched sequence found in them, cut: read_index, status, primary_id, secondary_id, orientation, before, found, after, seq, qual, notes.
 
     `reads`: read_index, seq, qual; `searched`: primary_id, secondary_id, seq. Reads are quality-trimmed, those
-    with N left out (status 'skipped'). Candidates share k-mers with a searched sequence in any orientation;
-    they are aligned and must keep within the allowed differences. Where no gaps are
-    allowed, only those that fit somewhere without any are aligned; no others can be found. status: 'none', 'single'
-    or 'multiple'; a read gives one row for each match, and one if there is none. Each distinct pair is aligned once.
+    with N left out (status 'skipped'). Sequences are searched in any orientation; what they may match is
+    aligned and must keep within the allowed differences. Where no gaps are allowed, only those that fit somewhere
+    without any are aligned; else those that share enough k-mers. status: 'none', 'single' or 'multiple'; a read
+    gives one row for each match, and one if there is none. Each distinct pair is aligned once. notes: the
+    annotations asked for, as text for a record's header, null where nothing was found. Searched sequences not longer
+    than the differences allowed to them would fit anything and are left out.
     """
     cut = quality_trim("seq", "qual", options.leading_quality, options.trailing_quality)
     clean = reads.select("read_index", cut.alias("c")).select("read_index", "c.seq", "c.qual", has_n("c.seq").alias("skip"))
@@ -188,9 +254,11 @@ def find_and_trim(reads: DataFrame, searched: DataFrame, options: FindOptions =
         (F.col("m.mismatches") <= o.mismatches) & (F.col("m.insertions") <= o.insertion_bases) & (F.col("m.insertion_gaps") <= o.insertion_gaps)
         & (F.col("m.deletions") <= o.deletion_bases) & (F.col("m.deletion_gaps") <= o.deletion_gaps)
     )
-    found = live.select("read_index", F.col("seq").alias("ref")).join(fits, "ref").join(wanted, "qry").select("read_index", "primary_id", "secondary_id", "orientation", "at", "len")
-    n = found.groupBy("read_index").agg(F.count(F.lit(1)).alias("n"))
-    out = clean.join(n, "read_index", "left").join(found, "read_index", "left")
+    # Alignments are read twice below, by count and by match, so they are written once.
+    fits = materialize(fits.drop("m"), "found")
+    hits = live.select("read_index", F.col("seq").alias("ref")).join(fits, "ref").join(wanted, "qry").select("read_index", "primary_id", "secondary_id", "orientation", "at", "len", "qry")
+    n = hits.groupBy("read_index").agg(F.count(F.lit(1)).alias("n"))
+    out = clean.join(n, "read_index", "left").join(hits, "read_index", "left")
     status = F.when(F.col("skip"), "skipped").when(F.col("n").isNull(), "none").when(F.col("n") == 1, "single").otherwise("multiple")
 
     def parts(c: str) -> tuple[Column, Column, Column]:
@@ -199,11 +267,19 @@ def find_and_trim(reads: DataFrame, searched: DataFrame, options: FindOptions =
 
     def kept(c: str) -> Column:
         b, f, a = parts(c)
-        some = [p for p, on in ((b, o.keep_before), (f, o.keep_found), (a, o.keep_after)) if on]
+        put = F.col("qry") if c == "seq" else F.repeat(F.lit("~"), F.length("qry"))
+        some = [p for p, on in ((b, o.keep_before), (f if o.keep_found else put, o.keep_found or o.replace_found), (a, o.keep_after)) if on]
         return F.when(F.col("at").isNull(), F.col(c)).otherwise(F.concat(*some) if some else F.lit(""))
 
     b, f, a = parts("seq")
-    return out.select("read_index", status.alias("status"), "primary_id", "secondary_id", "orientation", b.alias("before"), f.alias("found"), a.alias("after"), kept("seq").alias("seq"), kept("qual").alias("qual"))
+    held = {"before": b, "after": a, "found": F.upper(f), "sought": F.col("qry"), "primary_id": F.col("primary_id"), "secondary_id": F.col("secondary_id"), "orientation": F.col("orientation")}
+    if unknown := set(o.notes) - set(held):
+        raise ValueError(f"no such notes: {sorted(unknown)}")
+    said = F.concat(F.lit(""), *[F.concat(F.lit(f"{o.notes[k]}="), v, F.lit(" ")) for k, v in held.items() if k in o.notes])
+    return out.select(
+        "read_index", status.alias("status"), "primary_id", "secondary_id", "orientation", b.alias("before"), f.alias("found"), a.alias("after"), kept("seq").alias("seq"), kept("qual").alias("qual"),
+        F.when(F.col("at").isNotNull(), said).alias("notes"),
+    )
 
 
 def find_summary(found: DataFrame) -> DataFrame:

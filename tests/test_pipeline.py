@@ -76,6 +76,23 @@ def test_dedup_policies_and_merging(tables):
     assert len(merged) == 6 and all(r.merged.seq in (by[r.probe_id][11], flip(by[r.probe_id][11])[::-1]) for r in merged)
 
 
+def test_dedup_reports(spark, tables):
+    """Counts without the pairs that can't be extended: here the best pair of one barcode, whose read one is no primer's."""
+    aln, reads, probes, _ = tables
+    broken = reads.withColumn("seq", F.when((F.col("read_index") == 4) & (F.col("mate") == 1), F.concat(F.lit("AAAAACCCCC"), F.repeat(F.lit("T"), 90))).otherwise(F.col("seq")))
+    run = P.dedup_run(aln, broken, probes, prefix="s")
+    assert {r.read_index for r in run.pairs.collect()} == {5, 13 + 1, 15, 24, 23}
+    per = {r.probe_id: (r.unique_pairs, r.duplicate_pairs, r.total_pairs, r.max_pairs_per_uid) for r in run.probe_details.collect()}
+    assert per == {"P0": (1, 4, 5, 3), "P1": (2, 4, 6, 3), "P2": (2, 3, 5, 3)}
+    s = run.summary.first()
+    assert (s.sample_prefix, s.pairs_with_both_reads_mapped, s.pairs_with_on_target_reads, s.pairs_with_off_target_reads, s.unique_read_pairs, s.duplicate_read_pairs_removed) == ("s", 18, 16, 2, 5, 11)
+    assert run.uid_tallies.count() == 6
+    marked = P.dedup_run(aln, broken, probes, P.DedupOptions(policy="mark"))
+    assert {r.probe_id: (r.unique_pairs, r.duplicate_pairs) for r in marked.probe_details.collect()}["P0"] == (1, 4)
+    with pytest.raises(ValueError, match="no alignment has a read"):
+        P.dedup(aln, reads.withColumn("name", F.lit("other")), probes)
+
+
 def test_ambiguous_probes(spark, tables):
     aln, reads, probes, _ = tables
     twin = probes.where("probe_id = 'P0'").withColumn("probe_id", F.lit("twin"))
@@ -112,6 +129,49 @@ def test_find_and_trim(spark):
     assert P.find_and_trim(reads.limit(0), wanted).collect() == []
 
 
+@pytest.mark.parametrize("gaps", [False, True])
+def test_find_and_trim_passes_over_nothing(spark, gaps):
+    """A sequence with up to two changes at any place, or with a gap, among random letters is always aligned; few others are."""
+    rnd = random.Random(7)
+    target, long = "ACGGTTCAAGCT", "ACGGTTCAAGCTTACCGATCAGGT"
+    flank = lambda: "".join(rnd.choices("ACGT", k=30))
+    rows = []
+    if gaps:
+        o = P.FindOptions(mismatches=1, insertion_gaps=1, insertion_bases=2, deletion_gaps=1, deletion_bases=1, all_orientations=False)
+        for i in range(3, 21):
+            rows += [long[:i] + "TA"[: 1 + i % 2] + long[i:], long[:i] + long[i + 1 :]]
+        sought = long
+    else:
+        o, sought = P.FindOptions(all_orientations=False), target
+        for i in range(12):
+            for j in range(i, 12):
+                s = list(target)
+                for k in {i, j}:
+                    s[k] = "ACGT"["ACGT".index(s[k]) - 1]
+                rows.append("".join(s))
+    df = spark.createDataFrame([(n, x, "I" * len(x)) for n, x in enumerate(flank() + s + flank() for s in rows)], "read_index long, seq string, qual string")
+    wanted = spark.createDataFrame([("t", "1", sought)], "primary_id string, secondary_id string, seq string")
+    work = P._near(df.select(F.col("seq").alias("text")), wanted.select(F.col("seq").alias("sought")), o)
+    assert work.distinct().count() == len(rows)
+    others = spark.createDataFrame([(flank() + flank(),) for _ in range(400)], "text string")
+    assert P._near(others, wanted.select(F.col("seq").alias("sought")), o).count() < 40
+
+
+def test_find_and_trim_outputs(spark):
+    target = "ACGGTTCAAGCTTACC"
+    seq = "TTTTT" + target[:7] + "T" + target[8:] + "GGGGG"
+    reads = spark.createDataFrame([(1, seq, "I" * len(seq)), (2, "T" * 20, "I" * 20)], "read_index long, seq string, qual string")
+    wanted = spark.createDataFrame([("t", "1", target)], "primary_id string, secondary_id string, seq string")
+    o = P.FindOptions(keep_found=False, replace_found=True, notes={"before": "uid", "primary_id": "probe_id", "orientation": "orientation", "found": "found"})
+    got = {r.read_index: r for r in P.find_and_trim(reads, wanted, o).collect()}
+    assert (got[1].seq, got[1].qual) == (target + "GGGGG", "~" * 16 + "I" * 5)
+    assert got[1].notes == f"uid=TTTTT found={target[:7]}T{target[8:]} probe_id=t orientation=FWD " and got[2].notes is None and got[2].seq == "T" * 20
+    bounded = P.find_and_trim(reads, wanted, P.FindOptions(limit=10, least_ratio=0.5))
+    assert {r.read_index: r.status for r in bounded.collect()} == {1: "single", 2: "none"}
+    with pytest.raises(ValueError, match="notes"):
+        P.find_and_trim(reads, wanted, P.FindOptions(notes={"x": "y"}))
+
+
 def test_paired_files(spark):
     rows = [(f, i, n) for f, names in {"a": "xyz", "b": "xyz", "c": "xzy", "d": "x", "e": "q", "f": "q", "g": "q"}.items() for i, n in enumerate(names)]
     df = spark.createDataFrame(rows, "path string, read_index int, name string")
