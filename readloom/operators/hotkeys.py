@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.session import scan_partitions
+from readloom.session import materialize, scan_partitions
 
 #: Rows of one input chunk, combined locally before anything is shuffled.
 CHUNK_ROWS = 131_072
@@ -52,16 +52,15 @@ def _combine(chunk_rows: int, heavy_at: int, valued: bool):
     return run
 
 
-def _merged(df: DataFrame, *by: str, **more: Column) -> DataFrame:
+def _merged(df: DataFrame, *by: str) -> DataFrame:
     state = {"n": F.sum("n"), "lo": F.min("lo"), "hi": F.max("hi"), "valued": F.sum("valued")}
-    return df.groupBy(*by).agg(*[c.alias(k) for k, c in (state | more).items() if k in df.columns or k in more])
+    return df.groupBy(*by).agg(*[c.alias(k) for k, c in state.items() if k in df.columns])
 
 
-def _tree(df: DataFrame, keys: dict[str, Column], value: Column | None, chunk_rows: int, heavy_share: int, fan_in: int, partitions: int | None) -> DataFrame:
-    """States of all keys, null keys among them, merged through at least one round of the tree."""
-    if fan_in < 2 or chunk_rows < 1:
-        raise ValueError("fan_in must be at least 2 and chunk_rows at least 1")
-    partitions = partitions or scan_partitions(df) or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _states(df: DataFrame, keys: dict[str, Column], value: Column | None, chunk_rows: int, heavy_share: int) -> DataFrame:
+    """The states of all keys by chunk, null keys among them, written to the shared folder: what follows reads them more than once."""
+    if chunk_rows < 1:
+        raise ValueError("chunk_rows must be at least 1")
     labels = list(keys)
     values = [] if value is None else [value.alias("value")]
     flat = df.select(*values, *[keys[k].cast("string").alias(f"k{i}") for i, k in enumerate(labels)])
@@ -71,15 +70,21 @@ def _tree(df: DataFrame, keys: dict[str, Column], value: Column | None, chunk_ro
     if values:
         kinds |= {"lo": (vt := flat.schema["value"].dataType), "hi": vt, "valued": T.LongType()}
     schema = T.StructType([T.StructField(k, t) for k, t in kinds.items()])
-    states = long.mapInArrow(_combine(chunk_rows, max(2, chunk_rows // heavy_share), bool(values)), schema)
-    # First round: light states (slot -1) meet by key, heavy ones by key and fan_in partitions. Both branches read
-    # this one exchange: a filter on an aggregate isn't pushed below it.
-    slot = F.when(F.col("heavy"), F.floor(F.shiftright("chunk", 24) / fan_in)).otherwise(F.lit(-1))
-    first = _merged(states.withColumn("slot", slot), "key_field", "key_value", "slot", at=F.max("slot"))
-    light, heavy = first.where("at < 0").drop("at", "slot"), first.where("at >= 0").drop("at")
-    for _ in range(math.ceil(math.log(max(2, partitions), fan_in)) - 1):
+    return materialize(long.mapInArrow(_combine(chunk_rows, max(2, chunk_rows // heavy_share), bool(values)), schema), "key-states")
+
+
+def _tree(states: DataFrame, fan_in: int, partitions: int) -> DataFrame:
+    """One state per key: heavy ones through the rounds of the tree, then with the light ones by key."""
+    known = states.where("key_value is not null")
+    light = known.where("not heavy").drop("heavy", "chunk")
+    heavy = known.where("heavy").withColumn("slot", F.shiftright("chunk", 24)).drop("heavy", "chunk")
+    for _ in range(math.ceil(math.log(max(2, partitions), fan_in))):
         heavy = _merged(heavy.withColumn("slot", F.floor(F.col("slot") / fan_in)), "key_field", "key_value", "slot")
-    return _merged(light.unionByName(heavy.drop("slot")), "key_field", "key_value", none=F.max(F.col("key_value").isNull()))
+    return _merged(light.unionByName(heavy.drop("slot")), "key_field", "key_value")
+
+
+def _partitions(df: DataFrame, partitions: int | None) -> int:
+    return partitions or scan_partitions(df) or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def tree_aggregate(
@@ -102,7 +107,9 @@ def tree_aggregate(
     has null lo and hi. Ties and repeated rows count as they stand. An empty table gives an empty result.
     Other columns of `df`, whatever their names, are not read.
     """
-    tree = _tree(df, keys, value, chunk_rows, heavy_share, fan_in, partitions).where(~F.col("none"))
+    if fan_in < 2:
+        raise ValueError("fan_in must be at least 2")
+    tree = _tree(_states(df, keys, value, chunk_rows, heavy_share), fan_in, _partitions(df, partitions))
     return tree.select("key_field", "key_value", F.col("n").alias("n_rows"), F.col("valued").alias("n_valued"), F.col("lo").alias("first_value"), F.col("hi").alias("last_value"))
 
 
@@ -112,10 +119,11 @@ def hot_keys(
     """The keys that hold at least `share` of all rows, nulls included: (key_field, key_value, n_rows); see `tree_aggregate`.
 
     The states carry all rows, so `df` is read once; the number of rows of each field (one row a field) is what is
-    broadcast to compare the keys with. Both sides read the tree's last exchange.
+    broadcast to compare the keys with.
     """
-    tree = _tree(df, keys, None, chunk_rows, heavy_share, fan_in, partitions)
-    # `nulls` is asked for so that both sides need the same columns: only then is the exchange the same.
-    totals = tree.groupBy("key_field").agg(F.sum("n").alias("all"), F.max("none").alias("nulls"))
-    found = tree.join(F.broadcast(totals), "key_field").where(~F.col("none") & F.col("nulls").isNotNull() & (F.col("n") >= F.col("all") * F.lit(share)))
+    if fan_in < 2:
+        raise ValueError("fan_in must be at least 2")
+    states = _states(df, keys, None, chunk_rows, heavy_share)
+    totals = states.groupBy("key_field").agg(F.sum("n").alias("all"))
+    found = _tree(states, fan_in, _partitions(df, partitions)).join(F.broadcast(totals), "key_field").where(F.col("n") >= F.col("all") * F.lit(share))
     return found.select("key_field", "key_value", F.col("n").alias("n_rows"))

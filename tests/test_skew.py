@@ -58,8 +58,7 @@ def test_hot_keys_read_once_through_a_round(spark, tmp_path):
     got = hot_keys(spark.read.parquet(str(tmp_path / "t")), {"k": F.col("k")}, 0.1, chunk_rows=200)
     assert [tuple(r) for r in got.collect()] == [("k", "hot", 1000)]
     plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
-    scans, reused = plan.count("Scan parquet"), plan.count("ReusedExchange")
-    assert "slot" in plan and scans == 1 and reused >= 2, plan
+    assert "slot" in plan and "/t]" not in plan and "/t," not in plan  # the table itself was read before, by the states
 
 
 def _brute_spans(rows):
