@@ -36,16 +36,22 @@ _INLINE = re.compile(r"`[^`\n]*`")
 _LINK = re.compile(r"\]\([^()\s]*\)|(?:https?|ftp)://\S+|\bwww\.\S+")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-_STOP = re.compile(r"[.!?…]+(?=[\s\"'”’)\]]|\Z)|\n\s*\n")
+# Runs of stops before a blank, a closing sign or the end, and blank lines; the set in front is what makes the search fast.
+_STOP = re.compile(r"[.!?…\n](?:(?<=\n)\s*\n|(?<!\n)[.!?…]*(?=[\s\"'”’)\]]|\Z))")
 _SIGNS = re.compile(r"['’\-]")
 
 
 def prose(text: str) -> str:
     """The text without program code (blocks, indented or inline) and without links; other markup goes too."""
-    if "`" in text or "~~~" in text or "<" in text:
+    tags = "<" in text
+    if tags or "`" in text or "~~~" in text:
         text = _INLINE.sub(" ", _BLOCK.sub("\n\n", text))
-    text = _INDENTED.sub("", text)
-    text = _LINK.sub(" ", _TAG.sub(" ", text))
+    if "    " in text or "\t" in text:
+        text = _INDENTED.sub("", text)
+    if tags:
+        text = _TAG.sub(" ", text)
+    if "://" in text or "](" in text or "www." in text:
+        text = _LINK.sub(" ", text)
     return html.unescape(text) if "&" in text else text
 
 
@@ -59,7 +65,7 @@ def measures(text: str) -> tuple[int, int, int, list[str], list[int]]:
     found = sentences(prose(text))
     words = [w for s in found for w in s]
     letters = sum(map(len, words)) - sum(len(_SIGNS.findall(w)) for w in words if not w.isalpha())
-    return len(words), len(found), letters, [w.lower() for w in words], [len(s) for s in found]
+    return len(words), len(found), letters, " ".join(words).lower().split(" "), [len(s) for s in found]
 
 
 def demanding(words: int, sents: int, letters: int) -> bool:
@@ -106,26 +112,28 @@ class Models:
     def __init__(self, rows: list[tuple[int, str, int]]):
         """rows: (level, token, n); '<text>' counts texts, '<sK>' sentences of size class K, '<k>' other words of k letters."""
         kinds = {f"<s{k}>" for k in range(SIZE_CLASSES)}, {t for _, t, _ in rows if t[:2] != "<s" and t != "<text>"} | {f"<{k}>" for k in range(1, 17)}
-        self.log_p: dict[str, np.ndarray] = {}
+        self.index: dict[str, int] = {}
+        parts = []
         for tokens in kinds:
-            counts = {t: np.full(LEVELS, SMOOTHING) for t in sorted(tokens)}
-            for level, token, n in rows:
-                if token in counts:
-                    counts[token][level - 1] += n
-            of = np.array(list(counts.values()))
-            self.log_p |= dict(zip(counts, np.log(of / of.sum(0)), strict=True))
-        texts = np.ones(LEVELS)
+            self.index |= {t: len(self.index) + i for i, t in enumerate(sorted(tokens))}
+            parts.append(len(tokens))
+        counts, texts = np.full((len(self.index), LEVELS), SMOOTHING), np.ones(LEVELS)
         for level, token, n in rows:
             if token == "<text>":
                 texts[level - 1] += n
+            else:
+                counts[self.index[token], level - 1] += n
+        self.log_p = np.vstack([np.log(c / c.sum(0)) for c in (counts[: parts[0]], counts[parts[0] :])])
         self.prior = np.log(texts / texts.sum())
+        self.sizes = [self.index[_size_token(k)] for k in range(1, 1024)]  # all longer ones are of the last class
+        self.lengths = [self.index[_length_token("x" * k)] for k in range(1, 17)]
 
     def posterior(self, words: list[str], sizes: list[int]) -> np.ndarray:
         """Log posterior of each level, up to a constant."""
-        get = self.log_p.get
-        said = [p if (p := get(w)) is not None else self.log_p[_length_token(w)] for w in words]
-        ends = [self.log_p[_size_token(k)] for k in sizes]
-        return self.prior + np.sum(said, 0) + SENTENCE_WEIGHT * np.sum(ends, 0)
+        get, lengths = self.index.get, self.lengths
+        said = [i if (i := get(w)) is not None else lengths[min(len(w), 16) - 1] for w in words]
+        ends = [self.sizes[min(k, 1023) - 1] for k in sizes]
+        return self.prior + self.log_p[said].sum(0) + SENTENCE_WEIGHT * self.log_p[ends].sum(0)
 
 
 def fit(df: DataFrame, ident: Column, text: Column, *, seed_texts: int = SEED_TEXTS, vocabulary: int = VOCABULARY) -> Models:

@@ -280,6 +280,6 @@ def test_reading_levels_by_sentences_and_words(spark):
     held = reading.reading_levels(df.where("id >= 400"), F.col("id"), F.col("text"), models=models).collect()
     assert len(held) == 400 and all((r.level == 5) == (r.id % 4 == 3) for r in held)
     few = reading.fit(df, F.col("id"), F.col("text"), vocabulary=3)  # the counts of the others go to their lengths
-    assert sum(1 for t in few.log_p if not t.startswith("<")) == 3
+    assert sum(1 for t in few.index if not t.startswith("<")) == 3
     held = reading.reading_levels(df, F.col("id"), F.col("text"), models=few).collect()
     assert all((r.level == 5) == (r.id % 4 == 3) for r in held)
