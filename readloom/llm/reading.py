@@ -65,7 +65,7 @@ def measures(text: str) -> tuple[int, int, int, list[str], list[int]]:
     found = sentences(prose(text))
     words = [w for s in found for w in s]
     letters = sum(map(len, words)) - sum(len(_SIGNS.findall(w)) for w in words if not w.isalpha())
-    return len(words), len(found), letters, " ".join(words).lower().split(" "), [len(s) for s in found]
+    return len(words), len(found), letters, " ".join(words).lower().split(), [len(s) for s in found]
 
 
 def demanding(words: int, sents: int, letters: int) -> bool:
