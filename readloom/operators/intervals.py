@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readloom.functions.text import natural_key
+from readloom.session import materialize
 
 #: Positions of one tile; groups are cut into tiles so that a hot one is spread over tasks.
 TILE = 1 << 18
@@ -50,31 +51,54 @@ def max_depth(depths: DataFrame, keys: list[str]) -> DataFrame:
     return depths.groupBy(*keys).agg(F.max("depth").alias("max_depth"), F.min("span_start").alias("first_covered"), F.max("span_end").alias("end_covered"))
 
 
+def _first_above(values: np.ndarray, at: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """The first place from `at` on whose value exceeds the limit, the number of values if there is none; all at once.
+
+    Maxima of blocks of 2, 4, 8, ... values; each search climbs while its block holds nothing greater, then descends.
+    """
+    n = len(values)
+    if not n:
+        return at.copy()
+    low = np.iinfo("int64").min
+    levels = [np.r_[values, low]]
+    while len(levels[-1]) > 1:
+        x = levels[-1]
+        x = np.r_[x, low] if len(x) % 2 else x
+        levels.append(np.maximum(x[::2], x[1::2]))
+    place, height, out = np.minimum(at, n), np.zeros(len(at), "int64"), np.full(len(at), n, "int64")
+    live = np.flatnonzero(at < n)
+    for k, level in enumerate(levels):  # up
+        mine = live[height[live] == k]
+        if not len(mine):
+            continue
+        here = place[mine]
+        hit = (here < len(level)) & (level[np.minimum(here, len(level) - 1)] > limits[mine])
+        rest, here = mine[~hit], here[~hit] + 1
+        odd = here % 2 == 1  # the block beside: look at it before climbing
+        again = rest[odd]
+        there = here[odd]
+        beside = (there < len(level)) & (level[np.minimum(there, len(level) - 1)] > limits[again])
+        place[again] = there
+        up = np.r_[rest[~odd], again[~beside]]
+        place[up] = np.r_[here[~odd], there[~beside] + 1] // 2
+        height[up] = k + 1
+    found = live[(height[live] < len(levels)) & (place[live] < np.array([len(x) for x in levels])[np.minimum(height[live], len(levels) - 1)])]
+    for k in range(len(levels) - 1, 0, -1):  # down
+        mine = found[height[found] == k]
+        left = place[mine] * 2
+        below = levels[k - 1]
+        place[mine] = np.where(below[np.minimum(left, len(below) - 1)] > limits[mine], left, left + 1)
+        height[mine] = k - 1
+    out[found] = place[found]
+    return out
+
+
 def _next_greater(start: np.ndarray, stop: np.ndarray, asks: np.ndarray) -> np.ndarray:
     """Of rows sorted by (start, stop): the row of the next one with greater start and stop, -1 if there is none."""
     out = np.full(len(start), -1, "int64")
-    stack: list[int] = []  # rows behind, the nearest on top, with growing stops
-    k = len(start) - 1
-    while k >= 0:
-        a = k
-        while a > 0 and start[a - 1] == start[k]:
-            a -= 1
-        for i in range(a, k + 1):
-            if asks[i]:
-                lo, hi = 0, len(stack)
-                while lo < hi:  # stops fall towards the top
-                    mid = (lo + hi) // 2
-                    if stop[stack[mid]] > stop[i]:
-                        lo = mid + 1
-                    else:
-                        hi = mid
-                if lo:
-                    out[i] = stack[lo - 1]
-        for i in range(k, a - 1, -1):
-            while stack and stop[stack[-1]] <= stop[i]:
-                stack.pop()
-            stack.append(i)
-        k = a - 1
+    of = np.flatnonzero(asks)
+    got = _first_above(stop, np.searchsorted(start, start[of], "right"), stop[of])
+    out[of] = np.where(got < len(start), got, -1)
     return out
 
 
@@ -101,13 +125,33 @@ def _within(table: pa.Table) -> pa.Table:
     return pa.concat_tables([own, other])
 
 
-def _across(table: pa.Table) -> pa.Table:
+def _again(table: pa.Table) -> pa.Table:
+    """A wider tile's open rows and answers: what is answered now, what stays open, and which answers go on."""
     table = table.sort_by([("s", "ascending"), ("e", "ascending"), ("kind", "ascending")])
     s, e, kind = table["s"].to_numpy(), table["e"].to_numpy(), table["kind"].to_numpy()
     at = _next_greater(s, e, kind == 1)
+    carry = table["carry"][0].as_py()
+    # As within a tile: running greatest stops, up to the first beyond all that is open in earlier tiles.
+    record = np.r_[True, e[1:] > np.maximum.accumulate(e)[:-1]] if carry is not None else np.zeros(len(e), bool)
+    passed = np.flatnonzero(record & (e > carry)) if carry is not None else []
+    if len(passed):
+        record[passed[0] + 1 :] = False
     ns, ne = [pa.array(np.where(at >= 0, v[at], 0), mask=at < 0) for v in (s, e)]
     n = table.column_names.index("ns")
-    return table.set_column(n, "ns", ns).set_column(n + 1, "ne", ne).filter(pa.array(kind == 1))
+    table = table.drop_columns(["carry", "tile"]).set_column(n, "ns", ns).set_column(n + 1, "ne", ne)
+    k = table.column_names.index("kind")
+    own = table.set_column(k, "kind", pa.array(np.where(at >= 0, 0, 1).astype("int32"))).filter(pa.array(kind == 1))
+    nothing = pa.nulls(int(record.sum()), pa.int64())
+    other = table.filter(pa.array(record)).set_column(n, "ns", nothing).set_column(n + 1, "ne", nothing)
+    return pa.concat_tables([own, other.set_column(k, "kind", pa.array(np.full(other.num_rows, 2, "int32")))])
+
+
+def _with_reach(rows: DataFrame, of: Column, tile: int) -> DataFrame:
+    """tile: the part of positions of a row; carry: the greatest stop, of the rows that `of` tells, in the container's earlier tiles."""
+    rows = rows.withColumn("tile", F.floor(F.col("s") / tile))
+    order = W.partitionBy("c").orderBy("tile").rowsBetween(W.unboundedPreceding, -1)
+    reach = rows.groupBy("c", "tile").agg(F.max(F.when(of, F.col("e"))).alias("reach")).select("c", "tile", F.max("reach").over(order).alias("carry"))
+    return rows.join(reach, ["c", "tile"])
 
 
 def neighbours(df: DataFrame, container: str, start: str, stop: str, *, previous: bool = False, wrap: bool = True, tile: int = TILE) -> DataFrame:
@@ -117,19 +161,19 @@ def neighbours(df: DataFrame, container: str, start: str, stop: str, *, previous
     last one with both strictly smaller. With `wrap` the last feature of a container leads to the first one of
     the next container in natural order, and that of the last container to the first container; else to null.
 
-    Tiles of positions are searched by themselves; what they leave open meets, per container, only those rows of
-    later tiles that can be an answer. Rows with a null are left out.
+    Tiles of positions are searched by themselves. What they leave open meets, in tiles 64 times as wide and at
+    last in the container, only those rows of later tiles that can be an answer: however thin the features
+    lie, a container's last step gets few of them. Rows with a null are left out.
     """
     sign = -1 if previous else 1
     rows = df.select(F.col(container).alias("c"), (sign * F.col(start)).cast("long").alias("s"), (sign * F.col(stop)).cast("long").alias("e")).dropna().distinct()
-    rows = rows.withColumn("tile", F.floor(F.col("s") / tile))
-    order = W.partitionBy("c").orderBy("tile").rowsBetween(W.unboundedPreceding, -1)
-    carry = rows.groupBy("c", "tile").agg(F.max("e").alias("reach")).select("c", "tile", F.max("reach").over(order).alias("carry"))
     kind = "c string, s long, e long, ns long, ne long, kind int"
-    first = rows.join(carry, ["c", "tile"]).select("c", "s", "e", "tile", "carry").groupBy("c", "tile").applyInArrow(_within, kind)
-    # Both parts come from one exchange result; the second search holds few rows of a container.
-    open_ = first.where("kind > 0").groupBy("c").applyInArrow(_across, kind)
-    found = first.where("kind = 0").unionByName(open_)
+    first = _with_reach(rows, F.lit(True), tile).select("c", "s", "e", "tile", "carry").groupBy("c", "tile").applyInArrow(_within, kind)
+    first = materialize(first, "neighbours")  # read three times
+    wide = _with_reach(first.where("kind > 0"), F.col("kind") == 1, 64 * tile).select("c", "s", "e", "ns", "ne", "kind", "tile", "carry")
+    second = materialize(wide.groupBy("c", "tile").applyInArrow(_again, kind), "neighbours")
+    last = second.where("kind > 0").select("*", F.lit(0).alias("tile"), F.lit(None).cast("long").alias("carry")).groupBy("c").applyInArrow(_again, kind)
+    found = first.where("kind = 0").unionByName(second.where("kind = 0")).unionByName(last)
     edge = rows.groupBy("c").agg(F.min(F.struct("s", "e")).alias("f"))
     names = natural_key("c")
     by_name = W.orderBy(names.desc() if previous else names.asc(), "c")
@@ -140,4 +184,3 @@ def neighbours(df: DataFrame, container: str, start: str, stop: str, *, previous
         F.col("c").alias(container), (sign * F.col("s")).alias(start), (sign * F.col("e")).alias(stop), F.when(gone, F.col("t.c")).otherwise(F.col("c")).alias("to_container"),
         (sign * F.when(gone, F.col("t.f.s")).otherwise(F.col("ns"))).alias("to_start"), (sign * F.when(gone, F.col("t.f.e")).otherwise(F.col("ne"))).alias("to_stop"),
     )
-

@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Windows (probes) up to this many rows are broadcast; beyond, both sides are cut into bins.
-BROADCAST_WINDOWS = 100_000
+#: Windows (probes) of up to this many bytes of columns are broadcast; beyond, both sides are shuffled by bin.
+BROADCAST_BYTES = 32 << 20
+#: Widths of bins as powers of two; a range lies in bins of the first width that isn't below its length, at most two of them.
+_LEVELS = tuple(range(6, 63, 3))
+_NONE = "array<struct<level:int,bin:bigint>>"
 
 
-def _is_small(df: DataFrame, most: int) -> bool:
-    return df.limit(most + 1).count() <= most
+def _size_in_bytes(df: DataFrame) -> Column:
+    """About what a row takes: 16 a column, and the characters of strings."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    return sum(texts, F.lit(16 * len(df.columns)).cast("long"))
+
+
+def _level(first: Column, last: Column) -> Column:
+    """The exponent of the bins for a range."""
+    return F.coalesce(*[F.when(last - first < (1 << k), F.lit(k)) for k in _LEVELS], F.lit(_LEVELS[-1]))
+
+
+def _bin(place: Column, level: Column) -> Column:
+    return F.call_function("shiftright", place, level)
+
+
+def _keys(first: Column, last: Column, level: Column) -> Column:
+    """(level, bin) of each bin that a range touches."""
+    return F.transform(F.sequence(_bin(first, level), _bin(last, level)), lambda x: F.struct(level.alias("level"), x.alias("bin")))
 
 
 def merge_raw_reads(alignments: DataFrame, reads: DataFrame) -> DataFrame:
@@ -46,39 +65,55 @@ def pair_mates(records: DataFrame, key: str, mate: str) -> DataFrame:
 
 def range_join(
     rows: DataFrame, windows: DataFrame, *, container: str = "container", start: str = "start", stop: str = "stop", strand: str | None = None,
-    how: str = "contained", bin_width: int | None = None, broadcast_windows: int = BROADCAST_WINDOWS,
+    how: str = "contained", bin_width: int | None = None, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Rows with the windows that contain ('contained') or overlap ('overlap') them; both ends included.
 
     Both sides name their columns alike; the windows' come out with the prefix w_. With `strand`, the strands
-    must be equal. Few windows are broadcast and looked up by container; many are cut into bins of `bin_width`
-    positions. A contained row lies in the bin of its own start, so it needs only that one; an overlap is
-    reported in the bin of the greater start, so each comes once. Rows or windows with a null in any of these
-    columns join nothing. Reversed coordinates are put in order for the comparison.
+    must be equal. The join is by container and bin. Bins are as wide as the wider of the two ranges (or
+    `bin_width` positions), so a range lies in two of them at most, and a row meets only windows near it. A contained row
+    lies in the bin of its own start, one for each width that windows have; an overlap is reported in the bin of the
+    greater start, so each comes once. Windows are broadcast if, bins included, they take at most `broadcast_bytes`.
+
+    Rows or windows with a null in any of these columns join nothing. Reversed coordinates are put in order for the
+    comparison.
     """
     if how not in ("contained", "overlap"):
         raise ValueError("how must be 'contained' or 'overlap'")
     w = windows.select(*[F.col(c).alias(f"w_{c}") for c in windows.columns])
-    a, b = F.least(start, stop), F.greatest(start, stop)
-    wa, wb = F.least(f"w_{start}", f"w_{stop}"), F.greatest(f"w_{start}", f"w_{stop}")
-    both = rows[container] == w[f"w_{container}"]
-    if strand:
-        both = both & (rows[strand] == w[f"w_{strand}"])
+    a, b = F.least(start, stop).cast("long"), F.greatest(start, stop).cast("long")
+    wa, wb = F.least(f"w_{start}", f"w_{stop}").cast("long"), F.greatest(f"w_{start}", f"w_{stop}").cast("long")
+    rows = rows.where(F.col(start).isNotNull() & F.col(stop).isNotNull())
+    w = w.where(F.col(f"w_{start}").isNotNull() & F.col(f"w_{stop}").isNotNull())
     fits = (wa <= a) & (b <= wb) if how == "contained" else (F.greatest(a, wa) <= F.least(b, wb))
-    present = F.col(start).isNotNull() & F.col(stop).isNotNull()
-    w_present = F.col(f"w_{start}").isNotNull() & F.col(f"w_{stop}").isNotNull()
-    rows, w = rows.where(present), w.where(w_present)
-    if bin_width is None and _is_small(w, broadcast_windows):
-        return rows.join(F.broadcast(w), both & fits)
-    width = bin_width or 4096
-    w = w.withColumn("bin_", F.explode(F.sequence(F.floor(wa / width), F.floor(wb / width))))
-    if how == "contained":
-        left = rows.withColumn("bin__", F.floor(a / width))
-        once = F.lit(True)
+    if bin_width:
+        w = w.withColumn("w_key_", F.explode(F.transform(F.sequence(F.floor(wa / bin_width), F.floor(wb / bin_width)), lambda x: F.struct(F.lit(0).alias("level"), x.alias("bin")))))
+        last = a if how == "contained" else b
+        left = rows.withColumn("key_", F.explode(F.transform(F.sequence(F.floor(a / bin_width), F.floor(last / bin_width)), lambda x: F.struct(F.lit(0).alias("level"), x.alias("bin")))))
+        once = F.lit(True) if how == "contained" else F.floor(F.greatest(a, wa) / bin_width) == F.col("key_.bin")
+        small = False
     else:
-        left = rows.withColumn("bin__", F.explode(F.sequence(F.floor(a / width), F.floor(b / width))))
-        once = F.floor(F.greatest(a, wa) / width) == F.col("bin_")
-    return left.join(w, both & (F.col("bin__") == F.col("bin_")) & fits & once).drop("bin_", "bin__")
+        stats = w.agg(F.sum(_size_in_bytes(w) + 16).alias("bytes"), F.collect_set(_level(wa, wb)).alias("levels")).first()
+        levels = sorted(stats["levels"])  # at most as many as there are widths
+        if how == "contained":
+            w = w.withColumn("w_key_", F.explode(_keys(wa, wb, _level(wa, wb))))
+            left = rows.withColumn("key_", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(a, k).alias("bin")) for k in levels]).cast(_NONE)))
+            once, copies = F.lit(True), 2
+        else:
+            # A pair meets at the wider of its two widths: rows go to those of windows above their own, windows to all above.
+            own, w_own = _level(a, b), _level(wa, wb)
+            widths = F.array(*[F.lit(k) for k in _LEVELS])
+            w = w.withColumn("w_key_", F.explode(F.flatten(F.transform(F.filter(widths, lambda k: k >= w_own), lambda k: _keys(wa, wb, k)))))
+            wanted = F.filter(widths, lambda k: (k == own) | ((k > own) & k.isin(levels or [-1])))
+            left = rows.withColumn("key_", F.explode(F.flatten(F.transform(wanted, lambda k: _keys(a, b, k)))))
+            level = F.col("key_.level")
+            once = (level == F.greatest(own, w_own)) & (_bin(F.greatest(a, wa), level) == F.col("key_.bin"))
+            copies = 2 * len(_LEVELS)
+        small = (stats["bytes"] or 0) * copies <= broadcast_bytes
+    both = (left[container] == w[f"w_{container}"]) & (left["key_"] == w["w_key_"])
+    if strand:
+        both = both & (left[strand] == w[f"w_{strand}"])
+    return left.join(F.broadcast(w) if small else w, both & fits & once).drop("key_", "w_key_")
 
 
 def mate_probe_intersection(hits: DataFrame) -> DataFrame:

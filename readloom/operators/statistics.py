@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readloom.functions.sequence import BASES, chars
+from readloom.session import materialize
 
 
 def running_stats(df: DataFrame, keys: list[str], x: Column) -> DataFrame:
@@ -19,25 +20,38 @@ def running_stats(df: DataFrame, keys: list[str], x: Column) -> DataFrame:
     )
 
 
-def _ranked(df: DataFrame, keys: list[str], x: Column) -> DataFrame:
-    """Each group's distinct values with the positions they take up in sorted order: (from, upto], n in all."""
-    runs = df.select(*keys, x.alias("x")).where("x is not null").groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("m"))
+def _null_safe(keys: list[str]) -> Column:
+    """The condition that aliases l and r have the same keys."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return out
+
+
+def _ranked(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Each group's values x, of m rows each, with the positions they take up in sorted order: (*keys, x, m, upto, n), n in all.
+
+    The values are range-partitioned over all groups, so that a hot group, or the only one, is spread over tasks. Each
+    part counts for itself; it starts after the group's parts before it.
+    """
+    parts = materialize(runs.repartitionByRange(*keys, "x").withColumn("part", F.spark_partition_id()), "ranges")
+    sums = parts.groupBy(*keys, "part").agg(F.sum("m").alias("here"))
     g = W.partitionBy(*keys)
-    return runs.withColumn("upto", F.sum("m").over(g.orderBy("x"))).withColumn("n", F.sum("m").over(g))
+    before = sums.select(*keys, "part", (F.sum("here").over(g.orderBy("part")) - F.col("here")).alias("before"), F.sum("here").over(g).alias("n"))
+    own = parts.withColumn("own", F.sum("m").over(W.partitionBy(*keys, "part").orderBy("x")))
+    return own.alias("l").join(before.alias("r"), _null_safe([*keys, "part"])).select(*[f"l.{k}" for k in keys], "l.x", "l.m", (F.col("l.own") + F.col("r.before")).alias("upto"), "r.n")
+
+
+def _runs(df: DataFrame, keys: list[str], x: Column) -> DataFrame:
+    """Each group's distinct values x with the number m of their rows."""
+    return df.select(*keys, x.alias("x")).where("x is not null").groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("m"))
 
 
 def _at(pos: Column) -> Column:
     return F.max(F.when((F.col("upto") - F.col("m") < pos) & (pos <= F.col("upto")), F.col("x")))
 
 
-def quantiles(df: DataFrame, keys: list[str], x: Column, subsets: int) -> DataFrame:
-    """The subsets - 1 quantiles q1, q2, ... of each group, averaged at discontinuities; null where n < subsets.
-
-    At location n * k / subsets the value is the mean of that order statistic and the next one if the location
-    is whole, else the next one. Equal values are collapsed before anything is sorted.
-    """
-    if subsets < 2:
-        raise ValueError("subsets must be at least 2")
+def _quantiles(subsets: int) -> list[Column]:
     n = F.col("n")
     out = []
     for k in range(1, subsets):
@@ -46,19 +60,29 @@ def quantiles(df: DataFrame, keys: list[str], x: Column, subsets: int) -> DataFr
         first, second = F.greatest(low, F.lit(1)), F.least(low + 1, n)
         mean = (_at(first) + _at(second)) / 2
         out.append(F.when(F.max(n) >= subsets, F.when(F.max(whole), mean).otherwise(_at(second).cast("double"))).alias(f"q{k}"))
-    return _ranked(df, keys, x).groupBy(*keys).agg(F.max("n").alias("n"), *out)
+    return out
+
+
+def _median() -> Column:
+    return (_at(F.floor((F.col("n") + 1) / 2)) + _at(F.floor((F.col("n") + 2) / 2))) / 2
+
+
+def quantiles(df: DataFrame, keys: list[str], x: Column, subsets: int) -> DataFrame:
+    """The subsets - 1 quantiles q1, q2, ... of each group, averaged at discontinuities; null where n < subsets.
+
+    At location n * k / subsets the value is the mean of that order statistic and the next one if the location
+    is whole, else the next one. Equal values are collapsed before anything is sorted.
+    """
+    if subsets < 2:
+        raise ValueError("subsets must be at least 2")
+    return _ranked(_runs(df, keys, x), keys).groupBy(*keys).agg(F.max("n").alias("n"), *_quantiles(subsets)).where("n is not null")
 
 
 def five_numbers(df: DataFrame, keys: list[str], x: Column) -> DataFrame:
     """least, q1, median, q3, greatest and iqr of each group; of fewer than four values the quartiles are null, of one value the median is it."""
-    q = quantiles(df, keys, x, 4)
-    ends = _ranked(df, keys, x).groupBy(*keys).agg(
-        F.min("x").alias("least"), F.max("x").alias("greatest"),
-        ((_at(F.floor((F.col("n") + 1) / 2)) + _at(F.floor((F.col("n") + 2) / 2))) / 2).alias("median"),
-    )
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    both = q.alias("l").join(ends.alias("r"), on or F.lit(True))
-    return both.select(*[f"l.{k}" for k in keys], "l.n", "r.least", "l.q1", "r.median", "l.q3", "r.greatest", (F.col("l.q3") - F.col("l.q1")).alias("iqr"))
+    q1, _, q3 = _quantiles(4)
+    got = _ranked(_runs(df, keys, x), keys).groupBy(*keys).agg(F.max("n").alias("n"), F.min("x").alias("least"), q1, _median().alias("median"), q3, F.max("x").alias("greatest"))
+    return got.where("n is not null").withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def biweight_mean(df: DataFrame, keys: list[str], x: Column, tuning: float = 5.0) -> DataFrame:
@@ -67,25 +91,22 @@ def biweight_mean(df: DataFrame, keys: list[str], x: Column, tuning: float = 5.0
     Weights are (1 - u^2)^2 within |u| < 1, u = (x - median) / (tuning * MAD); the median itself where MAD is 0.
     Medians run over each group's distinct values with their counts, which is all that is sorted and joined.
     """
-    runs = df.select(*keys, x.cast("double").alias("x")).where("x is not null").groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("m"))
-
-    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-        new = [c for c in right.columns if c not in keys]
-        return left.alias("l").join(right.alias("r"), on or F.lit(True)).select("l.*", *[f"r.{c}" for c in new])
-
-    def median(values: DataFrame, name: str) -> DataFrame:
-        g = W.partitionBy(*keys)
-        ranked = values.withColumn("upto", F.sum("m").over(g.orderBy("x"))).withColumn("n", F.sum("m").over(g))
-        return ranked.groupBy(*keys).agg(((_at(F.floor((F.col("n") + 1) / 2)) + _at(F.floor((F.col("n") + 2) / 2))) / 2).alias(name))
-
-    with_median = joined(runs, median(runs, "median"))
-    apart = with_median.select(*keys, F.abs(F.col("x") - F.col("median")).alias("x"), "m")
-    full = joined(with_median, median(apart.groupBy(*keys, "x").agg(F.sum("m").alias("m")), "mad"))
+    runs = _runs(df, keys, x.cast("double"))
+
+    def with_median(values: DataFrame, name: str) -> DataFrame:
+        """The values with their group's median; values are read twice, from what `_ranked` has written."""
+        ranked = _ranked(values, keys)
+        one = ranked.groupBy(*keys).agg(_median().alias(name))
+        return ranked.alias("l").join(one.alias("r"), _null_safe(keys)).select(*[f"l.{k}" for k in keys], "l.x", "l.m", f"r.{name}")
+
+    centred = with_median(runs, "median")
+    apart = centred.groupBy(*keys, F.abs(F.col("x") - F.col("median")).alias("x")).agg(F.sum("m").alias("m"))
+    mad = _ranked(apart, keys).groupBy(*keys).agg(_median().alias("mad"))
+    full = centred.alias("l").join(mad.alias("r"), _null_safe(keys)).select("l.*", "r.mad")
     u = (F.col("x") - F.col("median")) / (tuning * F.col("mad"))
     weight = F.when((F.col("mad") > 0) & (F.abs(u) < 1), F.pow(1 - u * u, F.lit(2)) * F.col("m")).otherwise(0.0)
     sums = full.groupBy(*keys).agg(F.max("median").alias("median"), F.max("mad").alias("mad"), F.try_divide(F.sum(weight * F.col("x")), F.sum(weight)).alias("b"))
-    return sums.select(*keys, "median", "mad", F.coalesce("b", "median").alias("biweight"))
+    return sums.select(*keys, "median", "mad", F.coalesce("b", "median").alias("biweight")).where("median is not null")
 
 
 def linear_regression(df: DataFrame, keys: list[str], y: Column, x: Column) -> DataFrame:

@@ -3,28 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_LINES = T.StructType([T.StructField("path", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType())])
+from readloom.session import scan_partitions
+
+#: Splits and files of a text source of which one small row each is broadcast (some 100 bytes).
+MOST_SPLITS = 200_000
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, line_no, line) of text files, plain or gzipped, numbered from 0 in file order.
+    """(path, line_no, line) of text files, plain or gzipped, numbered from 0 in each file's order.
 
-    Numbering needs file order, which only the RDD of splits has: one pass counts the lines of each split, a
-    second one numbers them (`zipWithIndex`). Numbers run on over all files in order of path; per-file numbers
-    start at each file's first line.
+    One pass counts the lines of each split, a second one numbers them from what the file's splits before it hold. The
+    text isn't shuffled: of splits, which are as many as the file system makes, up to MOST_SPLITS are broadcast.
     """
     base = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.col("value").alias("line"))
     # Splits in order of path and offset, lines within a split in their own order.
     tagged = base.withColumn("nth", F.monotonically_increasing_id())
     counts = tagged.groupBy("path", "at").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("low"))
-    from pyspark.sql import Window as W
-
-    # One row a split: that many the file system has, not the data.
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    out = tagged.join(before, ["path", "at"])
+    before = counts.select("path", "at", "low", F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    few = len(base.inputFiles()) + (scan_partitions(base) or MOST_SPLITS) <= MOST_SPLITS
+    out = tagged.join(F.broadcast(before) if few else before, ["path", "at"])
     return out.select("path", (F.col("before") + F.col("nth") - F.col("low")).alias("line_no"), "line")
 
 

@@ -97,7 +97,7 @@ def write_delimited(df: DataFrame, path: str, *, pre_header: str | None = None)
     spark = df.sparkSession
     head = ([pre_header] if pre_header else []) + ["\t".join(df.columns)]
     top = spark.createDataFrame([(h, i - len(head)) for i, h in enumerate(head)], "value string, i long")
-    top.unionByName(lines).coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
+    top.unionByName(lines).repartition(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
 
 
 def write_probes(probes: DataFrame, path: str, *, ext_uid: int, lig_uid: int, genome: str = "hg19") -> None:
