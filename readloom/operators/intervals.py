@@ -13,6 +13,8 @@ from readloom.session import materialize
 
 #: Positions of one tile; groups are cut into tiles so that a hot one is spread over tasks.
 TILE = 1 << 18
+#: Positions of one tile of `neighbours`, each searched by one call.
+NEIGHBOUR_TILE = 1 << 22
 
 
 def coverage_depth(df: DataFrame, keys: list[str], start: Column, stop: Column, *, tile: int = TILE) -> DataFrame:
@@ -154,7 +156,7 @@ def _with_reach(rows: DataFrame, of: Column, tile: int) -> DataFrame:
     return rows.join(reach, ["c", "tile"])
 
 
-def neighbours(df: DataFrame, container: str, start: str, stop: str, *, previous: bool = False, wrap: bool = True, tile: int = TILE) -> DataFrame:
+def neighbours(df: DataFrame, container: str, start: str, stop: str, *, previous: bool = False, wrap: bool = True, tile: int = NEIGHBOUR_TILE) -> DataFrame:
     """Distinct features with their next one: (container, start, stop, to_container, to_start, to_stop).
 
     Next is the first feature, by start and stop, whose start and stop are both strictly greater; previous the

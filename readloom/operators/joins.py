@@ -22,7 +22,8 @@ def _size_in_bytes(df: DataFrame) -> Column:
 
 def _level(first: Column, last: Column) -> Column:
     """The exponent of the bins for a range."""
-    return F.coalesce(*[F.when(last - first < (1 << k), F.lit(k)) for k in _LEVELS], F.lit(_LEVELS[-1]))
+    bits = F.length(F.bin(last - first))
+    return F.greatest(F.lit(_LEVELS[0]), 3 * F.ceil(bits / 3)).cast("int")
 
 
 def _bin(place: Column, level: Column) -> Column:
