@@ -87,12 +87,12 @@ def gc_percent(c: Column | str) -> Column:
     """Percentage of codes that can be G or C; null for an empty sequence."""
     c = _col(c)
     gc = "".join(k for k, v in BASES.items() if v & 6)
-    return F.try_divide(100.0 * F.regexp_count(c, F.lit(f"[{gc}]")), F.length(c))
+    return F.try_divide(100.0 * F.regexp_count(F.upper(c), F.lit(f"[{gc}]")), F.length(c))
 
 
 def base_counts(c: Column | str) -> Column:
     """Struct a, c, g, t: each code counts for the first nucleotide that it can be."""
-    c, out, taken = _col(c), [], 0
+    c, out, taken = F.upper(_col(c)), [], 0
     for name, bit in (("a", 1), ("c", 2), ("g", 4), ("t", 8)):
         codes = "".join(k for k, v in BASES.items() if v & bit and not v & taken)
         out.append(F.regexp_count(c, F.lit(f"[{codes}]")).alias(name))
@@ -143,20 +143,43 @@ def mismatches(a: Column | str, b: Column | str) -> Column:
     return F.size(F.filter(pairs, lambda m: ~m))
 
 
-def approximate_matches(text: Column | str, query: Column | str, most: int) -> Column:
-    """1-based start positions where the query fits with at most `most` mismatches; any codes, by their sets."""
-    text, query = _col(text), _col(query)
-    t, q = F.transform(chars(text), mask), F.transform(chars(query), mask)
-    n, m = F.size(t), F.size(q)
+def _places(text: Column, query: Column, most: int, same) -> Column:
+    """1-based starts where the query's items stand in the text's with at most `most` that `same` denies."""
+    n, m = F.size(text), F.size(query)
 
     def fits(start: Column) -> Column:
-        wrong = F.filter(F.zip_with(F.slice(t, start, m), q, lambda x, y: x.bitwiseAND(y) == 0), lambda w: w)
-        return F.size(wrong) <= most
+        return F.size(F.filter(F.zip_with(F.slice(text, start, m), query, same), lambda ok: ~ok)) <= most
 
     starts = F.when((m > 0) & (n >= m), F.sequence(F.lit(1), n - m + 1)).otherwise(F.array().cast("array<int>"))
     return F.when(text.isNotNull() & query.isNotNull(), F.filter(starts, fits))
 
 
+def approximate_matches(text: Column | str, query: Column | str, most: int, *, first: int | None = None) -> Column:
+    """1-based start positions (the `first` ones only, if asked) where the query fits with at most `most` mismatches; any codes, by their sets."""
+    found = _places(F.transform(chars(text), mask), F.transform(chars(query), mask), most, lambda x, y: x.bitwiseAND(y) != 0)
+    return found if first is None else F.slice(found, 1, first)
+
+
+def first_match(text: Column | str, query: Column | str, most: int) -> Column:
+    """The first of `approximate_matches`; null if there is none."""
+    return F.get(approximate_matches(text, query, most, first=1), F.lit(0))
+
+
+def has_match(text: Column | str, query: Column | str, most: int) -> Column:
+    """Whether `approximate_matches` has any; an empty query is nowhere."""
+    return F.size(approximate_matches(text, query, most, first=1)) > 0
+
+
+def contains_within(text: Column | str, query: Column | str, most: int) -> Column:
+    """Whether a plain string stands in another with at most `most` other characters; an empty one does."""
+    return F.when(F.length(_col(query)) == 0, text_present(text)).otherwise(F.size(_places(chars(text), chars(query), most, lambda x, y: x == y)) > 0)
+
+
+def text_present(text: Column | str) -> Column:
+    """True, null for null."""
+    return F.when(_col(text).isNotNull(), F.lit(True))
+
+
 def kmers(c: Column | str, k: int, *, last: bool = True) -> Column:
     """All k-mers as an array of (pos, kmer), pos 0-based; `last=False` leaves out the last one."""
     c = _col(c)

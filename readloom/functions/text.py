@@ -116,8 +116,8 @@ def natural_key(c: Column | str, *, roman: bool = False) -> Column:
     """A string whose plain order is the natural one.
 
     Case is ignored, digit runs compare as numbers and come before other characters, and of two strings that
-    begin alike the shorter comes first. Each digit run becomes chr(1), the two-digit length of the number
-    without leading zeros, and the number. With `roman`, a Roman numeral at the end counts as its number.
+    begin alike the shorter comes first. Each digit run becomes chr(1), the length of the number without leading
+    zeros in three digits (numbers of 1000 digits and more all as 999), and the number. With `roman`, a Roman numeral at the end counts as its number.
     """
     c = _col(c)
     if roman:
@@ -127,7 +127,7 @@ def natural_key(c: Column | str, *, roman: bool = False) -> Column:
 
     def key(p: Column) -> Column:
         n = F.regexp_replace(p, "^0+(?=[0-9])", "")
-        return F.when(p.rlike("^[0-9]"), F.concat(F.lit("\x01"), F.lpad(F.length(n).cast("string"), 2, "0"), n)).otherwise(p)
+        return F.when(p.rlike("^[0-9]"), F.concat(F.lit("\x01"), F.lpad(F.least(F.length(n), F.lit(999)).cast("string"), 3, "0"), n)).otherwise(p)
 
     return F.array_join(F.transform(pieces, key), "")
 
@@ -145,9 +145,17 @@ def coordinate_text(container: Column, start: Column, stop: Column) -> Column:
     return F.concat(container, F.lit(":"), start.cast("string"), F.lit("-"), stop.cast("string"))
 
 
-def annotations(c: Column | str) -> Column:
-    """'k=v k=v' as a map, bare keys with null values; of a repeated key the last value stays."""
-    pieces = F.filter(F.split(F.translate(_col(c), "\t", " "), " +"), lambda p: p != "")
-    pairs = F.transform(pieces, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(p.contains("="), F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("v")))
+def annotations(c: Column | str, *, quoted: bool = False) -> Column:
+    """'k=v k=v' as a map, bare keys with null values; of a repeated key the last value stays.
+
+    With `quoted`, blanks within double quotes don't part values, and the quotes around a value go.
+    """
+    if quoted:
+        pieces = F.regexp_extract_all(_col(c), F.lit('((?:[^ \\t"]|"[^"]*"?)+)'), F.lit(1))
+    else:
+        pieces = F.filter(F.split(F.translate(_col(c), "\t", " "), " +"), lambda p: p != "")
+    value = lambda p: F.substring(p, F.instr(p, "=") + 1, F.length(p))
+    plain = (lambda v: F.regexp_replace(v, '"', "")) if quoted else (lambda v: v)
+    pairs = F.transform(pieces, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(p.contains("="), plain(value(p))).alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.array_contains(F.transform(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"]), p["k"]))
     return F.map_from_entries(last)

@@ -42,6 +42,18 @@ def _ranked(runs: DataFrame, keys: list[str]) -> DataFrame:
     return own.alias("l").join(before.alias("r"), _null_safe([*keys, "part"])).select(*[f"l.{k}" for k in keys], "l.x", "l.m", (F.col("l.own") + F.col("r.before")).alias("upto"), "r.n")
 
 
+def places(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with their place from 1 on in the order of the columns `by`, which should tell rows apart.
+
+    Rows are range-partitioned and numbered within their part; only the parts' sizes, a row each, come together.
+    """
+    parts = materialize(df.repartitionByRange(*by).withColumn("part_", F.spark_partition_id()), "places")
+    sizes = parts.groupBy("part_").agg(F.count(F.lit(1)).alias("size_"))
+    before = sizes.select("part_", F.coalesce(F.sum("size_").over(W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    own = parts.withColumn("own_", F.row_number().over(W.partitionBy("part_").orderBy(*by)))
+    return own.join(F.broadcast(before), "part_").select(*df.columns, (F.col("own_") + F.col("before_")).alias("place"))  # as many rows as there are partitions
+
+
 def _runs(df: DataFrame, keys: list[str], x: Column) -> DataFrame:
     """Each group's distinct values x with the number m of their rows."""
     return df.select(*keys, x.alias("x")).where("x is not null").groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("m"))

@@ -161,29 +161,6 @@ def sorted_features(spark, sf):
     return local.join(before, "container").select("container", "start", "stop", (F.col("before") + F.col("n")).alias("place"), "start_before", "start_after")
 
 
-
-
-
-@query(f"""with p as (select read_index, r1_seq, translate(substr(r1_seq, 1, 12), 'T', '-') as a, translate(substr(r2_seq, 1, 12), 'G', '-') as b from pairs where length(r1_seq) >= 12 and length(r2_seq) >= 12),
-o as (select *, list_aggregate(list_transform(range(1, 13), lambda i: (case when a[i] = b[i] or (a[i] <> '-' and b[i] <> '-' and (a[i] = 'N' or b[i] = 'N')) then '=' when a[i] = '-' then 'I' when b[i] = '-' then 'D' else 'X' end)), 'string_agg', '') as ops from p)
-select read_index, ops, length(regexp_replace(ops, '[^IX]', '', 'g')) as edits, len(list_filter(range(1, 13), lambda i: a[i] <> b[i]))::int as differing, length(regexp_replace(ops, '[^=]', '', 'g')) as matches,
- length(regexp_replace(ops, '[^=XD]', '', 'g')) as reference_length, 12 - length(replace(ops, 'D', '')) as deleted from o""")
-def alignment_strings(spark, sf):
-    """Operations, edit distances and lengths of two gapped sequences of 12 columns made from the mates."""
-    p = table(spark, sf, "pairs").where("length(r1_seq) >= 12 and length(r2_seq) >= 12")
-    p = p.select("read_index", F.translate(F.substring("r1_seq", 1, 12), "T", "-").alias("a"), F.translate(F.substring("r2_seq", 1, 12), "G", "-").alias("b")).withColumn("ops", C.operations("a", "b"))
-    m = C.pair_metrics("a", "b")
-    return p.select("read_index", "ops", C.edit_distance_of_operations("ops").alias("edits"), C.edit_distance_of_pair("a", "b").alias("differing"), m["matches"].alias("matches"), C.reference_length("ops").alias("reference_length"), m["deletions"].alias("deleted"))
-
-
-@query("""with p as (select read_index, substr(r1_seq, 1, 10) as a, substr(r2_seq, 1, 10) as b from pairs where length(r1_seq) >= 10 and length(r2_seq) >= 10)
-select read_index, len(list_filter(range(1, 11), lambda i: a[i] <> b[i] and a[i] <> 'N' and b[i] <> 'N'))::int as mismatches, contains(a, 'GAT') as has_gat, substr(a, 3, 4) as part, length(a || b) as size from p""")
-def sequence_comparison(spark, sf):
-    """Mismatches of the mates' first ten bases, by the sets their codes stand for, and parts of them."""
-    p = table(spark, sf, "pairs").where("length(r1_seq) >= 10 and length(r2_seq) >= 10").select("read_index", F.substring("r1_seq", 1, 10).alias("a"), F.substring("r2_seq", 1, 10).alias("b"))
-    return p.select("read_index", S.mismatches("a", "b").alias("mismatches"), F.col("a").contains("GAT").alias("has_gat"), S.sub_sequence("a", 2, 5).alias("part"), F.length(F.concat("a", "b")).alias("size"))
-
-
 def _whole_mates(spark: SparkSession, sf: str) -> DataFrame:
     """Both mates as a and b, over their common length."""
     n = F.least(F.length("r1_seq"), F.length("r2_seq"))
@@ -191,37 +168,60 @@ def _whole_mates(spark: SparkSession, sf: str) -> DataFrame:
     return spread(p.select("read_index", "r1_seq", "r2_seq")).select("read_index", F.substring(F.col("r1_seq"), F.lit(1), n).alias("a"), F.substring(F.col("r2_seq"), F.lit(1), n).alias("b"))
 
 
-@query()
-def alignment_strings_whole(spark, sf):
-    """`alignment_strings`, which keeps its SQL, over all columns that both mates have."""
+_COMMON = "p as (select read_index, least(length(r1_seq), length(r2_seq)) as n, substr(r1_seq, 1, n) as a, substr(r2_seq, 1, n) as b from pairs where r1_seq is not null and r2_seq is not null)"
+
+
+@query(f"""with {_COMMON}, g as (select read_index, n, translate(a, 'T', '-') as a, translate(b, 'G', '-') as b from p),
+o as (select *, coalesce(list_aggregate(list_transform(range(1, n + 1), lambda i: (case when a[i] = b[i] or (a[i] <> '-' and b[i] <> '-' and (a[i] = 'N' or b[i] = 'N')) then '=' when a[i] = '-' then 'I' when b[i] = '-' then 'D' else 'X' end)), 'string_agg', ''), '') as ops from g)
+select read_index, ops, length(regexp_replace(ops, '[^IX]', '', 'g')) as edits, len(list_filter(range(1, n + 1), lambda i: a[i] <> b[i]))::int as differing, length(regexp_replace(ops, '[^=]', '', 'g')) as matches,
+ length(regexp_replace(ops, '[^=XD]', '', 'g')) as reference_length, n - length(replace(ops, 'D', '')) as deleted from o""")
+def alignment_strings(spark, sf):
+    """Operations, edit distances and lengths of two gapped sequences made from the mates, over all columns that both have."""
     p = _whole_mates(spark, sf).select("read_index", F.translate("a", "T", "-").alias("a"), F.translate("b", "G", "-").alias("b")).withColumn("ops", C.operations("a", "b"))
     m = C.pair_metrics("a", "b")
     return p.select("read_index", "ops", C.edit_distance_of_operations("ops").alias("edits"), C.edit_distance_of_pair("a", "b").alias("differing"), m["matches"].alias("matches"), C.reference_length("ops").alias("reference_length"), m["deletions"].alias("deleted"))
 
 
-@query()
-def sequence_comparison_whole(spark, sf):
-    """`sequence_comparison`, which keeps its SQL, over all bases that both mates have."""
+@query(f"""with {_COMMON} select read_index, len(list_filter(range(1, n + 1), lambda i: a[i] <> b[i] and a[i] <> 'N' and b[i] <> 'N'))::int as mismatches, contains(a, 'GAT') as has_gat, substr(a, 3, 4) as part, length(a || b) as size from p""")
+def sequence_comparison(spark, sf):
+    """Mismatches of the mates, by the sets their codes stand for, over all bases that both have, and parts of them."""
     p = _whole_mates(spark, sf)
     return p.select("read_index", S.mismatches("a", "b").alias("mismatches"), F.col("a").contains("GAT").alias("has_gat"), S.sub_sequence("a", 2, 5).alias("part"), F.length(F.concat("a", "b")).alias("size"))
 
 
-@query("""with p as (select read_index, read_name as name from pairs where read_index is not null) select unnest(['first file has records', 'second file has records', 'files differ', 'equally many records', 'names agree', 'alignments of both mates']) as "check",
-unnest([true, true, true, true, true, true]) as ok""")
+@query(f"""with {_COMMON}, g as (select read_index, n, translate(a, 'N', 'A') as a, translate(b, 'N', 'A') as b from p where n > 0),
+k as (select *, list_transform(range(1, n + 1), lambda i: a[i] = b[i]) as same from g)
+select read_index, regexp_replace(regexp_replace(list_aggregate(list_transform(range(1, n + 1), lambda i: case when same[i] then '=' else '0' || a[i] end), 'string_agg', '') || '0', '=0', '=', 'g'), '=', '1', 'g') as marked from k""")
+def mismatch_details(spark, sf):
+    """MD strings of the mates laid side by side; runs of matches are written as so many 1s, as SQL has no run lengths."""
+    p = _whole_mates(spark, sf).where("a != ''").select("read_index", F.translate("a", "N", "A").alias("a"), F.translate("b", "N", "A").alias("b"))
+    md = C.mismatch_details("a", C.operations("a", "b"))
+    ones = F.array_join(F.transform(F.regexp_extract_all(md, F.lit("([0-9]+|[^0-9])"), F.lit(1)), lambda t: F.when(t.rlike("^[1-9]"), F.repeat(F.lit("1"), t.cast("int"))).otherwise(t)), "")
+    return p.select("read_index", ones.alias("marked"))
+
+
+@query("""with a as (select read_index, min(read_name) as name from pairs where read_index is not null group by 1), b as (select read_index, max(read_name) as name from pairs where read_index is not null and two_mapq is not null group by 1),
+x as (select count(*) filter (where a.name is distinct from b.name) as differ from a full join b on a.read_index = b.read_index),
+r as (select (select count(*) from a) as n1, (select count(*) from b) as n2, (select differ from x) as differ, (select count(one_mapq) from pairs) as m1, (select count(two_mapq) from pairs) as m2)
+select unnest(['first file has records', 'second file has records', 'files differ', 'equally many records', 'names agree', 'alignments of both mates']) as "check", unnest([n1 > 0, n2 > 0, true, n1 = n2, differ = 0, m1 > 0 and m2 > 0]) as ok from r""")
 def input_report(spark, sf):
-    """The input checks of one file of reads against its copy."""
-    one = table(spark, sf, "pairs").where("read_index is not null").groupBy("read_index").agg(F.min("read_name").alias("name")).withColumn("path", F.lit("one"))
-    mates = table(spark, sf, "pairs").select(F.explode(F.array(F.lit(1), F.lit(2))).alias("mate"))
-    return report(one, one.withColumn("path", F.lit("two")), mates)
+    """The input checks of two files of reads, the second without those whose second mate has no mapping quality."""
+    p = table(spark, sf, "pairs").where("read_index is not null")
+    one = p.groupBy("read_index").agg(F.min("read_name").alias("name")).withColumn("path", F.lit("one"))
+    two = p.where("two_mapq is not null").groupBy("read_index").agg(F.max("read_name").alias("name")).withColumn("path", F.lit("two"))
+    mates = table(spark, sf, "pairs").select(F.explode(F.array(F.when(F.col("one_mapq").isNotNull(), 1), F.when(F.col("two_mapq").isNotNull(), 2))).alias("mate")).where("mate is not null")
+    return report(one, two, mates)
 
 
 @query("""select o_orderkey, strftime(o_orderdate, '%Y/%m/%d %H:%M:%S') as day, 'chr' || o_custkey || ':' || least(o_orderkey, 500) || '-' || greatest(o_orderkey, 500) as place, least(o_orderkey, 500) as start,
- case when o_orderkey % 4 = 0 then 4 when o_orderkey % 4 = 1 then 1 when o_orderkey % 4 = 2 then 2 else 3 end as roman, [1, o_orderkey % 20, 3] > [1, 9] as newer from orders""")
+ (o_orderkey % 3999 + 1)::int as roman, [1, o_orderkey % 20, 3] > [1, 9] as newer from orders""")
 def text_keys(spark, sf):
-    """Dates, coordinates, Roman numerals and versions as text and back."""
+    """Dates, coordinates, Roman numerals up to 3999 and versions as text and back."""
     o = table(spark, sf, "orders")
     k = F.col("o_orderkey")
     c = X.coordinate(F.concat(F.lit("chr"), F.col("o_custkey").cast("string"), F.lit(":"), k.cast("string"), F.lit(":500")))
-    numeral = F.element_at(F.array(F.lit("IV"), F.lit("I"), F.lit("II"), F.lit("III")), (k % 4 + 1).cast("int"))
+    n = (k % 3999 + 1).cast("int")
+    digits = [["", *x.split()] for x in ("I II III IV V VI VII VIII IX", "X XX XXX XL L LX LXX LXXX XC", "C CC CCC CD D DC DCC DCCC CM", "M MM MMM")]
+    numeral = F.concat(*[F.element_at(F.array(*[F.lit(d) for d in of]), (F.floor(n / 10**i) % 10 + 1).cast("int")) for i, of in reversed(list(enumerate(digits)))])
     newer = X.version_key(F.concat(F.lit("1."), (k % 20).cast("string"), F.lit(".3"))) > X.version_key(F.lit("1.9"))
     return o.select("o_orderkey", X.date_text("o_orderdate").alias("day"), X.coordinate_text(c["container"], c["start"], c["stop"]).alias("place"), c["start"].alias("start"), X.roman_value(numeral).alias("roman"), newer.alias("newer"))

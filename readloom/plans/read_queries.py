@@ -41,13 +41,22 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pairs").select("read_index", code_key("probe_id").alias("probe_id"), F.concat(code_key("ext_uid"), code_key("lig_uid")).alias("uid"), "score")
 
 
+def extended_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """`pairs`, and whether both mates could be extended."""
+    both = F.coalesce(F.col("is_read_one_extended") & F.col("is_read_two_extended"), F.lit(False))
+    return table(spark, sf, "pairs").select("read_index", code_key("probe_id").alias("probe_id"), F.concat(code_key("ext_uid"), code_key("lig_uid")).alias("uid"), "score", both.alias("extended"))
+
+
 _P = f"p as (select read_index, {key('probe_id')} as probe_id, {key('ext_uid')} || {key('lig_uid')} as uid, score from pairs)"
+_E = f"p as (select read_index, {key('probe_id')} as probe_id, {key('ext_uid')} || {key('lig_uid')} as uid, score, coalesce(is_read_one_extended and is_read_two_extended, false) as able from pairs)"
 _G = "g as (select * from p where read_index is not null and probe_id is not null and uid is not null)"
 _BEST = f"""{_P}, {_G}, r as (select *, row_number() over (partition by probe_id, uid order by score desc nulls last, read_index) as r, count(*) over (partition by probe_id, uid) as n_pairs from g),
 best as (select probe_id, uid, read_index as best_index, score as best_score, n_pairs from r where r = 1)"""
-_STATS = f"""{_BEST}, s as (
-  select q.probe_id, count(b.uid) as unique_pairs, coalesce(sum(b.n_pairs), 0)::bigint as total_pairs, coalesce(max(b.n_pairs), 0) as max_pairs_per_uid
-  from probes q left join best b on q.probe_id = b.probe_id group by 1
+_STATS = f"""{_E}, {_G}, r as (
+  select *, row_number() over (partition by probe_id, uid order by score desc nulls last, read_index, able desc) as r, count(*) over (partition by probe_id, uid) as n_pairs from g
+), s as (
+  select q.probe_id, count(*) filter (where r = 1 and able) as unique_pairs, count(*) filter (where able) as total_pairs, coalesce(max(n_pairs), 0) as max_pairs_per_uid
+  from probes q left join r on q.probe_id = r.probe_id group by 1
 ), stats as (
   select probe_id, unique_pairs, total_pairs - unique_pairs as duplicate_pairs, total_pairs,
     case when unique_pairs = 0 then 0.0 else round(total_pairs::double / unique_pairs, 2) end as average_pairs_per_uid, max_pairs_per_uid from s)"""
@@ -76,12 +85,13 @@ def dedup_keep_all(spark, sf):
 
 @query(f"with {_STATS} select * from stats")
 def probe_stats(spark, sf):
-    return dedup.probe_stats(pairs(spark, sf), table(spark, sf, "probes"))
+    """Per probe, without the pairs that couldn't be extended."""
+    return dedup.probe_stats(extended_pairs(spark, sf), table(spark, sf, "probes"))
 
 
 @query(f"with {_STATS} select s.*, container_name, least(ext_start, lig_start) as start, greatest(ext_stop, lig_stop) as stop, strand from stats s join probes using (probe_id)")
 def probe_details(spark, sf):
-    return dedup.probe_details(pairs(spark, sf), table(spark, sf, "probes"))
+    return dedup.probe_details(extended_pairs(spark, sf), table(spark, sf, "probes"))
 
 
 @query(f"with {_BEST} select probe_id, uid, n_pairs as n, row_number() over (partition by probe_id order by n_pairs desc, uid) as rank from best")
@@ -95,15 +105,13 @@ def distinct_uids(spark, sf):
 
 
 def _records(spark, sf):
-    """Both mates of pairs as records; a mate without mapping quality, or of 0, counts as unmapped."""
-    mates = F.array(*[F.struct(F.lit(m).alias("mate"), (F.col(c) > 0).alias("mapped")) for m, c in ((1, "one_mapq"), (2, "two_mapq"))])
-    return table(spark, sf, "pairs").select(F.col("read_name").alias("name"), F.explode(mates).alias("m")).select("name", "m.*")
+    """Mates of pairs that have a mapping quality as records; a quality of 0 counts as unmapped."""
+    mates = F.array(*[F.struct(F.lit(m).alias("mate"), F.col(c).alias("q")) for m, c in ((1, "one_mapq"), (2, "two_mapq"))])
+    return table(spark, sf, "pairs").select(F.col("read_name").alias("name"), F.explode(mates).alias("m")).where("m.q is not null").select("name", "m.mate", (F.col("m.q") > 0).alias("mapped"))
 
 
-_CLASSES = """c as (
-  select read_name, max(coalesce(one_mapq > 0, false)::int) + max(coalesce(two_mapq > 0, false)::int) as n from pairs where read_name is not null group by 1
-), classes as (
-  select count(*) filter (where n = 2) as both_mapped, count(*) filter (where n = 1) as one_mapped, count(*) filter (where n = 0) as none_mapped, 0::bigint as unpaired from c)"""
+_CLASSES = """c as (select read_name, max((one_mapq > 0)::int) as a, max((two_mapq > 0)::int) as b from pairs where read_name is not null and (one_mapq is not null or two_mapq is not null) group by 1),
+classes as (select count(*) filter (where a + b = 2) as both_mapped, count(*) filter (where a + b = 1) as one_mapped, count(*) filter (where a + b = 0) as none_mapped, count(*) filter (where a is null or b is null) as unpaired from c)"""
 
 
 @query(f"with {_CLASSES} select * from classes")
@@ -121,12 +129,12 @@ select 'sample' as sample_prefix, both_mapped + one_mapped + none_mapped as inpu
   round_even(u / n, 4) as average_uids_per_probe, round_even(u / l, 4) as average_uids_per_probes_with_reads, m as max_uids_per_probe, round_even(a / l, 4) as average_read_pairs_per_uid,
   unpaired as unpaired_reads, 2 * (both_mapped + one_mapped + none_mapped) + unpaired as input_reads from t, classes""")
 def summary_report(spark, sf):
-    return dedup.summary_report(pairs(spark, sf), table(spark, sf, "probes"), dedup.mapping_classes(_records(spark, sf)), prefix="sample")
+    return dedup.summary_report(extended_pairs(spark, sf), table(spark, sf, "probes"), dedup.mapping_classes(_records(spark, sf)), prefix="sample")
 
 
 @query(f"with {_STATS} select container_name, least(ext_start, lig_start) as start, greatest(ext_stop, lig_stop) as stop, probe_id, unique_pairs, strand, target_start, target_stop from stats join probes using (probe_id)")
 def probe_coverage(spark, sf):
-    return dedup.probe_coverage(pairs(spark, sf), table(spark, sf, "probes"))
+    return dedup.probe_coverage(extended_pairs(spark, sf), table(spark, sf, "probes"))
 
 
 _LENGTHS = "(select max(length(ext_sequence)) as xe, min(length(ext_sequence)) as ne, max(length(lig_sequence)) as xg, min(length(lig_sequence)) as ng, min(length(target_sequence)) as nt, max(length(target_sequence)) as xt from probes)"
@@ -207,42 +215,55 @@ def sequence_orientations(spark, sf):
     return table(spark, sf, "probes").select("probe_id", F.explode(S.orientations("ext_sequence")).alias("o")).select("probe_id", "o.*")
 
 
-_NN = S.NEIGHBOURS["santalucia1997"]
+# The published values once more, written out for the SQL: what a sequence starts with, has with any G or C and without, and has for
+# each A/T and G/C end, then the ten 2-mers; enthalpy and entropy each.
+_NN = {
+    "breslauer1986": "0 0 / 0 -16.8 / 0 -20.1 / 0 0 / 0 0 / AA -9.1 -24.0 AT -8.6 -23.9 TA -6.0 -16.9 CA -5.8 -12.9 GT -6.5 -17.3 CT -7.8 -20.8 GA -5.6 -13.5 CG -11.9 -27.8 GC -11.1 -26.7 GG -11.0 -26.6",
+    "sugimoto1996": "0.6 -9.0 / 0 0 / 0 0 / 0 0 / 0 0 / AA -8.0 -21.9 AT -5.6 -15.2 TA -6.6 -18.4 CA -8.2 -21.0 GT -9.4 -25.5 CT -6.6 -16.4 GA -8.8 -23.5 CG -11.8 -29.0 GC -10.5 -26.4 GG -10.9 -28.4",
+    "santalucia1997": "0 0 / 0 0 / 0 0 / 2.3 4.1 / 0.1 -2.8 / AA -7.9 -22.2 AT -7.2 -20.4 TA -7.2 -21.3 CA -8.5 -22.7 GT -8.4 -22.4 CT -7.8 -21.0 GA -8.2 -22.2 CG -10.6 -27.2 GC -9.8 -24.4 GG -8.0 -19.9",
+    "santalucia2004": "0.2 -5.7 / 0 0 / 0 0 / 2.2 6.9 / 0 0 / AA -7.6 -21.3 AT -7.2 -20.4 TA -7.2 -20.4 CA -8.5 -22.7 GT -8.4 -22.4 CT -7.8 -21.0 GA -8.2 -22.2 CG -10.6 -27.2 GC -9.8 -24.4 GG -8.0 -19.0",
+}
+
 
+def _nn_sql(source: str) -> str:
+    *ends, steps = [x.split() for x in _NN[source].split(" / ")]
+    start, any_gc, no_gc, at, gc = ends
 
-def _nn_case(i: int) -> str:
-    flip = {"A": "T", "C": "G", "G": "C", "T": "A"}
-    t = {k: v[i] for k, v in _NN.items() if len(k) == 2}
-    t |= {flip[k[1]] + flip[k[0]]: v for k, v in t.items()}
-    whens = " ".join(f"when '{k}' then {float(v)}" for k, v in t.items())
-    ends = " + ".join(f"(case when {e} in ('A', 'T') then {_NN['end_at'][i]} else {_NN['end_gc'][i]} end)" for e in ("s[1]", "s[length(s)]"))
-    return f"list_sum(list_transform(range(1, length(s)), lambda p: (case s[p:p+1] {whens} else 0.0 end)::double)) + {ends}"
+    def total(i: int) -> str:
+        whens = " ".join(f"when p = '{steps[k]}' or p = reverse(translate('{steps[k]}', 'ACGT', 'TGCA')) then {float(steps[k + 1 + i])}" for k in range(0, 30, 3))
+        both = " + ".join(f"(case when {e} in ('A', 'T') then {float(at[i])} else {float(gc[i])} end)" for e in ("s[1]", "s[length(s)]"))
+        pairs = "list_transform(range(1, length(s)), lambda j: s[j:j+1])"
+        return f"list_sum(list_transform({pairs}, lambda p: (case {whens} else 0.0 end)::double)) + {both} + {float(start[i])} + (case when regexp_matches(s, '[GC]') then {float(any_gc[i])} else {float(no_gc[i])} end)"
+
+    return f"round(1000 * ({total(0)}) / (({total(1)}) + 0.368 * (length(s) - 1) * ln(50 / 1e3) + 1.9872 * ln(25 / 4 * 1e-9)) - 273.15, 6)"
 
 
 @query(f"""with x as (select probe_id, lig_sequence as s from probes where length(lig_sequence) > 1),
 c as (select *, {_n('s', 'ARWMDHVN')} as a, {_n('s', 'CYSB')} as c, {_n('s', 'GK')} as g, {_n('s', 'TU')} as t from x)
 select probe_id, 100.0 * {_n('s', 'CGRYSKMBDHVN')} / length(s) as gc, a, c, g, t, 2 * (a + t) + 4 * (g + c) as tm_wallace, 64.9 + 41 * (g + c - 16.4) / length(s) as tm_gc,
-round(1000 * ({_nn_case(0)}) / (({_nn_case(1)}) + 0.368 * (length(s) - 1) * ln(50 / 1e3) + 1.9872 * ln(25 / 4 * 1e-9)) - 273.15, 6) as tm_nn from c""")
+{', '.join(f'{_nn_sql(k)} as tm_{k}' for k in _NN)} from c""")
 def sequence_measures(spark, sf):
     """GC percentage, base counts and melting temperatures of ligation primers."""
     c = "lig_sequence"
     n = S.base_counts(c)
     return table(spark, sf, "probes").where(f"length({c}) > 1").select(
-        "probe_id", S.gc_percent(c).alias("gc"), *[n[x].alias(x) for x in "acgt"], S.melting_wallace(c).alias("tm_wallace"), S.melting_gc(c).alias("tm_gc"), F.round(S.melting_neighbour(c), 6).alias("tm_nn")
-    )
+        "probe_id", S.gc_percent(c).alias("gc"), *[n[x].alias(x) for x in "acgt"], S.melting_wallace(c).alias("tm_wallace"), S.melting_gc(c).alias("tm_gc"),
+        *[F.round(S.melting_neighbour(c, source=k), 6).alias(f"tm_{k}") for k in S.NEIGHBOURS],
+    )
 
 
-@query("""with x as (select probe_id, substr(ext_sequence, 1, 6) as q, target_sequence as t from probes)
-select probe_id, list_filter(range(1, length(t) - length(q) + 2), lambda i: len(list_filter(range(0, length(q)), lambda j: t[i + j] <> q[j + 1] and t[i + j] <> 'N' and q[j + 1] <> 'N')) <= 1) as positions from x""")
-def approximate_matches(spark, sf):
-    """Places of the primers' first 6 bases in the targets, one mismatch allowed."""
-    return table(spark, sf, "probes").select("probe_id", S.approximate_matches("target_sequence", F.substring("ext_sequence", 1, 6), 1).alias("positions"))
+_FIT = "list_filter(range(1, length(t) - length(q) + 2), lambda i: len(list_filter(range(0, length(q)), lambda j: t[i + j] <> q[j + 1] and t[i + j] <> 'N' and q[j + 1] <> 'N')) <= {})"
 
 
-@query()
-def approximate_matches_whole(spark, sf):
-    """Places of the whole primers in the targets, one mismatch allowed; `approximate_matches` keeps its SQL."""
-    return table(spark, sf, "probes").select("probe_id", S.approximate_matches("target_sequence", "ext_sequence", 1).alias("positions"))
+@query(f"""with x as (select probe_id, ext_sequence as q, target_sequence as t from probes), y as (select *, {_FIT.format(12)} as l, {_FIT.format(1)} as strict from x)
+select probe_id, strict as positions, l[1:3] as first_three, l[1] as first, len(l) > 0 as any from y""")
+def approximate_matches(spark, sf):
+    """Places of the whole primers in the targets: all with one mismatch allowed, the first three and the first with twelve, and whether there are any."""
+    loose = S.approximate_matches("target_sequence", "ext_sequence", 12, first=3)
+    return table(spark, sf, "probes").select(
+        "probe_id", S.approximate_matches("target_sequence", "ext_sequence", 1).alias("positions"), loose.alias("first_three"), S.first_match("target_sequence", "ext_sequence", 12).alias("first"),
+        S.has_match("target_sequence", "ext_sequence", 12).alias("any"),
+    )
 
 
 @query("""with x as (select read_index, r1_seq as u, reverse(translate(r2_seq, 'ACGTURYSWKMBDHVN', 'TGCAAYRSWMKVHDBN')) as d, r1_qual as uq, reverse(r2_qual) as dq from pairs
@@ -299,15 +320,18 @@ def tally_merge(spark, sf):
     return st.merge_tallies(one, two, [])
 
 
-@query("""with r as (select distinct probe_id as reference_id, upper(s)[p:p + 7] as k from (select probe_id, target_sequence as s, unnest(range(1, length(target_sequence) - 7)) as p from probes)),
+_WHOLE = "ext_sequence || target_sequence || lig_sequence"
+
+
+@query(f"""with r as (select distinct probe_id as reference_id, upper(s)[p:p + 7] as k from (select probe_id, {_WHOLE} as s, unnest(range(1, length({_WHOLE}) - 7)) as p from probes)),
 q as (select read_index as query_id, s[p:p + 7] as k from (select read_index, upper(r1_seq) as s, unnest(range(1, length(r1_seq) - 7)) as p from (select distinct read_index, r1_seq from pairs)))
 , h as (select query_id, reference_id, count(*) as hits from q join r using (k) group by 1, 2), k as (select *, rank() over (partition by query_id order by hits desc) as rank from h)
-select * from k where rank <= 4""")
+select * from k where rank <= 11""")
 def kmer_candidates(spark, sf):
-    """Probes whose target shares 8-mers with read one: the best three, one more and ties."""
+    """Probes whose whole sequence shares 8-mers with read one: the best ten, one more and ties."""
     reads = spread(table(spark, sf, "pairs").select(F.col("read_index").alias("query_id"), F.col("r1_seq").alias("seq"))).distinct()
-    refs = table(spark, sf, "probes").select(F.col("probe_id").alias("reference_id"), F.col("target_sequence").alias("seq"))
-    return kmers.candidates(reads, refs, k=8, limit=3)
+    refs = table(spark, sf, "probes").select(F.col("probe_id").alias("reference_id"), F.concat("ext_sequence", "target_sequence", "lig_sequence").alias("seq"))
+    return kmers.candidates(reads, refs, k=8, limit=10)
 
 
 @query("""with m as (select s[p:p + 9] as kmer from (select upper(target_sequence) as s, unnest(range(1, length(target_sequence) - 8)) as p from probes)),
@@ -421,7 +445,7 @@ def except_sets(spark, sf):
 def nw_align(spark, sf):
     """Read one of every pair aligned to its probe's target, each distinct pair of sequences once."""
     p = table(spark, sf, "pairs").select(code_key("probe_id").alias("probe_id"), "r1_seq")
-    both = p.join(F.broadcast(table(spark, sf, "probes").select("probe_id", "target_sequence")), "probe_id")
+    both = p.join(table(spark, sf, "probes").select("probe_id", "target_sequence"), "probe_id")
     return alignment.global_alignments(both, "target_sequence", "r1_seq")
 
 
@@ -467,14 +491,17 @@ def stream_best_pair(spark, sf):
 # --- checks
 
 
-@query(f"""select read_index, {key('probe_id')} as probe_id, r.probe_id is not null and abs(r.ext_start + 36 - length(r1_seq) - r.ext_start) <= 2 as fits
-from pairs p join probes r on {key('p.probe_id')} = r.probe_id where r.strand = '+' and r1_seq is not null""".replace("read_index, nullif(upper(trim(probe_id", "read_index, nullif(upper(trim(p.probe_id"))
+@query(f"""with m as (select read_index, {key('probe_id')} as probe_id, 1 as mate, length(r1_seq) as n from pairs union all select read_index, {key('probe_id')}, 2, length(r2_seq) from pairs),
+b as (select m.*, r.*, (mate = 1) = (strand = '+') as at_start from m join probes r on m.probe_id = r.probe_id where n is not null),
+c as (select *, 36 - n + case when mate = 1 then 10 else 0 end as gone, case when mate = 1 then (case when strand = '+' then ext_start else ext_stop end) else (case when strand = '+' then lig_stop else lig_start end) end as primer from b)
+select read_index, probe_id, mate, abs(case when at_start then ext_start + gone else ext_start + 36 - 1 - gone end - primer) <= 40 as fits from c""")
 def strict_coordinates(spark, sf):
-    """Mates one on '+' probes that would begin at the primer if they were 36 bases long, within 2 bases."""
-    p = table(spark, sf, "pairs").select("read_index", code_key("probe_id").alias("probe_id"), F.length("r1_seq").alias("n")).where("n is not null")
-    both = p.join(F.broadcast(table(spark, sf, "probes")), "probe_id").where("strand = '+'")
-    ok = checks.fits_probe(F.col("ext_start"), F.lit(36), F.col("n"), F.lit(1), F.col("strand"), *[F.col(c) for c in ("ext_start", "ext_stop", "lig_start", "lig_stop")], ext_uid=0, buffer=2)
-    return both.select("read_index", "probe_id", ok.alias("fits"))
+    """Mates taken to be mapped over 36 bases from their probe's extension start on: whether they'd begin within 40 bases of their primer."""
+    mates = F.array(*[F.struct(F.lit(m).alias("mate"), F.length(c).alias("n")) for m, c in ((1, "r1_seq"), (2, "r2_seq"))])
+    p = table(spark, sf, "pairs").select("read_index", code_key("probe_id").alias("probe_id"), F.explode(mates).alias("m")).where("m.n is not null").select("read_index", "probe_id", "m.mate", "m.n")
+    both = p.join(table(spark, sf, "probes"), "probe_id")
+    ok = checks.fits_probe(F.col("ext_start"), F.lit(36), F.col("n"), F.col("mate"), F.col("strand"), *[F.col(c) for c in ("ext_start", "ext_stop", "lig_start", "lig_stop")], buffer=40)
+    return both.select("read_index", "probe_id", "mate", ok.alias("fits"))
 
 
 @query("""with a as (select l_orderkey * 8 + l_linenumber as i, l_shipdate as n from lineitem where l_linenumber < 5), b as (select l_orderkey * 8 + l_linenumber as i, l_shipdate as n from lineitem where l_linenumber > 2)
@@ -495,7 +522,7 @@ def assigned_names(spark, sf):
 def variable_uids(spark, sf):
     """Barcodes before the whole extension primer of the read's probe, of any length."""
     p = table(spark, sf, "pairs").select(code_key("probe_id").alias("probe_id"), F.col("r1_seq").alias("read"))
-    both = p.join(F.broadcast(table(spark, sf, "probes").select("probe_id", F.col("ext_sequence").alias("primer"))), "probe_id")
+    both = p.join(table(spark, sf, "probes").select("probe_id", F.col("ext_sequence").alias("primer")), "probe_id")
     return checks.variable_uids(both, "read", "primer")
 
 

@@ -34,18 +34,18 @@ def _spans(spark, sf):
 
 
 _F = f"f as (select feature_id, feature_name, concat_ws('/', panel_id::varchar, {key('container_name', 'lower')}) as container, chrom_start as start, chrom_end as stop, least(chrom_start, chrom_end) as a, greatest(chrom_start, chrom_end) as b from features where chrom_start is not null and chrom_end is not null)"
-_RANGE = f"with {_F}, r as (select * from f where feature_name like 'primer%'), w as (select * from f where feature_name like 'capture%') select r.feature_id, w.feature_id as w_feature_id from r join w on r.container = w.container and "
+_RANGE = f"with {_F}, w as (select * from f where feature_name like 'capture%') select r.feature_id, w.feature_id as w_feature_id from f r join w on r.container = w.container and "
 
 
 def _range(spark, sf, **options):
     s = _spans(spark, sf)
-    got = joins.range_join(s.where("feature_name like 'primer%'"), s.where("feature_name like 'capture%'"), **options)
+    got = joins.range_join(s, s.where("feature_name like 'capture%'"), **options)
     return got.select("feature_id", "w_feature_id")
 
 
 @query(_RANGE + "w.a <= r.a and r.b <= w.b")
 def containment_join(spark, sf):
-    """Primer sites within capture regions of the same panel and container."""
+    """Every feature within capture regions of its panel and container."""
     return _range(spark, sf)
 
 
@@ -196,11 +196,19 @@ def linear_regression(spark, sf):
     return _rounded(_rounded(out, {"slope", "r2", "adjusted_r2", "r"}), {"mse", "intercept"}, 4)
 
 
-@query(f"with {_V}, w as (select 1.0::double as one, y::double as x0, z::double as x1, x::double as y from v where x is not null and y is not null and z is not null) select "
-       + ", ".join(f"sum({a} * {b}) as {a}_{b}" for i, a in enumerate(("one", "x0", "x1", "y")) for b in ("one", "x0", "x1", "y")[i:]) + " from w")
+_SUMS = ", ".join(f"sum({a} * {b}) as {n}" for n, a, b in (("sx", "x0", "1"), ("sz", "x1", "1"), ("sy", "y", "1"), ("sxx", "x0", "x0"), ("szz", "x1", "x1"), ("sxz", "x0", "x1"), ("sxy", "x0", "y"), ("szy", "x1", "y"), ("syy", "y", "y")))
+
+
+@query(f"""with {_V}, w as (select y::double as x0, z::double as x1, x::double as y from v where x is not null and y is not null and z is not null), s as (select count(*) as n, {_SUMS} from w),
+c as (select *, sxx - sx * sx / n as cxx, szz - sz * sz / n as czz, sxz - sx * sz / n as cxz, sxy - sx * sy / n as cxy, szy - sz * sy / n as czy, syy - sy * sy / n as cyy from s),
+b as (select *, (cxy * czz - czy * cxz) / (cxx * czz - cxz * cxz) as b1, (czy * cxx - cxy * cxz) / (cxx * czz - cxz * cxz) as b2 from c),
+r as (select *, (sy - b1 * sx - b2 * sz) / n as b0, cyy - b1 * cxy - b2 * czy as sse from b)
+select n, round(b0, 4) as b0, round(b1, 6) as b1, round(b2, 6) as b2, round(1 - sse / cyy, 6) as r2, round(1 - sse / cyy * (n - 1) / (n - 3), 6) as adjusted_r2, round(sse / (n - 3), 3) as mse from r""")
 def multi_regression(spark, sf):
-    """The sums that the regression of score on both mapping qualities is solved from."""
-    return st.cross_products(_values(spark, sf), F.col("x"), [F.col("y"), F.col("z")])
+    """The regression of score on both mapping qualities: coefficients, r2 and mse."""
+    m = st.multiple_regression(_values(spark, sf), F.col("x"), [F.col("y"), F.col("z")])
+    row = (m["n"], *[float(round(b, 6 if i else 4)) for i, b in enumerate(m["coefficients"])], float(round(m["r2"], 6)), float(round(m["adjusted_r2"], 6)), float(round(m["mse"], 3)))
+    return spark.createDataFrame([row], "n long, b0 double, b1 double, b2 double, r2 double, adjusted_r2 double, mse double")
 
 
 # --- numbers
@@ -247,21 +255,25 @@ def text_functions(spark, sf):
     )
 
 
-@query("""with n as (select distinct lower(feature_name) as name from features), k as (select name, regexp_extract(name, '^[^0-9]*') as head, try_cast(regexp_extract(name, '[0-9]+') as bigint) as num from n where regexp_matches(name, '^[^0-9]*[0-9]+$'))
-select name, row_number() over (order by head, num, name) as place from k""")
-def natural_sort(spark, sf):
-    from pyspark.sql import Window as W
+_NATURAL = """list_aggregate(list_transform(regexp_extract_all(lower({c}), '[0-9]+|[^0-9]+'), lambda p: (case when regexp_matches(p, '^[0-9]')
+  then chr(1) || lpad(length(regexp_replace(p, '^0+([0-9])', '\\1'))::varchar, 3, '0') || regexp_replace(p, '^0+([0-9])', '\\1') else p end)), 'string_agg', '')"""
 
-    n = table(spark, sf, "features").select(F.lower("feature_name").alias("name")).distinct().where(F.col("name").rlike("^[^0-9]*[0-9]+$"))
-    return n.select("name", F.row_number().over(W.orderBy(X.natural_key("name"), "name")).alias("place"))
+
+@query(f"""with n as (select distinct feature_name as name from features where feature_name is not null)
+select name, row_number() over (order by coalesce({_NATURAL.format(c='name')}, ''), name) as place from n""")
+def natural_sort(spark, sf):
+    """Distinct feature names with their place in natural order; places run on over range partitions."""
+    n = table(spark, sf, "features").select(F.col("feature_name").alias("name")).dropna().distinct()
+    return st.places(n.select("name", X.natural_key("name").alias("key_")), ["key_", "name"]).drop("key_")
 
 
-@query("""with t as (select line_id, regexp_replace(line_text, '^track\\s*', '') as t from bed_lines where starts_with(line_text, 'track') and (length(line_text) - length(replace(line_text, '"', ''))) % 2 = 0)
-select line_id, nullif(regexp_extract(t, 'useScore=(\\S*)', 1), '') as use_score from t""")
+@query("""with t as (select line_id, regexp_replace(regexp_replace(line_text, '\\r$', ''), '^track\\s*', '') as t from bed_lines where starts_with(line_text, 'track') and (length(line_text) - length(replace(line_text, '"', ''))) % 2 = 0)
+select line_id, nullif(regexp_extract(t, 'useScore=([^ \\t]*)', 1), '') as use_score, nullif(regexp_extract(t, '(^|[ \\t])name="([^"]*)"', 2), '') as name, nullif(regexp_extract(t, 'description="([^"]*)"', 1), '') as description from t""")
 def annotation_map(spark, sf):
+    """Pairs of track lines, quoted values whole."""
     t = table(spark, sf, "bed_lines").where("line_text like 'track%'").where(F.regexp_count("line_text", F.lit('"')) % 2 == 0)
-    plain = F.regexp_replace(F.regexp_replace("line_text", "^track\\s*", ""), '"[^"]*"', "x")
-    return t.select("line_id", X.annotations(plain)["useScore"].alias("use_score"))
+    m = X.annotations(F.regexp_replace(F.regexp_replace("line_text", "\r$", ""), "^track\\s*", ""), quoted=True)
+    return t.select("line_id", m.alias("m")).select("line_id", *[F.nullif(F.col("m")[k], F.lit("")).alias(n) for k, n in (("useScore", "use_score"), ("name", "name"), ("description", "description"))])
 
 
 def _lines(spark, sf):
@@ -325,8 +337,9 @@ def json_values(spark, sf):
     return table(spark, sf, "events").select("event_id", k.alias("k"), X.is_numeric(k).alias("numeric"))
 
 
-@query("select p_partkey, p_brand as brand from part where p_brand is not null")
+@query("""select doc_id, nullif(regexp_extract(text, '<a href="([^"]*)"', 1), '') as link from documents where contains(text, '<a href=')""")
 def xml_values(spark, sf):
-    """A value picked from an XML text by its path."""
-    doc = F.concat(F.lit("<part><brand>"), F.col("p_brand"), F.lit("</brand></part>"))
-    return table(spark, sf, "part").where("p_brand is not null").select("p_partkey", F.xpath_string(doc, F.lit("/part/brand")).alias("brand"))
+    """The first link's target of texts with links, by its path in the element cut out of the text."""
+    element = F.concat(F.regexp_extract("text", "(<a href=\"[^\"]*\")", 1), F.lit("/>"))
+    ok = F.when(element != "/>", F.regexp_replace(element, "&(?!(amp|lt|gt|quot|apos);)", "&amp;"))
+    return table(spark, sf, "documents").where(F.col("text").contains("<a href=")).select("doc_id", F.nullif(F.xpath_string(ok, F.lit("/a/@href")), F.lit("")).alias("link"))

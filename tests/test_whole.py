@@ -75,8 +75,8 @@ def test_variable_uids_whole_primer(spark, tables):
 
 def test_comparisons_whole(spark, tables):
     path, probes, pairs = tables
-    strings = {r.read_index: r for r in FQ.alignment_strings_whole(spark, path).collect()}
-    compared = {r.read_index: r for r in FQ.sequence_comparison_whole(spark, path).collect()}
+    strings = {r.read_index: r for r in FQ.alignment_strings(spark, path).collect()}
+    compared = {r.read_index: r for r in FQ.sequence_comparison(spark, path).collect()}
     assert len(strings) == len(compared) == len(pairs)
     for i, _, _, r1, _, r2, _ in pairs:
         n = min(len(r1), len(r2))
@@ -88,5 +88,5 @@ def test_comparisons_whole(spark, tables):
         assert tuple(strings[i]) == (i, ops, edits, wrong, ops.count("="), n - ops.count("I"), ops.count("D"))
     assert max(len(r.ops) for r in strings.values()) > 30
     fits = lambda t, q: [k + 1 for k in range(len(t) - len(q) + 1) if sum(not BASES[x] & BASES[y] for x, y in zip(t[k:], q)) <= 1]  # noqa: B905, E731
-    got = {r.probe_id: r.positions for r in Q.approximate_matches_whole(spark, path).collect()}
+    got = {r.probe_id: r.positions for r in Q.approximate_matches(spark, path).collect()}
     assert got == {p[0]: fits(p[4], p[2]) for p in probes} and got["P1"] == [31]
