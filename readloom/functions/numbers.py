@@ -80,6 +80,49 @@ def sort_index(c: Column | str) -> Column:
     return F.transform(F.array_sort(tagged), lambda s: s["i"])
 
 
+def joined(*arrays: Column | str) -> Column:
+    """Arrays one after the other."""
+    return F.concat(*[_col(a) for a in arrays])
+
+
+def without_place(c: Column | str, i: int) -> Column:
+    """An array without the element at a 0-based index; unchanged if there is none."""
+    return F.filter(_col(c), lambda _, k: k != i)
+
+
+def without_values(c: Column | str, values: Column | str) -> Column:
+    """An array without all elements that another array holds; null elements stay."""
+    return F.filter(_col(c), lambda x: x.isNull() | ~F.coalesce(F.array_contains(_col(values), x), F.lit(False)))
+
+
+def permutations(c: Column | str, size: int) -> Column:
+    """All ordered choices of `size` elements by place, in order of their places, as arrays; their number grows like n^size."""
+    c = _col(c)
+    places = F.transform(c, lambda _, i: i)
+    grown = F.transform(places, lambda i: F.array(i))
+    for _ in range(size - 1):
+        grown = F.flatten(F.transform(grown, lambda p: F.transform(F.filter(places, lambda i: ~F.array_contains(p, i)), lambda i: F.concat(p, F.array(i)))))
+    return F.transform(grown, lambda p: F.transform(p, lambda i: F.get(c, i)))
+
+
+def to_bytes(c: Column | str, size: int, *, little: bool = False) -> Column:
+    """A whole number as so many bytes (1 to 8), two's complement, the greatest first unless `little`; null where it doesn't fit."""
+    c = _col(c).cast("long")
+    text = F.right(F.lpad(F.hex(c), 16, "0"), F.lit(2 * size))
+    pairs = F.regexp_extract_all(text, F.lit("(..)"), F.lit(1))
+    whole = F.unhex(F.array_join(F.reverse(pairs) if little else pairs, ""))
+    fits = F.lit(True) if size == 8 else c.between(-(1 << (8 * size - 1)), (1 << (8 * size)) - 1)
+    return F.when(fits, whole)
+
+
+def from_bytes(b: Column | str, *, little: bool = False, signed: bool = True) -> Column:
+    """The number of up to 8 bytes (7 if unsigned and beyond 2^63)."""
+    pairs = F.regexp_extract_all(F.hex(_col(b)), F.lit("(..)"), F.lit(1))
+    text = F.array_join(F.reverse(pairs) if little else pairs, "")
+    fill = F.when(F.lit(signed) & F.substring(text, 1, 1).isin(*"89ABCDEF"), F.lit("F")).otherwise(F.lit("0"))
+    return F.when(F.length(text) > 0, F.conv(F.concat(F.repeat(fill, 16 - F.length(text)), text), 16, -10).cast("long"))
+
+
 def to_hex(c: Column | str) -> Column:
     return F.hex(_col(c))
 

@@ -77,6 +77,17 @@ def ordinal(n: Column | str) -> Column:
     return F.concat(n.cast("string"), end)
 
 
+def thousands(n: Column | str, fraction: int = 0) -> Column:
+    """A number with commas between thousands and so many digits after the point, 0.5 rounded to even."""
+    return F.format_number(_col(n), fraction)
+
+
+def in_parentheses(n: Column | str) -> Column:
+    """A whole number, a negative one in parentheses."""
+    n = _col(n)
+    return F.when(n < 0, F.concat(F.lit("("), n.cast("string"), F.lit(")"))).otherwise(n.cast("string"))
+
+
 def range_summary(values: Column | str) -> Column:
     """An array of whole numbers as '1-3, 5': sorted, runs joined, repeats once."""
     v = F.array_sort(F.array_distinct(F.filter(_col(values), lambda x: x.isNotNull())))

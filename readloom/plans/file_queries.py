@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from readloom.functions import cigar as C
 from readloom.functions import sequence as S
 from readloom.functions import text as X
+from readloom.operators.checks import checked_files
 from readloom.operators.checks import input_report as report
+from readloom.operators.statistics import places
 from readloom.plans.read_queries import table
 from readloom.session import scratch, spread
 from readloom.sources import alignments as A
 from readloom.sources import lines as L
 from readloom.sources import reads as R
 from readloom.sources import tables as T
+from readloom.streaming.files import changes, mapped_lines, watch_folder
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -225,3 +228,148 @@ def text_keys(spark, sf):
     numeral = F.concat(*[F.element_at(F.array(*[F.lit(d) for d in of]), (F.floor(n / 10**i) % 10 + 1).cast("int")) for i, of in reversed(list(enumerate(digits)))])
     newer = X.version_key(F.concat(F.lit("1."), (k % 20).cast("string"), F.lit(".3"))) > X.version_key(F.lit("1.9"))
     return o.select("o_orderkey", X.date_text("o_orderdate").alias("day"), X.coordinate_text(c["container"], c["start"], c["stop"]).alias("place"), c["start"].alias("start"), X.roman_value(numeral).alias("roman"), newer.alias("newer"))
+
+
+# --- orders of sorted files, headers, digests and checks
+
+
+def _alignments(spark: SparkSession, sf: str) -> DataFrame:
+    """Read ones as alignments to one of three containers."""
+    tags = F.create_map(F.lit("NM"), (F.col("read_index") % 7).cast("string"))
+    return _reads(spark, sf).select(
+        F.col("header").alias("name"), F.lit(1).alias("mate"), F.lit(65).alias("flag"), F.concat(F.lit("chr"), (F.col("read_index") % 3).cast("string")).alias("container"), (100 + F.col("read_index") % 1000).alias("start"),
+        F.lit(60).alias("mapq"), F.concat(F.length("seq").cast("string"), F.lit("M")).alias("cigar"), F.lit("*").alias("mate_container"), F.lit(0).cast("long").alias("mate_start"), F.lit(0).cast("long").alias("insert_size"), "seq", "qual", tags.alias("tags"),
+    )
+
+
+_ALIGNED = f"with {_READS}, a as (select header as name, 'chr' || read_index % 3 as container, 100 + read_index % 1000 as start, 99 + read_index % 1000 + length(seq) as stop, seq, qual, read_index % 7 as nm from x)"
+_SIZES = [(f"chr{i}", 5000) for i in range(3)]
+
+
+def _in_file_order(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of part files, numbered from 1 on over all of them in order of their names."""
+    lines = L.numbered_lines(spark, f"{path}/part-*")
+    return places(lines, ["path", "line_no"]).select("place", "line")
+
+
+@query(_ALIGNED + " select row_number() over (order by container, start, name) as place, container, start, name from a")
+def sam_order(spark, sf):
+    """Alignments in the order in which a coordinate-sorted file holds them."""
+    path = scratch(spark, "sam-order")
+    A.write_sam(_alignments(spark, sf), path, [])
+    c = F.split("line", "\t")
+    return _in_file_order(spark, path).select("place", c[2].alias("container"), c[3].cast("long").alias("start"), c[0].alias("name"))
+
+
+@query(f"with {_READS} select row_number() over (order by read_index) as place, header, seq from x")
+def fastq_order(spark, sf):
+    """Reads in the order in which a FASTQ file sorted by read index holds them."""
+    path = scratch(spark, "fastq-order")
+    R.write_fastq(_reads(spark, sf), path)
+    lines = _in_file_order(spark, path).withColumn("record", F.floor((F.col("place") - 1) / 4))
+    rec = lines.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("l"))
+    return rec.select((F.col("record") + 1).alias("place"), F.substring(F.col("l.line")[0], 2, 1 << 30).alias("header"), F.col("l.line")[1].alias("seq"))
+
+
+@query(_ALIGNED + ", k as (select * from a where name not in (select read_name from read2probe where read_name is not null)) select row_number() over (order by name, container, start) as place, name, container, start from k")
+def name_order(spark, sf):
+    """Alignments by name, without those whose name was assigned to a probe."""
+    kept = A.sorted_by_name(_alignments(spark, sf), table(spark, sf, "read2probe").select(F.col("read_name").alias("name")))
+    return places(kept.select("name", "container", "start"), ["name", "container", "start"])
+
+
+@query(_ALIGNED + " select name, container, start, stop as \"end\", nm from a where container = 'chr1' and start <= 400 and stop >= 300")
+def sam_in_range(spark, sf):
+    """Alignments of a sorted file that overlap a range."""
+    path = scratch(spark, "sam-range")
+    A.write_sam(_alignments(spark, sf), path, A.header_lines(_SIZES))
+    return A.in_range(A.read_sam(spark, path), "chr1", 300, 400).select("name", "container", "start", "end", F.col("nm").cast("long").alias("nm"))
+
+
+@query(_ALIGNED + " select name, container, start, stop as \"end\", seq, qual, nm from a")
+def bam_round_trip(spark, sf):
+    """Alignments written as one sorted BAM file and read again."""
+    path = scratch(spark, "bam")
+    A.write_bam(_alignments(spark, sf), path, _SIZES, A.header_lines(_SIZES))
+    return A.read_bam(spark, path).select("name", "container", "start", "end", "seq", "qual", F.col("nm").cast("long").alias("nm"))
+
+
+@query("""with d as (select container_name as container, (max(greatest(ext_stop, lig_stop)) + 1)::varchar as size from probes group by 1)
+select 'SQ' as kind, container as name, size as value from d union all select 'RG', 'g1', 'sample' union all select 'PG', 'aligner', 'aligner' union all select 'PG', 'readloom', 'readloom'""")
+def output_header(spark, sf):
+    """The header of an output file: containers sized by the probes, the input's read groups and programs, and our own program."""
+    source, path = scratch(spark, "header-in"), scratch(spark, "header-out")
+    spark.createDataFrame([("@HD\tVN:1.6\n@RG\tID:g1\tSM:sample\n@PG\tID:aligner\tPN:aligner",)], "value string").write.text(source)
+    given = A.read_header(spark, source)
+    sizes = [(r.container, r["size"]) for r in A.synthesized_dictionary(table(spark, sf, "probes")).orderBy("container").collect()]  # as many as there are containers
+    A.write_sam(_alignments(spark, sf).where("name is null"), path, A.header_lines(sizes, A.carried_header(given, "RG"), A.carried_header(given, "PG")))
+    tags = F.col("tags")
+    back = A.read_header(spark, path).where("kind != 'HD'")
+    return back.select("kind", F.coalesce(tags["SN"], tags["ID"]).alias("name"), F.coalesce(tags["LN"], tags["SM"], tags["PN"]).alias("value"))
+
+
+@query("select probe_id, reverse(translate(ext_sequence, 'ACGTN', 'TGCAN')) as ext_sequence, reverse(translate(target_sequence, 'ACGTN', 'TGCAN')) as target_sequence, reverse(translate(lig_sequence, 'ACGTN', 'TGCAN')) as lig_sequence, ext_start from probes")
+def reversed_probes(spark, sf):
+    """Probes with their sequences reverse-complemented, coordinates as they are."""
+    return T.reverse_complemented_probes(table(spark, sf, "probes")).select("probe_id", "ext_sequence", "target_sequence", "lig_sequence", "ext_start")
+
+
+@query("select unnest(['ligation_uid', 'extension_uid', 'genome']) as name, unnest(['4', (select max(length(ext_uid))::varchar from pairs), 'hg38']) as value")
+def probe_header(spark, sf):
+    """The pairs in the first line of a probe file."""
+    path = scratch(spark, "probe-header")
+    size = table(spark, sf, "pairs").agg(F.max(F.length("ext_uid"))).first()[0]
+    T.write_probes(_probe_columns(table(spark, sf, "probes")), path, ext_uid=size, lig_uid=4, genome="hg38")
+    return spark.createDataFrame(list(T.read_probe_header(spark, path).items()), "name string, value string")
+
+
+@query("""with l as (select file_name, md5(string_agg(coalesce(line_text, '') || chr(10), '' order by line_no, line_id)) as md5, sum(strlen(coalesce(line_text, '')) + 1)::bigint as length from bed_lines where file_name is not null group by 1)
+select file_name, length, md5, hash is not null as known from (select *, case when length % 2 = 0 then md5 end as hash from l)""")
+def file_digests(spark, sf):
+    """Length and md5 of each file, and whether a list of expected ones (those of even length) agrees with it."""
+    path = scratch(spark, "digests")
+    b = table(spark, sf, "bed_lines").where("file_name is not null").select("file_name", F.coalesce("line_text", F.lit("")).alias("value"), "line_no", "line_id")
+    b.repartition("file_name").sortWithinPartitions("file_name", "line_no", "line_id").select("file_name", "value").write.partitionBy("file_name").option("lineSep", "\n").text(path)
+    got = T.file_digests(spark, f"{path}/*")
+    expected = got.select("path", F.when(F.col("length") % 2 == 0, F.col("md5")).otherwise("other").alias("md5"))
+    wrong = checked_files(got, expected).select("path", F.lit(False).alias("known"))
+    return got.join(wrong, "path", "left").select(F.url_decode(F.regexp_extract("path", "file_name=([^/]*)/", 1)).alias("file_name"), "length", "md5", F.coalesce("known", F.lit(True)).alias("known"))
+
+
+@query(f"""with {_COMMON}, g as (select read_index, n, translate(a, 'N', 'A') as a, translate(b, 'N', 'A') as b, (read_index % 4)::int as w from p where n > 2),
+d as (select *, len(list_filter(range(1, n + 1), lambda i: a[i] <> b[i]))::int as differing, len(list_filter(range(1, n + 1), lambda i: a[i] <> b[i] or (w = 3 and i = 1)))::int as wrong from g)
+select read_index, case when w = 1 then ['cigar_length', 'md_length', 'md_reference'][1:2] when w = 2 then ['nm'] when w = 3 then ['md_reference'] else []::varchar[] end as issues from d""")
+def alignment_consistency(spark, sf):
+    """What is wrong with alignments of mate two to mate one: nothing, a longer CIGAR, another NM, or another reference base, by read index."""
+    w = F.col("read_index") % 4
+    p = _whole_mates(spark, sf).where("length(a) > 2").select("read_index", F.translate("a", "N", "A").alias("a"), F.translate("b", "N", "A").alias("b"))
+    md = C.mismatch_details("a", C.operations("a", "b"))
+    first = F.substring("a", 1, 1)
+    x = p.select(
+        "read_index", F.col("b").alias("seq"), F.concat((F.length("a") + F.when(w == 1, 1).otherwise(0)).cast("string"), F.lit("M")).alias("cigar"), md.alias("md"), (S.mismatches("a", "b") + F.when(w == 2, 1).otherwise(0)).alias("nm"),
+        F.when(w == 3, F.concat(F.translate(first, "ACGT", "CGTA"), F.substring(F.col("a"), F.lit(2), F.length("a")))).otherwise(F.col("a")).alias("reference"),
+    )
+    return A.consistency(x, F.col("reference")).select("read_index", "issues")
+
+
+@query("""with b as (select 'f' || o_orderkey as path, o_custkey as length, o_orderdate as modified from orders where o_orderkey % 3 <> 0), a as (select 'f' || o_orderkey as path, o_custkey + (o_orderkey % 5 = 0)::int as length, o_orderdate as modified from orders where o_orderkey % 3 <> 1)
+select coalesce(a.path, b.path) as path, case when b.path is null then 'created' when a.path is null then 'removed' else 'modified' end as event from a full join b on a.path = b.path where a.path is null or b.path is null or a.length <> b.length""")
+def folder_changes(spark, sf):
+    """Events between two listings of files."""
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    shape = lambda df, extra: df.select(F.concat(F.lit("f"), k.cast("string")).alias("path"), (F.col("o_custkey") + extra).alias("length"), F.col("o_orderdate").alias("modified"))
+    return changes(shape(o.where(k % 3 != 0), F.lit(0)), shape(o.where(k % 3 != 1), (k % 5 == 0).cast("int")))
+
+
+@query("select length(coalesce(line_text, '')) as size, count(*) as n from bed_lines group by 1")
+def mapped_lines_stream(spark, sf):
+    """Lines of a watched folder, mapped as they are read."""
+    base = scratch(spark, "watched")
+    table(spark, sf, "bed_lines").select(F.coalesce("line_text", F.lit("")).alias("value")).write.option("lineSep", "\n").text(f"{base}/in")
+    lines = watch_folder(spark, f"{base}/in", glob="part-*", line_sep="\n")
+    run = mapped_lines(lines, F.length).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    if run.exception():
+        raise run.exception()
+    return spark.read.parquet(f"{base}/out").groupBy(F.col("value").alias("size")).agg(F.count(F.lit(1)).alias("n"))

@@ -456,11 +456,27 @@ def extend_to_primer(spark, sf):
     return out.select("id", "probe_id", F.col("one.cigar").alias("one_cigar"), F.col("two.cigar").alias("two_cigar"), "extended")
 
 
+def _primers(spark, sf):
+    primers = F.array(*[F.struct(F.lit(k).alias("secondary_id"), F.col(c).alias("seq")) for k, c in (("extension", "ext_sequence"), ("ligation", "lig_sequence"))])
+    return table(spark, sf, "probes").select(F.col("probe_id").alias("primary_id"), F.explode(primers).alias("s")).select("primary_id", "s.*")
+
+
 def _found(spark, sf):
     p = table(spark, sf, "pairs").groupBy("read_index").agg(F.min("r1_seq").alias("seq"), F.min("r1_qual").alias("qual"))
-    primers = F.array(*[F.struct(F.lit(k).alias("secondary_id"), F.col(c).alias("seq")) for k, c in (("extension", "ext_sequence"), ("ligation", "lig_sequence"))])
-    searched = table(spark, sf, "probes").select(F.col("probe_id").alias("primary_id"), F.explode(primers).alias("s")).select("primary_id", "s.*")
-    return pipeline.find_and_trim(p.where("length(seq) = length(qual)"), searched)
+    return pipeline.find_and_trim(p.where("length(seq) = length(qual)"), _primers(spark, sf))
+
+
+_SOUGHT = """w as (select probe_id as primary_id, s.k as secondary_id, upper(s.q) as q from (select probe_id, unnest([{'k': 'extension', 'q': ext_sequence}, {'k': 'ligation', 'q': lig_sequence}]) as s from probes))"""
+
+
+@query(f"""with {_SOUGHT}, r as (select read_index, upper(min(r1_seq)) as seq, min(r1_qual) as qual from pairs group by 1), c as (select * from r where length(seq) = length(qual) and not contains(seq, 'N')),
+h as (select read_index, primary_id, secondary_id, strpos(seq, q)::int - 1 as place, length(q)::int as size from c join w on contains(seq, q))
+select read_index, primary_id, secondary_id, place, size from h""")
+def exact_primers(spark, sf):
+    """Whole extension and ligation primers, as they are, found in read one without a mismatch: each place once, the first one of a read."""
+    p = table(spark, sf, "pairs").groupBy("read_index").agg(F.min("r1_seq").alias("seq"), F.min("r1_qual").alias("qual"))
+    found = pipeline.find_and_trim(p.where("length(seq) = length(qual)"), _primers(spark, sf), pipeline.FindOptions(mismatches=0, all_orientations=False))
+    return found.where("primary_id is not null").select("read_index", "primary_id", "secondary_id", F.length("before").alias("place"), F.length("found").alias("size"))
 
 
 @query()
@@ -488,6 +504,33 @@ def stream_best_pair(spark, sf):
     return spark.read.parquet(f"{base}/out")
 
 
+# --- probes of alignments
+
+
+@query(f"""with m as (select read_index, 1 as mate, {key('probe_id')} as own, one_mapq as q, two_mapq as o from pairs union all select read_index, 2, {key('probe_id')}, two_mapq, one_mapq from pairs),
+a as (select read_index, mate, r.container_name as container, r.target_start - 40 + read_index % 80 as start, (case when r.strand = '+' then 1 else -1 end) * (case when mate = 1 then 1 else -1 end) as way,
+  r.target_start - 20 as x_start, read_index % 5 = 0 as x from m join probes r on m.own = r.probe_id where q > 0 and o > 0 and read_index is not null),
+n as (select read_index from a group by 1 having count(*) > 2), k as (select * from a where read_index not in (select read_index from n)),
+h as (select read_index, mate, container, start, start + 29 as stop, way * (case when mate = 1 then 1 else -1 end) as way from k union all select read_index, mate, container, x_start, x_start + 24, way * (case when mate = 1 then 1 else -1 end) from k where x),
+g as (select distinct h.read_index, h.mate, w.probe_id from h join probes w on h.container = w.container_name and h.way = (case when w.strand = '+' then 1 else -1 end)
+  and least(w.ext_start, w.lig_start) <= h.start and h.stop <= greatest(w.ext_stop, w.lig_stop))
+select read_index, probe_id from g group by 1, 2 having count(distinct mate) = 2""")
+def assigned_probes(spark, sf):
+    """Probes whose window holds both mates: 30 mapped bases around the target of the pair's probe, and for each fifth read an alternate hit of 25."""
+    mates = F.array(*[F.struct(F.lit(m).alias("mate"), F.col(c).alias("q"), F.col(d).alias("o")) for m, c, d in ((1, "one_mapq", "two_mapq"), (2, "two_mapq", "one_mapq"))])
+    p = table(spark, sf, "pairs").select("read_index", code_key("probe_id").alias("probe_id"), F.explode(mates).alias("m")).where("read_index is not null").select("read_index", "probe_id", "m.*")
+    probes = table(spark, sf, "probes")
+    both = p.join(probes.select("probe_id", F.col("container_name").alias("container"), "target_start", F.col("strand").alias("s")), "probe_id")
+    way = F.when((F.col("s") == "+") == (F.col("mate") == 1), "+").otherwise("-")
+    hit = F.struct(F.col("container").alias("container"), (F.col("target_start") - 20).cast("long").alias("start"), way.alias("strand"), F.lit("20M5D").alias("cigar"), F.lit(0).alias("nm"))
+    start = F.col("target_start") - 40 + F.col("read_index") % 80
+    a = both.select(
+        "read_index", "mate", "container", start.alias("start"), (start + 29).alias("end"), way.alias("strand"), F.lit(True).alias("is_primary"), F.coalesce(F.col("q") > 0, F.lit(False)).alias("mapped"),
+        F.coalesce(F.col("o") > 0, F.lit(False)).alias("mate_mapped"), F.when(F.col("read_index") % 5 == 0, F.array(hit)).alias("xa"),
+    )
+    return pipeline.assign_probes(a, probes).select("read_index", "probe_id")
+
+
 # --- checks
 
 

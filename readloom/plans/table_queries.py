@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import cigar as C
 from readloom.functions import numbers as N
+from readloom.functions import sequence as S
 from readloom.functions import text as X
 from readloom.functions.keys import code_key, container_key
 from readloom.operators import intervals, joins
@@ -239,6 +240,35 @@ def array_functions(spark, sf):
     return q.select("l_orderkey", F.array_min("q").alias("least"), F.array_max("q").alias("greatest"), N.array_total("q").alias("total"), N.index_of("q", F.lit(5.0)).alias("at_five"), N.sort_index("q").alias("sorted"))
 
 
+@query("""with l as (select l_orderkey, list(l_quantity order by l_linenumber, l_quantity) as q from lineitem group by 1)
+select l_orderkey, list_concat(q, [0.0::double]) as joined, q[2:] as rest, list_filter(q, lambda x: x not in (5.0, 10.0)) as others,
+  flatten(list_transform(range(1, len(q) + 1), lambda i: list_transform(list_filter(range(1, len(q) + 1), lambda j: j <> i), lambda j: [q[i], q[j]]))) as twos from l""")
+def array_helpers(spark, sf):
+    """Quantities of each order joined, without some places and values, and all ordered twos."""
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity")))
+    q = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(rows.alias("r")).select("l_orderkey", F.col("r.l_quantity").alias("q"))
+    return q.select("l_orderkey", N.joined("q", F.array(F.lit(0.0))).alias("joined"), N.without_place("q", 0).alias("rest"), N.without_values("q", F.array(F.lit(5.0), F.lit(10.0))).alias("others"), N.permutations("q", 2).alias("twos"))
+
+
+@query("""with h as (select *, lpad(hex(o_orderkey), 8, '0') as h from orders) select o_orderkey, h as big, h[7:8] || h[5:6] || h[3:4] || h[1:2] as little, -o_orderkey as back, format('{:,.2f}', o_totalprice) as price,
+ case when o_orderkey = 0 then '0' else '(-' || o_orderkey || ')' end as negative, factorial((o_orderkey % 21)::int)::bigint as fact, regexp_replace(o_orderpriority, '(..)', '\\1-', 'g') as dashed from h""")
+def byte_functions(spark, sf):
+    """Numbers as bytes and back, with thousands, in parentheses; factorials; a sign after every second character."""
+    k = F.col("o_orderkey")
+    dashed = X.insert_every("o_orderpriority", 2, "-")
+    even = F.when((F.length("o_orderpriority") % 2 == 0) & ~dashed.endswith("-"), F.concat(dashed, F.lit("-"))).otherwise(dashed)
+    return table(spark, sf, "orders").select(
+        "o_orderkey", F.hex(N.to_bytes(k, 4)).alias("big"), F.hex(N.to_bytes(k, 4, little=True)).alias("little"), N.from_bytes(N.to_bytes(-k, 5, little=True), little=True).alias("back"),
+        X.thousands("o_totalprice", 2).alias("price"), X.in_parentheses(-k).alias("negative"), N.factorial((k % 21).cast("int")).alias("fact"), even.alias("dashed"),
+    )
+
+
+@query("""with p as (select p_partkey, p_name as t, substr(p_name, 3, 5) as q from part) select p_partkey, len(list_filter(range(1, length(t) - 3), lambda i: len(list_filter(range(0, 5), lambda j: t[i + j] <> 'xxolo'[j + 1])) <= 2)) > 0 as near, contains(t, q) as own from p""")
+def plain_matches(spark, sf):
+    """Whether plain strings stand in names with some other characters."""
+    return table(spark, sf, "part").select("p_partkey", S.contains_within("p_name", F.lit("xxolo"), 2).alias("near"), S.contains_within("p_name", F.substring("p_name", 3, 5), 0).alias("own"))
+
+
 # --- text
 
 

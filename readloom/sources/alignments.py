@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.functions.cigar import expanded
+from readloom.functions.sequence import chars
+
 _COLUMNS = (
     "name string, flag int, container string, start long, mapq int, cigar string, mate_container string, mate_start long, insert_size long, seq string, qual string, tags map<string,string>"
 )
@@ -199,19 +202,55 @@ def header_lines(sizes: list[tuple[str, int]], read_groups: list[str] = (), prog
     return ["@HD\tVN:1.6\tSO:coordinate", *[f"@SQ\tSN:{c}\tLN:{n}" for c, n in sizes], *read_groups, *programs, *own]
 
 
-def consistency(alignments: DataFrame, reference: Column) -> DataFrame:
-    """Alignments with what their tags get wrong (issues, empty if all is well); `reference`: the bases under the alignment.
+def carried_header(header: DataFrame, kind: str) -> list[str]:
+    """The lines of one kind (RG, PG) of an input's header, as `read_header` gives them; headers are short."""
+    tags = F.array_join(F.transform(F.map_entries("tags"), lambda t: F.concat(F.lit("\t"), t["key"], F.lit(":"), t["value"])), "")
+    rows = header.where(F.col("kind") == kind).select(F.concat(F.lit("@"), F.col("kind"), tags).alias("line")).distinct().collect()
+    return sorted(r.line for r in rows)
 
-    Checked: the CIGAR's length against the read, and for '=' / 'X' / 'M' columns of gap-free alignments NM
-    against the reference.
-    """
-    read_bases = F.aggregate(F.regexp_extract_all("cigar", F.lit("([0-9]+[MIS=X])"), F.lit(1)), F.lit(0), lambda a, p: a + F.regexp_extract(p, "^[0-9]+", 0).cast("int"))
-    plain = F.col("cigar").rlike("^[0-9]+[M=]$")
-    differ = F.size(F.filter(F.zip_with(F.split("seq", ""), F.split(reference, ""), lambda a, b: a != b), lambda d: d))
-    issues = F.array_compact(F.array(F.when(read_bases != F.length("seq"), "cigar_length"), F.when(plain & (F.col("nm") != differ), "nm")))
-    return alignments.withColumn("issues", issues)
 
+def consistency(alignments: DataFrame, reference: Column) -> DataFrame:
+    """Alignments with what is wrong with them (issues, empty if all is well); `reference`: the bases under the alignment.
 
+    cigar_length: the operations don't cover exactly the read; no_md: no MD tag; md_length: MD and CIGAR differ in the
+    columns they have; md_reference: the bases that MD names, or those it says match the read, aren't the reference's;
+    nm: NM isn't the mismatches, inserted and deleted bases; reference_n: the reference has an N, nothing else is looked at.
+    Clipped bases take no part.
+    """
+    ops = expanded("cigar")
+    read = F.length(F.regexp_replace(ops, "[^MIS=X]", ""))
+    body = F.regexp_replace(ops, "[HSP]", "")
+    first = F.length(F.regexp_extract(ops, "^H*(S*)", 1))
+    seq = F.substring(F.col("seq"), first + 1, F.length(F.regexp_replace(body, "[^MI=X]", "")))
+    # MD as one letter a column of the reference: '=' as the read, a base where it differs, a small one where it's deleted.
+    parts = F.regexp_extract_all("md", F.lit("([0-9]+|[A-Za-z]|\\^[A-Za-z]+)"), F.lit(1))
+    said = F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.repeat(F.lit("="), p.cast("int"))).when(p.startswith("^"), F.lower(F.substring(p, 2, 1 << 20))).otherwise(F.upper(p))), "")
+    # The columns that take up reference: the read's base there, or '-' where it is deleted.
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc: Column, o: Column) -> Column:
+        base = F.substring(seq, acc["at"] + 1, F.lit(1))
+        return F.when(o == "I", F.struct(acc["out"].alias("out"), (acc["at"] + 1).alias("at"))).when(o.isin("D", "N"), F.struct(F.concat(acc["out"], F.lit("-")).alias("out"), acc["at"].alias("at"))).otherwise(
+            F.struct(F.concat(acc["out"], base).alias("out"), (acc["at"] + 1).alias("at"))
+        )
+
+    under = F.aggregate(chars(body), start, step)["out"]
+    x = alignments.withColumn("x_", F.struct(ops.alias("ops"), read.alias("read"), said.alias("said"), under.alias("under"), reference.alias("ref")))
+    said, under, ref = F.col("x_.said"), F.col("x_.under"), F.upper("x_.ref")
+    deleted = F.length(F.regexp_replace(said, "[^a-z]", "")) == F.length(F.regexp_replace(under, "[^-]", ""))
+    columns = F.length(F.regexp_replace(F.col("x_.ops"), "[^MDN=X]", ""))
+    same_length = (F.length(said) == columns) & (F.length(under) == columns) & deleted
+    built = F.array_join(F.zip_with(chars(said), chars(under), lambda m, r: F.when(m == "=", r).otherwise(F.upper(m))), "")
+    edits = F.length(F.regexp_replace(said, "=", "")) + F.length(F.regexp_replace(F.col("x_.ops"), "[^I]", ""))
+    clean = ~ref.contains("N")
+    md = F.col("md").isNotNull()
+    issues = F.array_compact(
+        F.array(
+            F.when(~clean, "reference_n"), F.when(clean & (F.col("x_.read") != F.length("seq")), "cigar_length"), F.when(clean & ~md, "no_md"), F.when(clean & md & ~same_length, "md_length"),
+            F.when(clean & md & same_length & (F.upper(built) != ref), "md_reference"), F.when(clean & md & same_length & ~F.col("nm").eqNullSafe(edits), "nm"),
+        )
+    )
+    return x.withColumn("issues", issues).drop("x_")
 
 
 def _bgzf(raw: bytes) -> bytes:
@@ -287,17 +326,22 @@ def bam_blocks(alignments: DataFrame, sizes: list[tuple[str, int]]) -> DataFrame
 
 
 def write_bam(alignments: DataFrame, path: str, sizes: list[tuple[str, int]], header: list[str]) -> None:
-    """One BAM file on the driver's disk; blocks come in one partition at a time."""
+    """One coordinate-sorted BAM file at any path that Spark can write; the sorted partitions' blocks pass through the driver one partition at a time."""
     text = ("\n".join(header) + "\n").encode()
     head = b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(sizes))
     for name, n in sizes:
         head += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", n)
-    with open(path, "wb") as f:
+    spark = alignments.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    f = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
         for a in range(0, len(head), 65_280):
-            f.write(_bgzf(head[a : a + 65_280]))
+            f.write(bytearray(_bgzf(head[a : a + 65_280])))
         for row in bam_blocks(alignments, sizes).toLocalIterator():
-            f.write(row.data)
-        f.write(_bgzf(b""))
+            f.write(bytearray(row.data))
+        f.write(bytearray(_bgzf(b"")))
+    finally:
+        f.close()
 
 
 def sorted_by_name(alignments: DataFrame, excluded: DataFrame | None = None) -> DataFrame:

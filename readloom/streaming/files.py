@@ -10,15 +10,17 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
-def watch_folder(spark: SparkSession, path: str, *, pattern: str | None = None, glob: str | None = None, per_trigger: int = 100) -> DataFrame:
+def watch_folder(spark: SparkSession, path: str, *, pattern: str | None = None, glob: str | None = None, per_trigger: int = 100, line_sep: str | None = None) -> DataFrame:
     """A stream of (path, line) of all text files in a folder: those there at first, then new ones.
 
     `glob` narrows the listing, `pattern` is searched in the whole path. Files that change or go away later give
-    no event: a file source reads each file once.
+    no event here, as a file source reads each file once; see `changes`.
     """
     r = spark.readStream.option("maxFilesPerTrigger", per_trigger)
     if glob:
         r = r.option("pathGlobFilter", glob)
+    if line_sep:
+        r = r.option("lineSep", line_sep)
     lines = r.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
     return lines.where(F.col("path").rlike(pattern)) if pattern else lines
 
@@ -32,6 +34,24 @@ def file_events(lines: DataFrame, on_created: Callable[[list[str]], None], check
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
 
 
+def listing(spark: SparkSession, path: str, *, pattern: str | None = None) -> DataFrame:
+    """(path, length, modified) of the files below a folder; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+    return files.where(F.col("path").rlike(pattern)) if pattern else files
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, event) between two listings of a folder: created, modified or removed; what stayed as it was gives none.
+
+    A stream of files tells only of new ones; for the other events keep each listing (as a table) and compare.
+    """
+    a = before.select("path", F.struct("length", "modified").alias("was"))
+    b = after.select("path", F.struct("length", "modified").alias("is"))
+    both = a.join(b, "path", "full_outer")
+    event = F.when(F.col("was").isNull(), "created").when(F.col("is").isNull(), "removed").when(F.col("was") != F.col("is"), "modified")
+    return both.select("path", event.alias("event")).where("event is not null")
+
+
 def mapped_lines(lines: DataFrame, column: Callable) -> DataFrame:
     """A stateless listener: `column` of each line as it is read."""
     return lines.select("path", column(F.col("line")).alias("value"))

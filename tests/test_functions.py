@@ -110,7 +110,7 @@ def test_text(spark):
 
 
 def test_natural_order(spark):
-    want = ["chr1", "chr2", "chr10", "chr10a", "chrM", "chrX", "x 007", "x 8", "x 1000000000000"]
+    want = ["chr1", "chr2", "chr10", "chr10a", "chrM", "chrX", "x 007", "x 8", "x 1000000000000", "x " + "9" * 99, "x 1" + "0" * 120]
     mixed = want[:]
     random.Random(1).shuffle(mixed)
     df = spark.createDataFrame([(w,) for w in mixed], "s string")
@@ -129,3 +129,16 @@ def test_numbers(spark):
     from readloom.operators.checks import crc16
 
     assert one(spark, crc16(L("123456789")), crc16(L(None).cast("string"))) == (0x29B1, None)
+
+
+def test_helpers(spark):
+    a, e = F.array(L(3), L(1), L(3)), F.array().cast("array<int>")
+    assert one(spark, N.joined(a, e), N.without_place(a, 1), N.without_place(a, 9), N.without_values(a, F.array(L(3))), N.without_values(e, a)) == ([3, 1, 3], [3, 3], [3, 1, 3], [1], [])
+    assert one(spark, N.permutations(F.array(L(1), L(2), L(3)), 2), N.permutations(a, 1), N.permutations(e, 2)) == ([[1, 2], [1, 3], [2, 1], [2, 3], [3, 1], [3, 2]], [[3], [1], [3]], [])
+    got = one(spark, N.to_bytes(L(258), 2), N.to_bytes(L(258), 2, little=True), N.to_bytes(L(-2), 2), N.to_bytes(L(70000), 2), N.from_bytes(N.to_bytes(L(-2), 2)), N.from_bytes(N.to_bytes(L(-2), 2), signed=False), N.from_bytes(N.to_bytes(L(-(2**63)), 8, little=True), little=True))
+    assert [bytes(x) if isinstance(x, bytearray) else x for x in got] == [b"\x01\x02", b"\x02\x01", b"\xff\xfe", None, -2, 65534, -(2**63)]
+    assert one(spark, X.thousands(L(1234567)), X.thousands(L(0.125), 2), X.in_parentheses(L(-5)), X.in_parentheses(L(5))) == ("1,234,567", "0.12", "(-5)", "5")
+    assert one(spark, S.approximate_matches(L("AACAAGAAT"), L("AAN"), 0, first=2), S.first_match(L("CCC"), L("A"), 0), S.first_match(L("CAC"), L("A"), 0), S.has_match(L("CAC"), L("G"), 0), S.has_match(L("CAC"), L("R"), 0)) == ([1, 4], None, 2, False, True)
+    assert one(spark, S.contains_within(L("hello"), L("yell"), 1), S.contains_within(L("hello"), L("yeti"), 1), S.contains_within(L("a"), L(""), 0), S.contains_within(L("A"), L("N"), 0), S.contains_within(L(None).cast("string"), L("a"), 0)) == (True, False, True, False, None)
+    assert one(spark, X.annotations(L('a="x  y" b=1 c "d e"=2'), quoted=True))[0] == {"a": "x  y", "b": "1", "c": None, '"d e"': "2"}
+    assert one(spark, S.gc_percent(L("acgt")), S.base_counts(L("acgt")))[0] == 50.0

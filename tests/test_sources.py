@@ -150,5 +150,28 @@ def test_sam_and_bam(spark, tmp_path):
     with pytest.raises(ValueError, match="cut off|gzip"):
         list(A.gzip_blocks((tmp_path / "a.bam").read_bytes()[:-5]))
     assert [r.name for r in A.sorted_by_name(sam, sam.where("name = 'r2'")).collect()] == ["r1", "r1"]
-    fine = sam.where("name = 'r1' and mate = 2")
-    assert A.consistency(fine, F.lit("ACGT")).first().issues == [] and A.consistency(fine, F.lit("ACGA")).first().issues == ["nm"]
+
+
+def test_consistency(spark):
+    """Clips, an insertion and a deletion: read TT|ACG.G.TA|C over reference ACGTACCC."""
+    rows = [
+        ("2S3M1I2M2D1M", "TTACGGTAC", "5^CC1", 3, "ACGTACCC", []), ("2S3M1I2M2D1M", "TTACGGTAC", "5^CC1", 2, "ACGTACCC", ["nm"]), ("2S3M1I2M2D1M", "TTACGGTAC", "5^CG1", 3, "ACGTACCC", ["md_reference"]),
+        ("2S3M1I2M2D1M", "TTACGGTAC", "6^CC1", 3, "ACGTACCC", ["md_length"]), ("2S3M1I2M2D1M", "TTACGGTAC", None, 3, "ACGTACCC", ["no_md"]), ("2S3M1I2M2D1M", "TTACGGTAC", "5^CC1", 3, "ACGNACCC", ["reference_n"]),
+        ("4M", "ACGT", "2T1", 1, "ACTT", []), ("4M", "ACGT", "4", 0, "ACTT", ["md_reference"]), ("4M", "ACGTA", "4", 0, "ACGT", ["cigar_length"]), ("4M", "ACGT", "2T1", None, "ACTT", ["nm"]),
+    ]
+    df = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(rows)], "i int, cigar string, seq string, md string, nm int, under string")
+    got = {r.i: r.issues for r in A.consistency(df, F.col("under")).collect()}
+    assert got == {i: r[5] for i, r in enumerate(rows)}
+
+
+def test_changes_of_a_folder(spark, tmp_path):
+    from readloom.streaming import files
+
+    for n in "abc":
+        (tmp_path / f"{n}.txt").write_text(n)
+    before = spark.createDataFrame(files.listing(spark, str(tmp_path)).collect(), "path string, length long, modified timestamp")
+    (tmp_path / "a.txt").unlink()
+    (tmp_path / "b.txt").write_text("longer")
+    (tmp_path / "d.txt").write_text("d")
+    got = {r.path.rsplit("/", 1)[1]: r.event for r in files.changes(before, files.listing(spark, str(tmp_path), pattern="txt$")).collect()}
+    assert got == {"a.txt": "removed", "b.txt": "modified", "d.txt": "created"}
