@@ -161,7 +161,37 @@ with k as (
   select read_index, {", ".join(_LATEST.format(c=c) for c in ("probe_id", "ext_uid", "lig_uid", "q1", "q2"))} from k group by read_index
 )"""
 
+_FILLED = ("one_mapq", "two_mapq", "container_name")
+_RECORDS = f"""
+with k as (
+  select read_index, loaded_at, {_key("probe_id")} as probe_id, {_key("ext_uid")} as ext_uid, {_key("lig_uid")} as lig_uid, one_mapq, two_mapq, {_key("container_name", "lower")} as container_name,
+    list_sum(list_transform(range(1, length(r1_qual) + 1), lambda i: unicode(r1_qual[i]) - 33)) as q1,
+    list_sum(list_transform(range(1, length(r2_qual) + 1), lambda i: unicode(r2_qual[i]) - 33)) as q2
+  from pairs where read_index is not null
+), p as (
+  select read_index, max(loaded_at) as latest, {", ".join(_LATEST.format(c=c) for c in ("probe_id", "ext_uid", "lig_uid", "q1", "q2", *_FILLED))} from k group by read_index
+), r as (
+  select probe_id || '/' || ext_uid || '/' || lig_uid as g, *, (coalesce(q1, 0) + coalesce(q2, 0))::bigint as total_quality, coalesce(latest, '0001-01-01'::timestamp) as recent,
+    (q1 is not null)::int + (q2 is not null)::int + (one_mapq is not null)::int + (two_mapq is not null)::int + (container_name is not null)::int as complete from p where probe_id is not null and ext_uid is not null and lig_uid is not null
+)"""
+
+
+def _layer(name: str, of: str) -> str:
+    """The records of a relation that none of it dominates; read_index breaks ties of quality, so no two are equal."""
+    better = "b.total_quality > a.total_quality or (b.total_quality = a.total_quality and b.read_index < a.read_index)"
+    return f"{name} as (select * from {of} a where not exists (select 1 from {of} b where b.g = a.g and b.complete >= a.complete and b.recent >= a.recent and ({better})))"
+
+
+def _rest(name: str, of: str, layer: str) -> str:
+    return f"{name} as (select * from {of} where read_index not in (select read_index from {layer}))"
+
+
 ORACLE = {
+    "p6_survivors": _RECORDS + ", " + ", ".join((_layer("l1", "r"), _rest("r2", "r", "l1"), _layer("l2", "r2"), _rest("r3", "r2", "l2"), _layer("l3", "r3"), _rest("r4", "r3", "l3")))
+    + """, u as (select *, 1 as layer from l1 union all select *, 2 from l2 union all select *, 3 from l3 union all select *, 4 from r4)
+      select any_value(probe_id) as probe_id, any_value(ext_uid) as ext_uid, any_value(lig_uid) as lig_uid, count(*) as n_records, count(*) filter (where layer = 1) as n_skyline, """
+    + ", ".join(f"list({c} order by layer, total_quality desc, read_index)[1] as {c}" for c in ("read_index", "latest", "total_quality"))
+    + ", " + ", ".join(f"list({c} order by layer, total_quality desc, read_index) filter (where {c} is not null)[1] as {c}" for c in _FILLED) + " from u group by g",
     "p1_found": " union all ".join(
         f"select '{f}' as uid_field, {_key(f)} as uid from pairs where {_key(f)} is not null group by 1, 2 having count(*) >= {FREQUENT} * (select count(*) from pairs)" for f in ("ext_uid", "lig_uid")
     ),

@@ -10,9 +10,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Parts into which every group is split for the first, local skyline.
-SALTS = 16
-
 
 def quality_sums(text: pa.Array) -> pa.Array:
     """Sum over each string's characters of their code less 33; null for null, 0 for an empty one."""
@@ -76,7 +73,7 @@ def _layered(df: DataFrame, by: list[str], levels: int, depth: int) -> DataFrame
 
 
 def skyline_survivors(
-    df: DataFrame, keys: list[str], *, recent: str, trust: list[Column], fields: list[str], fill: list[str] = (), depth: int = 3, salts: int = SALTS, least: int = 1, unique: bool = False
+    df: DataFrame, keys: list[str], *, recent: str, trust: list[Column], fields: list[str], fill: list[str] = (), depth: int = 3, salts: int | None = None, least: int = 1, unique: bool = False
 ) -> DataFrame:
     """One surviving record per group: (*keys, n_records, n_skyline, all other columns of the survivor).
 
@@ -89,8 +86,8 @@ def skyline_survivors(
     within a layer from the most trusted record; layers beyond `depth` count as one.
 
     A skyline of the whole is the skyline of the parts' skylines, and the first `depth` layers lie within the
-    first `depth` layers of the parts. So groups are first reduced in `salts` parts each, and one task gets only
-    what is undominated of a hot group. Records beyond `depth` stay only where they hold a part's most trusted
+    first `depth` layers of the parts. So groups are first reduced in `salts` parts each (by default as many as there are
+    shuffle partitions, so a hot group is spread over all tasks), and one task gets only what is undominated of it. Records beyond `depth` stay only where they hold a part's most trusted
     value of a column to fill.
 
     Groups with a null key are no groups. Repeated rows count as records; of equal ones one survives. They are
@@ -99,6 +96,7 @@ def skyline_survivors(
     has a column n_records or n_skyline itself, the operator's own gets an underscore. Map columns have no order
     and are an error.
     """
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if depth < 1 or salts < 1:
         raise ValueError("depth and salts must be at least 1")
     depth = depth if fill else 1
@@ -110,7 +108,7 @@ def skyline_survivors(
     k = [f"k{i}" for i in range(len(keys))]
     base = df.dropna(subset=keys).select(
         *[F.col(x).alias(y) for x, y in zip(keys, k, strict=True)], complete.alias("complete_"), when.alias("recent_"), F.struct(*parts).alias("trust_"),
-        F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("short").alias("salt_"),
+        F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int").alias("salt_"),
     )
     columns = [*k, "salt_", "complete_", "recent_", "trust_"]
     base = base.withColumn("m_", F.lit(1)) if unique else base.groupBy(*columns).agg(F.count(F.lit(1)).alias("m_"))
