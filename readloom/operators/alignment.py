@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,7 @@ def _matrix(texts: list[str]) -> np.ndarray:
     return _BITS[np.frombuffer("".join(texts).encode("latin-1", "replace"), "uint8")].reshape(len(texts), -1)
 
 
-def _fill(ref: np.ndarray, qry: np.ndarray, s: Scoring) -> tuple[np.ndarray, np.ndarray]:
+def _fill(ref: np.ndarray, qry: np.ndarray, s: Scoring, same_of=lambda a, b: (a & b) > 0) -> tuple[np.ndarray, np.ndarray]:
     """Scores of the last cells, and steps (1 left, 2 up, 3 diagonal) of pairs of one shape by antidiagonal, pair and query row.
 
     On antidiagonal d, row i is reference column d - i; the neighbours of a cell are rows i and i - 1 of the
@@ -74,7 +75,7 @@ def _fill(ref: np.ndarray, qry: np.ndarray, s: Scoring) -> tuple[np.ndarray, np.
                     left_cost[:, -1] = 0
             by_up = old[:, lo - 1 : hi] + up_cost
             by_left = old[:, lo : hi + 1] + left_cost
-            same = (qry[:, lo - 1 : hi] & back[:, n - d + lo : n - d + hi + 1]) > 0
+            same = same_of(qry[:, lo - 1 : hi], back[:, n - d + lo : n - d + hi + 1])
             best = np.maximum(older[:, lo - 1 : hi] + np.where(same, np.float32(s.match), np.float32(s.mismatch)), np.maximum(by_up, by_left))
             now[:, lo : hi + 1] = best
             step[:, lo : hi + 1] = np.where(best == by_left, 1, np.where(best == by_up, 2, 3))
@@ -82,17 +83,30 @@ def _fill(ref: np.ndarray, qry: np.ndarray, s: Scoring) -> tuple[np.ndarray, np.
     return old[:, m], steps
 
 
-def _trace(steps: np.ndarray, m: int, n: int) -> list[bytes]:
-    """The steps from first to last column of each alignment, as bytes 1, 2, 3."""
+def _trace(steps: np.ndarray, m: int, n: int) -> np.ndarray:
+    """The steps 1, 2, 3 from first to last column of each alignment, a row each with zeros in front."""
     b = steps.shape[1]
     i, d, k = np.full(b, m), np.full(b, m + n), np.arange(b)
     out = np.zeros((b, m + n), "uint8")
-    for c in range(m + n):
+    for c in range(m + n - 1, -1, -1):
         s = steps[d, k, i]
         out[:, c] = s
         i = i - (s >= 2)
         d = d - (s > 0) - (s == 3)
-    return [r[r > 0][::-1].tobytes() for r in out]
+    return out
+
+
+def _gapped(texts: list[str], path: np.ndarray, gap: int) -> list[str]:
+    """Texts of one length with a '-' in every column whose step is `gap`."""
+    inside = path > 0
+    takes = inside & (path != gap)
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), "uint32").reshape(len(texts), -1)
+    at = np.maximum(np.cumsum(takes, 1) - 1, 0)
+    drawn = np.where(takes, np.take_along_axis(chars, at, 1), ord("-")) if chars.shape[1] else np.full(path.shape, ord("-"))
+    first = path.shape[1] - inside.sum(1)
+    if chars.size and chars.max() >= 256:
+        return ["".join(map(chr, row[f:])) for row, f in zip(drawn, first, strict=True)]
+    return [row[f:].tobytes().decode("latin-1") for row, f in zip(drawn.astype("uint8"), first, strict=True)]
 
 
 def align_all(pairs: list[tuple[str, str]], s: Scoring = Scoring()) -> list[tuple[str, str, float]]:
@@ -105,15 +119,61 @@ def align_all(pairs: list[tuple[str, str]], s: Scoring = Scoring()) -> list[tupl
         at_once = max(1, _CELLS // ((n + 1) * (m + 1)))
         for a in range(0, len(ks), at_once):
             part = ks[a : a + at_once]
-            score, steps = _fill(_matrix([pairs[k][0] for k in part]), _matrix([pairs[k][1] for k in part]), s)
-            for k, path, sc in zip(part, _trace(steps, m, n), score, strict=True):
-                r, q = iter(pairs[k][0]), iter(pairs[k][1])
-                out[k] = ("".join(["-" if c == 2 else next(r) for c in path]), "".join(["-" if c == 1 else next(q) for c in path]), float(sc))
+            refs, qrys = [pairs[k][0] for k in part], [pairs[k][1] for k in part]
+            score, steps = _fill(_matrix(refs), _matrix(qrys), s)
+            path = _trace(steps, m, n)
+            for k, r, q, sc in zip(part, _gapped(refs, path, 2), _gapped(qrys, path, 1), score.tolist(), strict=True):
+                out[k] = (r, q, sc)
+    return out
+
+
+def align_letters(pairs: list[tuple[list, list]], s: Scoring = Scoring()) -> list[tuple[list, list, float]]:
+    """(gapped reference, gapped query, score) of sequences of any letters, such as words; only equal ones match, None is a gap."""
+    out = []
+    for ref, qry in pairs:
+        number = {x: i for i, x in enumerate(dict.fromkeys([*ref, *qry]))}
+        codes = [np.array([[number[x] for x in t]], "int64").reshape(1, -1) for t in (ref, qry)]
+        score, steps = _fill(*codes, s, np.equal)
+        path = [c for c in _trace(steps, len(qry), len(ref))[0].tolist() if c]
+        r, q = iter(ref), iter(qry)
+        out.append(([None if c == 2 else next(r) for c in path], [None if c == 1 else next(q) for c in path], float(score[0])))
     return out
 
 
-def _same(a: str, b: str) -> bool:
-    return a == b or bool(_BITS[ord(a) & 255] & _BITS[ord(b) & 255])
+def _letters(s: Scoring):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = align_letters(list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)), s)
+            words = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], words), pa.array([g[1] for g in got], words), pa.array([g[2] for g in got], pa.float64())], names=["id", "ref_aligned", "qry_aligned", "score"])
+
+    return run
+
+
+def letter_alignments(df: DataFrame, ident: str, ref: str, qry: str, scoring: Scoring = Scoring()) -> DataFrame:
+    """(id, ref_aligned, qry_aligned, score) of two array<string> columns, aligned globally; rows with a null array give none."""
+    rows = df.select(F.col(ident).alias("id"), F.col(ref).alias("ref"), F.col(qry).alias("qry")).dropna(subset=["ref", "qry"])
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(_letters(scoring), f"id {kind}, ref_aligned array<string>, qry_aligned array<string>, score double")
+
+
+class _Operations(dict):
+    """The operation of a column (reference, query), looked up once: '=' match by sets, 'I', 'D' or 'X'."""
+
+    def __missing__(self, pair: tuple[str, str]) -> str:
+        r, q = pair
+        same = r == q or bool(_BITS[ord(r) & 255] & _BITS[ord(q) & 255])
+        self[pair] = out = "=" if same else "I" if r == "-" else "D" if q == "-" else "X"
+        return out
+
+
+_OPERATION = _Operations()
+_RUN = re.compile(r"(.)\1*")
+#: A match so many columns before the primer's end weighs this to that power, and what the weights must reach.
+_FADING, _ENOUGH = 0.95, 4.0
+#: Bases beyond the primer's length in which it is sought, and the least bases after it less one.
+_REACH, _SHORTEST = 26, 11
+_WEIGHTS = (_FADING ** np.arange(4096)).tolist()
 
 
 def primer_end(gapped_read: str, gapped_primer: str) -> int | None:
@@ -121,48 +181,34 @@ def primer_end(gapped_read: str, gapped_primer: str) -> int | None:
 
     From the primer's end backwards matches count 0.95 to the power of their distance; the sum must reach 4.
     """
-    last = len(gapped_primer.rstrip("-")) - 1
-    weight, bases = 0.0, 0
-    for back, k in enumerate(range(last, -1, -1)):
-        if gapped_read[k] != "-":
-            bases += 1
-            if _same(gapped_read[k], gapped_primer[k]):
-                weight += 0.95**back
-    return bases - 1 if weight >= 4.0 and bases else None
+    upto = len(gapped_primer.rstrip("-"))
+    read = gapped_read[:upto]
+    bases = upto - read.count("-")
+    weight = sum([w for w, o in zip(_WEIGHTS, _ops(read, gapped_primer[:upto])[::-1], strict=False) if o == "="])
+    return bases - 1 if weight >= _ENOUGH and bases else None
 
 
 def _ops(ref: str, qry: str) -> str:
-    return "".join("=" if _same(r, q) else "I" if r == "-" else "D" if q == "-" else "X" for r, q in zip(ref, qry, strict=True))
+    return "".join(map(_OPERATION.__getitem__, zip(ref, qry, strict=True)))
 
 
 def _summary(ops: str) -> str:
-    out, k = [], 0
-    while k < len(ops):
-        e = k
-        while e < len(ops) and ops[e] == ops[k]:
-            e += 1
-        out.append(f"{e - k}{ops[k]}")
-        k = e
-    return "".join(out)
+    return "".join([f"{m.end() - m.start()}{m[1]}" for m in _RUN.finditer(ops)])
 
 
 def _details(ref: str, ops: str) -> str:
-    out, run, was_match, deleting = [], 0, False, False
-    for r, o in zip(ref, ops, strict=True):
-        if o == "=":
-            run, deleting = run + 1, False
-            continue
-        if o == "I":
-            deleting = False
-            continue
-        if run:
-            out.append(str(run))
-            run, was_match = 0, True
-        if o == "D" and deleting:
-            out.append(r)
-            continue
-        out.append(("" if was_match else "0") + ("^" if o == "D" else "") + r)
-        was_match, deleting = False, o == "D"
+    """The MD string, run by run; insertions take no part, so matches on both sides of one are one run."""
+    out, run, after_match = [], 0, False
+    for m in _RUN.finditer(ops):
+        if m[1] == "=":
+            run += m.end() - m.start()
+        elif m[1] != "I":
+            if run:
+                out.append(str(run))
+                run, after_match = 0, True
+            bases = ref[m.start() : m.end()]
+            out.append(("" if after_match else "0") + ("^" + bases if m[1] == "D" else "0".join(bases)))
+            after_match = False
     if run:
         out.append(str(run))
     elif out:
@@ -183,9 +229,9 @@ def extend(reads: list[tuple[str, str, str, int, bool]], s: Scoring = Scoring())
     found, the rest scores 0 or less a column, or is 11 bases or shorter.
     """
     out: list = [None] * len(reads)
-    found = align_all([(read[: min(len(read), len(p) + 26)], p) for p, _, read, _, _ in reads], PRIMER)
+    found = align_all([(read[: len(p) + _REACH], p) for p, _, read, _, _ in reads], PRIMER)
     ends = [primer_end(r, p) for r, p, _ in found]
-    live = [k for k, e in enumerate(ends) if e is not None and 0 <= e < len(reads[k][2]) and len(reads[k][2]) - e - 1 > 11]
+    live = [k for k, e in enumerate(ends) if e is not None and 0 <= e < len(reads[k][2]) and len(reads[k][2]) - e - 1 > _SHORTEST]
     bodies = align_all([(reads[k][1], reads[k][2][ends[k] + 1 :]) for k in live], s)
     for k, (r, q, score) in zip(live, bodies, strict=True):
         if not r or score / len(r) <= 0:
@@ -253,19 +299,20 @@ def _extend_pairs(s: Scoring):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows = list(zip(*[b.column(i).to_pylist() for i in range(1, 10)], strict=True))
+            at: dict[tuple, int] = {}
+            where = [at.setdefault(r, len(at)) for r in rows]  # equal pairs stand together: each is aligned once
             one, two = [], []
-            cols = [b.column(i).to_pylist() for i in range(1, 10)]
-            for r1, r2, strand, ext, lig, target, ext_start, ext_stop, lig_edge in zip(*cols, strict=True):
-                back = strand == "-"
-                if back:
+            for r1, r2, strand, ext, lig, target, ext_start, ext_stop, lig_edge in at:
+                if strand == "-":
                     one.append((flip(ext), flip(target), flip(r1), ext_start, True))
                     two.append((flip(lig)[::-1], flip(target)[::-1], r2, lig_edge, False))
                 else:
                     one.append((ext, target, r1, ext_stop, False))
                     two.append((lig[::-1], target[::-1], flip(r2), lig_edge, True))
             # Where read one isn't extended, the anchor of read two isn't set either: the pair fails as a whole.
-            a, z = extend(one, s), extend(two, s)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([cell(e) for e in a], kind), pa.array([cell(e) for e in z], kind)], names=["id", "one", "two"])
+            ends = [pa.array([cell(e) for e in extend(x, s)], kind).take(pa.array(where, pa.int64())) for x in (one, two)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *ends], names=["id", "one", "two"])
 
     return run
 
@@ -276,21 +323,24 @@ def extend_to_primers(pairs: DataFrame, probes: DataFrame, *, scoring: Scoring =
     `pairs`: id, probe_id, r1, r2. `probes`: probe_id, strand, ext_sequence, ext_start, ext_stop, lig_sequence,
     lig_start, lig_stop, target_sequence. one and two are structs start, first, last, ops, cigar, md,
     edit_distance, null where a read can't be extended; `extended` tells whether both could. Equal reads of one
-    probe are aligned once. Pairs without probe, or with a null sequence, come out unextended. The probes are
-    broadcast if they have at most `broadcast_rows` rows, else joined by a shuffle.
+    probe come together and are aligned once a batch; the bases are shuffled once. Pairs without probe, or with a null
+    sequence, come out unextended. The probes, which are short, are broadcast if they have at most `broadcast_rows`
+    rows, else joined by a shuffle.
     """
     side = probes.select(
         "probe_id", F.coalesce("strand", F.lit("+")).alias("strand"), "ext_sequence", "lig_sequence", "target_sequence", "ext_start", "ext_stop",
         F.when(F.col("strand") == "-", F.col("lig_stop")).otherwise(F.col("lig_start")).alias("lig_edge"),
     ).dropna()
     small = side.limit(broadcast_rows + 1).count() <= broadcast_rows
-    distinct = pairs.select("probe_id", "r1", "r2").dropna().distinct()
-    work = distinct.join(F.broadcast(side) if small else side, "probe_id")
-    key = F.struct("probe_id", "r1", "r2")
+    known = side.select("probe_id", F.lit(True).alias("known_"))
+    whole = F.col("known_").isNotNull() & F.col("r1").isNotNull() & F.col("r2").isNotNull()
+    asked = pairs.select("id", "probe_id", "r1", "r2").join(F.broadcast(known) if small else known, "probe_id", "left")
+    work = asked.where(whole).repartitionByRange(tasks(pairs), "probe_id", F.length("r1"), F.length("r2"), F.xxhash64("r1", "r2"))
+    # The probes' sequences join after the shuffle, so they don't travel with every pair.
+    work = work.sortWithinPartitions("probe_id", F.length("r1"), F.length("r2"), F.xxhash64("r1", "r2")).join(F.broadcast(side) if small else side, "probe_id")
+    key = F.struct("id", "probe_id")
     kind = work.select(key.alias("id")).schema["id"].dataType.simpleString()
-    work = work.repartitionByRange(tasks(pairs), "probe_id", F.length("r1"), F.length("r2"), F.xxhash64("r1", "r2"))
-    done = work.sortWithinPartitions("probe_id", F.length("r1"), F.length("r2")).select(key.alias("id"), "r1", "r2", "strand", "ext_sequence", "lig_sequence", "target_sequence", "ext_start", "ext_stop", "lig_edge").mapInArrow(
-        _extend_pairs(scoring), f"id {kind}, one {_EXTENDED}, two {_EXTENDED}"
-    )
-    done = done.select(F.col("id.probe_id"), F.col("id.r1"), F.col("id.r2"), "one", "two")
-    return pairs.join(done, ["probe_id", "r1", "r2"], "left").select("id", "probe_id", "one", "two", (F.col("one").isNotNull() & F.col("two").isNotNull()).alias("extended"))
+    done = work.select(key.alias("id"), "r1", "r2", "strand", "ext_sequence", "lig_sequence", "target_sequence", "ext_start", "ext_stop", "lig_edge").mapInArrow(_extend_pairs(scoring), f"id {kind}, one {_EXTENDED}, two {_EXTENDED}")
+    done = done.select("id.id", "id.probe_id", "one", "two", (F.col("one").isNotNull() & F.col("two").isNotNull()).alias("extended"))
+    nothing = F.lit(None).cast(_EXTENDED)
+    return done.unionByName(asked.where(~whole).select("id", "probe_id", nothing.alias("one"), nothing.alias("two"), F.lit(False).alias("extended")))

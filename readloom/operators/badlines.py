@@ -120,11 +120,10 @@ class Cells:
         self.upto = np.concatenate(([0], np.cumsum(there.sum(1))))
         self.there, self.n = there, n
 
-    def parse(self, a: int, b: int) -> pa.Array:
-        """The numbers of lines a to b as 32-bit integers; raises ArrowInvalid if any line is no plain entry."""
-        if not self.plain[a:b].all():
-            raise pa.ArrowInvalid("not plain")
-        return self.numbers.slice(self.upto[a], self.upto[b] - self.upto[a]).cast(pa.int32())
+    def parse(self, rows: np.ndarray) -> pa.Array:
+        """The numbers of neighbouring plain lines as 32-bit integers; raises ArrowInvalid if one of them has another cell there."""
+        first, last = self.upto[rows[0]], self.upto[rows[-1] + 1]
+        return self.numbers.slice(first, last - first).cast(pa.int32())
 
     def columns(self, rows: np.ndarray, values: np.ndarray) -> list[pa.Array]:
         """The twelve columns of parsed lines; `values`: their numbers, in order."""
@@ -141,22 +140,33 @@ class Cells:
         return out
 
 
-def resolve(cells: Cells, block: int) -> tuple[list[tuple[int, int, pa.Array]], list[int]]:
-    """(from, to, numbers) of each block that parses, and the lines that stop one, isolated by bisection."""
-    good: list[tuple[int, int, pa.Array]] = []
-    bad: list[int] = []
-    stack = [(a, min(cells.n, a + block)) for a in range(0, cells.n, block)][::-1]
-    while stack:
-        a, b = stack.pop()
-        try:
-            good.append((a, b, cells.parse(a, b)))
-        except pa.ArrowInvalid:
-            if b - a == 1:
-                bad.append(a)
-            else:
-                m = (a + b) // 2
-                stack += [(m, b), (a, m)]
-    return good, bad
+def resolve(cells: Cells, block: int) -> tuple[list[tuple[np.ndarray, pa.Array]], np.ndarray]:
+    """(lines, numbers) of each block that parses, and the lines for the strict path: those not plain, and those that stop a block.
+
+    Blocks are of plain lines only. A failing one is bisected down to single lines; the next one is half as long then, and
+    twice as long, up to `block`, after one that parsed.
+    """
+    plain = np.flatnonzero(cells.plain)
+    good: list[tuple[np.ndarray, pa.Array]] = []
+    bad = [np.flatnonzero(~cells.plain)]
+    at, size = 0, block
+    while at < len(plain):
+        stack = [plain[at : at + size]]
+        at += size
+        whole = True
+        while stack:
+            rows = stack.pop()
+            try:
+                good.append((rows, cells.parse(rows)))
+            except pa.ArrowInvalid:
+                whole = False
+                if len(rows) == 1:
+                    bad.append(rows)
+                else:
+                    m = len(rows) // 2
+                    stack += [rows[m:], rows[:m]]
+        size = min(block, 2 * size) if whole else max(1, size // 2)
+    return good, np.concatenate(bad)
 
 
 def _parse(block: int, keep: int):
@@ -172,14 +182,14 @@ def _parse(block: int, keep: int):
             lines = pc.replace_substring_regex(lines, "\r\\z", "")
             cells = Cells(lines)
             good, isolated = resolve(cells, block)
-            rows = np.concatenate([np.arange(x, y) for x, y, _ in good]) if good else np.zeros(0, "int64")
-            values = np.concatenate([v.to_numpy(zero_copy_only=False) for _, _, v in good]) if good else np.zeros(0, "int32")
-            strict = [diagnose(lines[i].as_py()) for i in isolated]
+            rows = np.concatenate([x for x, _ in good]) if good else np.zeros(0, "int64")
+            values = np.concatenate([v.to_numpy(zero_copy_only=False) for _, v in good]) if good else np.zeros(0, "int32")
+            strict = [diagnose(t) for t in lines.take(pa.array(isolated)).to_pylist()]
             columns = [
                 pa.array(["entry"] * len(rows) + [d[0] for d in strict], pa.string()), pa.array([None] * len(rows) + [d[1] for d in strict], pa.string()),
                 *[pa.concat_arrays([c.cast(t), pa.array([d[2][i] for d in strict], t)]) for i, (c, t) in enumerate(zip(cells.columns(rows, values), types, strict=True))],
             ]
-            order = pa.array(np.concatenate([rows, np.array(isolated, "int64")]))
+            order = pa.array(np.concatenate([rows, isolated]))
             yield pa.RecordBatch.from_arrays([*[b.column(i).take(order) for i in range(keep)], *columns], names=[*b.schema.names[:keep], *names])
 
     return run
@@ -190,9 +200,9 @@ def parse_lines(df: DataFrame, line: str, keep: list[str], *, block: int = BLOCK
 
     Columns: `keep`, then kind ('entry', 'track', 'skipped', 'bad'), reason, container_name ... block_starts.
     Lines are cut into cells a batch at a time, and blocks of lines parsed at once: one cast of all their numbers.
-    A block that doesn't parse is halved until the lines that stop it are alone, and these are diagnosed
-    strictly, one by one. There is no shuffle, and a
-    task holds one Arrow batch at a time.
+    A block that doesn't parse is halved until the lines that stop it are alone. These, and lines that have no
+    plain cells to parse, are diagnosed strictly, one by one. There is no shuffle, and a task holds one Arrow batch at a
+    time.
 
     Rules: a carriage return at the end is no part of the line. Lines starting with '#' or 'browser' are
     'skipped'; lines starting with 'track' are bad only for an odd number of quotes. Reasons, the first that

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.session import materialize
+
 
 @lru_cache(maxsize=4096)
 def merged_pair(a: str, b: str) -> str:
@@ -45,17 +47,24 @@ def merge_words(words: list[str]) -> str:
     return left[0] if left else ""
 
 
-def _merge(most: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        words = sorted({w for w in table["word"].to_pylist()})
-        if len(words) > most:
-            raise ValueError(f"group {key[0].as_py()!r} has more than {most} words to merge")
-        return pa.table({"k": pa.array([key[0].as_py()], pa.string()), "merged": pa.array([merge_words(words)], pa.string())})
-
-    return run
+def _merge(key: tuple, table: pa.Table) -> pa.Table:
+    return pa.table({"k": pa.array([key[0].as_py()], pa.string()), "word": pa.array([merge_words(table["word"].to_pylist())], pa.string())})
 
 
 def merged_words(df: DataFrame, key: str, word: str, *, most: int = 200) -> DataFrame:
-    """(key, merged) per group of distinct words; more than `most` of them in one group are an error, as merging is cubic."""
+    """(key, merged) per group of distinct words: one string that holds each as a subsequence.
+
+    Merging is cubic in the words, so groups of more than `most` are merged in parts of about half of it first, and their
+    results in further rounds: no task gets a large group, and no word is left out.
+    """
+    if most < 2:
+        raise ValueError("most must be at least 2")
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(word).alias("word")).dropna().distinct()
-    return rows.groupBy("k").applyInArrow(_merge(most), "k string, merged string").withColumnRenamed("k", key)
+    while True:
+        sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= most:
+            break
+        part = F.pmod(F.xxhash64("word"), F.when(F.col("n") > most, F.ceil(2 * F.col("n") / most)).otherwise(1)).alias("part")
+        parts = rows.join(sizes, "k").select("k", "word", part).groupBy("k", "part").applyInArrow(_merge, "k string, word string")
+        rows = materialize(parts, "merged-words").distinct()
+    return rows.groupBy("k").applyInArrow(_merge, "k string, word string").select(F.col("k").alias(key), F.col("word").alias("merged"))

@@ -27,7 +27,9 @@ def build_session(name: str = "readloom", cores: int | None = None, **conf: str)
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    let_workers_import(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

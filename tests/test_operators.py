@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from readloom.operators import checks, dedup, intervals, joins, kmers, words
 from readloom.operators import statistics as st
-from readloom.operators.alignment import PRIMER, Scoring, _BITS, align_all, extend, extend_to_primers, flip, global_alignments, primer_end
+from readloom.operators.alignment import PRIMER, Scoring, _BITS, align_all, extend, extend_to_primers, flip, global_alignments, letter_alignments, primer_end
 
 
 @pytest.mark.parametrize("how", ["contained", "overlap"])
@@ -274,3 +274,66 @@ def test_merged_words(spark):
     assert len(got) == 5 and words.merge_words([]) == "" and words.merged_pair("abcd", "bd") == "abcd"
     df = spark.createDataFrame([("k", "ab"), ("k", "bc"), ("j", None), ("l", "x")], "g string, word string")
     assert {tuple(r) for r in words.merged_words(df, "g", "word").collect()} == {("k", "abc"), ("l", "x")}
+
+
+def test_merged_words_of_large_groups(spark):
+    rnd = random.Random(3)
+    many = sorted({"".join(rnd.choices("abc", k=rnd.randrange(1, 5))) for _ in range(60)})
+    df = spark.createDataFrame([("big", w) for w in many] + [("small", "ab"), ("small", "b"), (None, "x")], "g string, word string")
+    got = {r.g: r.merged for r in words.merged_words(df, "g", "word", most=8).collect()}
+
+    def holds(text, word):
+        it = iter(text)
+        return all(c in it for c in word)
+
+    assert set(got) == {"big", "small"} and got["small"] == "ab" and all(holds(got["big"], w) for w in many)
+
+
+def test_letter_alignment(spark):
+    rows = [(1, ["a", "rose", "is", "a", "rose"], ["a", "rose", "was", "rose"]), (2, [], ["x"]), (3, None, ["x"]), (4, ["x", "y", "z", "x", "y"], ["y", "z"])]
+    df = spark.createDataFrame(rows, "id long, r array<string>, q array<string>")
+    got = {r.id: r for r in letter_alignments(df, "id", "r", "q").collect()}
+    assert set(got) == {1, 2, 4}
+    for i, r, q in rows:
+        if i in got:
+            assert [x for x in got[i].ref_aligned if x is not None] == r and [x for x in got[i].qry_aligned if x is not None] == q and len(got[i].ref_aligned) == len(got[i].qry_aligned)
+    assert got[4].qry_aligned == [None, "y", "z", None, None] and got[4].score == 2.0
+
+
+def test_neighbours_of_thin_features(spark):
+    """Far apart features, a few of them long: what tiles and wide tiles leave open is answered in the container."""
+    rnd = random.Random(9)
+    rows = [("c", a, a + rnd.choice([1, 2, 5000])) for a in sorted(rnd.sample(range(40_000), 300))]
+    df = spark.createDataFrame(rows, "c string, s long, e long")
+    got = {(r.s, r.e): (r.to_s, r.to_e) for r in intervals.neighbours(df, "c", "s", "e", wrap=False, tile=4).withColumnsRenamed({"to_start": "to_s", "to_stop": "to_e"}).collect()}
+    for _, s, e in rows:
+        later = [(x, y) for _, x, y in rows if x > s and y > e]
+        assert got[s, e] == (min(later) if later else (None, None))
+
+
+def test_quantiles_of_one_group_over_parts(spark):
+    rnd = random.Random(2)
+    values = [rnd.gauss(0, 1) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    q = st.five_numbers(df, [], F.col("v")).first()
+    ordered = sorted(values)
+    assert q.median == (ordered[1499] + ordered[1500]) / 2 and q.q1 == (ordered[749] + ordered[750]) / 2 and (q.least, q.greatest) == (ordered[0], ordered[-1])
+    got = [r.v for r in st.places(df, ["v"]).orderBy("place").collect()]
+    assert got == ordered
+
+
+def test_range_join_of_very_different_lengths(spark):
+    rnd = random.Random(6)
+
+    def some(n):
+        return [(i, rnd.choice("xy"), a, a + rnd.choice([0, 3, 70, 5000, 3_000_000])) for i, a in enumerate(rnd.choices(range(5_000_000), k=n))]
+
+    rows, windows = some(300), some(60)
+    schema = "i int, container string, start long, stop long"
+    a, b = spark.createDataFrame(rows, schema), spark.createDataFrame(windows, schema)
+    for how in ("contained", "overlap"):
+        want = {(r[0], w[0]) for r in rows for w in windows if r[1] == w[1] and ((w[2] <= r[2] and r[3] <= w[3]) if how == "contained" else max(r[2], w[2]) <= min(r[3], w[3]))}
+        for size in (1 << 30, 0):
+            got = [(r.i, r.w_i) for r in joins.range_join(a, b, how=how, broadcast_bytes=size).collect()]
+            assert len(got) == len(want) and set(got) == want
+    assert joins.range_join(a, b.limit(0)).collect() == []
