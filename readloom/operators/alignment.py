@@ -332,12 +332,13 @@ def extend_to_primers(pairs: DataFrame, probes: DataFrame, *, scoring: Scoring =
         F.when(F.col("strand") == "-", F.col("lig_stop")).otherwise(F.col("lig_start")).alias("lig_edge"),
     ).dropna()
     small = side.limit(broadcast_rows + 1).count() <= broadcast_rows
-    known = side.select("probe_id", F.lit(True).alias("known_"))
+    known = side.select("probe_id", F.lit(True).alias("known_"), F.length("target_sequence").alias("size_"), F.length("ext_sequence").alias("ext_size_"))
     whole = F.col("known_").isNotNull() & F.col("r1").isNotNull() & F.col("r2").isNotNull()
     asked = pairs.select("id", "probe_id", "r1", "r2").join(F.broadcast(known) if small else known, "probe_id", "left")
-    work = asked.where(whole).repartitionByRange(tasks(pairs), "probe_id", F.length("r1"), F.length("r2"), F.xxhash64("r1", "r2"))
+    # By lengths, so that a batch holds few shapes, whatever the number of probes; the hash brings equal pairs together.
+    order = ["size_", "ext_size_", F.length("r1"), F.length("r2"), F.xxhash64("probe_id", "r1", "r2")]
     # The probes' sequences join after the shuffle, so they don't travel with every pair.
-    work = work.sortWithinPartitions("probe_id", F.length("r1"), F.length("r2"), F.xxhash64("r1", "r2")).join(F.broadcast(side) if small else side, "probe_id")
+    work = asked.where(whole).repartitionByRange(tasks(pairs), *order).sortWithinPartitions(*order).join(F.broadcast(side) if small else side, "probe_id")
     key = F.struct("id", "probe_id")
     kind = work.select(key.alias("id")).schema["id"].dataType.simpleString()
     done = work.select(key.alias("id"), "r1", "r2", "strand", "ext_sequence", "lig_sequence", "target_sequence", "ext_start", "ext_stop", "lig_edge").mapInArrow(_extend_pairs(scoring), f"id {kind}, one {_EXTENDED}, two {_EXTENDED}")
