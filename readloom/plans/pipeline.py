@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,7 +172,7 @@ class FindOptions:
     replace_found: bool = False
     leading_quality: int = 0
     trailing_quality: int = 0
-    all_orientations: bool = True
+    orientations: tuple[str, ...] = ("FWD", "RVS", "RVS_CMP", "CMP")
     notes: dict[str, str] = field(default_factory=dict)
     limit: int | None = None
     least_ratio: float = 0.0
@@ -238,7 +238,7 @@ def find_and_trim(reads: DataFrame, searched: DataFrame, options: FindOptions =
     """
     cut = quality_trim("seq", "qual", options.leading_quality, options.trailing_quality)
     clean = reads.select("read_index", cut.alias("c")).select("read_index", "c.seq", "c.qual", has_n("c.seq").alias("skip"))
-    ways = F.explode(orientations("seq")) if options.all_orientations else F.explode(F.array(F.struct(F.lit("FWD").alias("orientation"), F.col("seq").alias("sequence"))))
+    ways = F.explode(F.filter(orientations("seq"), lambda w: w["orientation"].isin(*options.orientations)))
     wanted = searched.select("primary_id", "secondary_id", ways.alias("o")).select("primary_id", "secondary_id", "o.orientation", F.col("o.sequence").alias("qry"))
     live = clean.where(~F.col("skip"))
     # Dealt out by text first: the search takes far longer than the bytes suggest.
@@ -282,6 +282,62 @@ def find_and_trim(reads: DataFrame, searched: DataFrame, options: FindOptions =
     )
 
 
+#: Settings of a find-and-trim run by section, and the options they set.
+_FIND = {
+    "Allowed_Mismatch_Bases": "mismatches", "Allowed_Insertion_Gaps": "insertion_gaps", "Allowed_Insertion_Bases": "insertion_bases", "Allowed_Deletion_Gaps": "deletion_gaps",
+    "Allowed_Deletion_Bases": "deletion_bases",
+}
+_WAYS = {
+    "Include_Forward_Version_Of_Search_Sequence": "FWD", "Include_Reverse_Version_Of_Search_Sequence": "RVS", "Include_Reverse_Compliment_Version_Of_Search_Sequence": "RVS_CMP",
+    "Include_Compliment_Version_Of_Search_Sequence": "CMP",
+}
+_NOTES = {
+    "Add_Pre_Text_To_FastQ_Annotation_With_Following_Key": "before", "Add_Found_Text_To_FastQ_Annotation_With_Following_Key": "found", "Add_Found_Sequence_To_FastQ_Annotation_With_Following_Key": "sought",
+    "Add_Found_Sequence_Primary_ID_To_FastQ_Annotation_With_Following_Key": "primary_id", "Add_Found_Sequence_Secondary_ID_To_FastQ_Annotation_With_Following_Key": "secondary_id",
+    "Add_Found_Sequence_Orientation_ID_To_FastQ_Annotation_With_Following_Key": "orientation", "Add_Post_Text_To_FastQ_Annotation_With_Following_Key": "after",
+}
+
+
+def find_options(settings: dict, defaults: FindOptions = FindOptions()) -> FindOptions:
+    """Options from settings as `read_settings` gives them: sections FIND and TRIM; what isn't set keeps its default."""
+    find, trimming = settings.get("FIND") or {}, settings.get("TRIM") or {}
+    new: dict = {option: int(find[k]) for k, option in _FIND.items() if find.get(k) is not None}
+    if any(k in find for k in _WAYS):
+        new["orientations"] = tuple(w for k, w in _WAYS.items() if find.get(k, w in defaults.orientations))
+    for k, option in (("Leading_Quality_Trim_Threshold", "leading_quality"), ("Trailing_Quality_Trim_Threshold", "trailing_quality")):
+        if trimming.get(k) is not None:
+            new[option] = int(trimming[k])
+    for k, option in (("Remove_Pre_Text_In_Output", "keep_before"), ("Remove_Post_Text_In_Output", "keep_after"), ("Remove_Found_Text_In_Output", "keep_found")):
+        if k in trimming:
+            new[option] = not trimming[k]
+    if "Keep_Found_Text_In_Output" in trimming:
+        new["keep_found"] = bool(trimming["Keep_Found_Text_In_Output"])
+    if trimming.get("Replace_Found_Text_With_Search_Sequence"):
+        new |= {"keep_found": False, "replace_found": True}
+    notes = {held: str(trimming[k]) for k, held in _NOTES.items() if trimming.get(k)}
+    return replace(defaults, **new, notes=notes or defaults.notes)
+
+
+def routed(found: DataFrame, *, multiple: str = "own", none: str = "own") -> DataFrame:
+    """Rows of `find_and_trim` with the output they go to: file 'match', 'multiple' or 'no_match'.
+
+    multiple: 'own', 'match', 'no_match' (a row for the read as it was) or 'exclude'; none: 'own', 'match' or 'exclude'.
+    Skipped reads go nowhere.
+    """
+    if multiple not in ("own", "match", "no_match", "exclude") or none not in ("own", "match", "exclude"):
+        raise ValueError("no such output")
+    many = {"own": "multiple", "match": "match", "no_match": "no_match", "exclude": None}[multiple]
+    empty = {"own": "no_match", "match": "match", "exclude": None}[none]
+    status = F.col("status")
+    file = F.when(status == "single", "match").when(status == "multiple", F.lit(many)).when(status == "none", F.lit(empty))
+    out = found.withColumn("file", file).where("file is not null")
+    if multiple == "no_match":
+        gone = [F.when(status != "multiple", F.col(c)).alias(c) if c in ("primary_id", "secondary_id", "orientation", "before", "found", "after", "notes") else F.col(c) for c in out.columns if c not in ("seq", "qual")]
+        whole = [F.when(status == "multiple", F.lit(None)).otherwise(F.col(c)).alias(c) for c in ("seq", "qual")]
+        out = out.select(*gone, *whole).distinct()
+    return out
+
+
 def find_summary(found: DataFrame) -> DataFrame:
     """One row: reads in all, with one, several and no match, skipped, and their percentages."""
     per = found.groupBy("read_index").agg(F.min("status").alias("status"))

@@ -475,7 +475,7 @@ select read_index, primary_id, secondary_id, place, size from h""")
 def exact_primers(spark, sf):
     """Whole extension and ligation primers, as they are, found in read one without a mismatch: each place once, the first one of a read."""
     p = table(spark, sf, "pairs").groupBy("read_index").agg(F.min("r1_seq").alias("seq"), F.min("r1_qual").alias("qual"))
-    found = pipeline.find_and_trim(p.where("length(seq) = length(qual)"), _primers(spark, sf), pipeline.FindOptions(mismatches=0, all_orientations=False))
+    found = pipeline.find_and_trim(p.where("length(seq) = length(qual)"), _primers(spark, sf), pipeline.FindOptions(mismatches=0, orientations=("FWD",)))
     return found.where("primary_id is not null").select("read_index", "primary_id", "secondary_id", F.length("before").alias("place"), F.length("found").alias("size"))
 
 

@@ -137,12 +137,12 @@ def test_find_and_trim_passes_over_nothing(spark, gaps):
     flank = lambda: "".join(rnd.choices("ACGT", k=30))
     rows = []
     if gaps:
-        o = P.FindOptions(mismatches=1, insertion_gaps=1, insertion_bases=2, deletion_gaps=1, deletion_bases=1, all_orientations=False)
+        o = P.FindOptions(mismatches=1, insertion_gaps=1, insertion_bases=2, deletion_gaps=1, deletion_bases=1, orientations=("FWD",))
         for i in range(3, 21):
             rows += [long[:i] + "TA"[: 1 + i % 2] + long[i:], long[:i] + long[i + 1 :]]
         sought = long
     else:
-        o, sought = P.FindOptions(all_orientations=False), target
+        o, sought = P.FindOptions(orientations=("FWD",)), target
         for i in range(12):
             for j in range(i, 12):
                 s = list(target)
@@ -172,6 +172,30 @@ def test_find_and_trim_outputs(spark):
         P.find_and_trim(reads, wanted, P.FindOptions(notes={"x": "y"}))
 
 
+def test_find_settings(spark):
+    from readloom.sources.tables import read_settings
+
+    text = """FIND:
+  Allowed_Mismatch_Bases: 1
+  Include_Reverse_Version_Of_Search_Sequence: false
+TRIM:
+  Remove_Pre_Text_In_Output: true
+  Replace_Found_Text_With_Search_Sequence: true
+  Add_Pre_Text_To_FastQ_Annotation_With_Following_Key: uid
+  Leading_Quality_Trim_Threshold: 5
+"""
+    o = P.find_options(read_settings(text))
+    assert (o.mismatches, o.orientations, o.keep_before, o.keep_after, o.keep_found, o.replace_found, o.notes, o.leading_quality) == (1, ("FWD", "RVS_CMP", "CMP"), False, True, False, True, {"before": "uid"}, 5)
+    assert P.find_options({}) == P.FindOptions()
+    rows = [(1, "single", "p", "AC"), (2, "multiple", "p", "AC"), (2, "multiple", "q", "GG"), (3, "none", None, "TT"), (4, "skipped", None, "N")]
+    found = spark.createDataFrame(rows, "read_index long, status string, primary_id string, seq string").withColumn("qual", F.lit("I"))
+    files = lambda **k: sorted((r.read_index, r.file) for r in P.routed(found, **k).collect())
+    assert files() == [(1, "match"), (2, "multiple"), (2, "multiple"), (3, "no_match")]
+    assert files(multiple="no_match", none="exclude") == [(1, "match"), (2, "no_match")] and files(multiple="exclude", none="match") == [(1, "match"), (3, "match")]
+    with pytest.raises(ValueError, match="output"):
+        P.routed(found, multiple="x")
+
+
 def test_paired_files(spark):
     rows = [(f, i, n) for f, names in {"a": "xyz", "b": "xyz", "c": "xzy", "d": "x", "e": "q", "f": "q", "g": "q"}.items() for i, n in enumerate(names)]
     df = spark.createDataFrame(rows, "path string, read_index int, name string")
