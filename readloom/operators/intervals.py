@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readloom.functions.text import natural_key
+from readloom.operators.statistics import places
 from readloom.session import materialize
 
 #: Positions of one tile; groups are cut into tiles so that a hot one is spread over tasks.
@@ -186,3 +187,14 @@ def neighbours(df: DataFrame, container: str, start: str, stop: str, *, previous
         F.col("c").alias(container), (sign * F.col("s")).alias(start), (sign * F.col("e")).alias(stop), F.when(gone, F.col("t.c")).otherwise(F.col("c")).alias("to_container"),
         (sign * F.when(gone, F.col("t.f.s")).otherwise(F.col("ns"))).alias("to_start"), (sign * F.when(gone, F.col("t.f.e")).otherwise(F.col("ne"))).alias("to_stop"),
     )
+
+
+def sorted_features(df: DataFrame, container: str, start: str, stop: str) -> DataFrame:
+    """Distinct features (container, start, stop) with their place from 1 on in natural container order, and the starts before and after in their container.
+
+    Features are put in order by range partitions; the neighbours of a container come from a window over it.
+    """
+    f = df.select(F.col(container).alias("container"), F.col(start).alias("start"), F.col(stop).alias("stop")).dropna().distinct()
+    w = W.partitionBy("container").orderBy("start", "stop")
+    near = f.withColumn("start_before", F.lag("start").over(w)).withColumn("start_after", F.lead("start").over(w)).withColumn("key_", natural_key("container"))
+    return places(near, ["key_", "container", "start", "stop"]).drop("key_")

@@ -133,6 +133,11 @@ def excluding(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
     return rows.join(names.select(key).dropna().distinct(), key, "left_anti")
 
 
+def names_of(assignments: DataFrame, probes: DataFrame) -> DataFrame:
+    """(read_name, probe_id): the distinct names assigned to the asked probes (probe_id); looked up, not listed by probe."""
+    return assignments.select("read_name", "probe_id").dropna().join(probes.select("probe_id").distinct(), "probe_id", "left_semi").distinct()
+
+
 def best_candidates(scored: DataFrame) -> DataFrame:
     """(read_index, probe_id, matches, edits) of the one best candidate per read; reads with tied best ones drop out.
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readloom.functions import cigar as C
 from readloom.functions import sequence as S
 from readloom.functions import text as X
+from readloom.operators import intervals
 from readloom.operators.checks import checked_files
 from readloom.operators.checks import input_report as report
 from readloom.operators.statistics import places
@@ -149,19 +149,13 @@ def numbered_lines(spark, sf):
 # --- sorted positions, windows and alignment strings
 
 
-@query("""with f as (select distinct lower(trim(container_name)) as container, chrom_start as start, chrom_end as stop from features where chrom_start is not null and chrom_end is not null)
+@query("""with f as (select distinct lower(trim(container_name)) as container, chrom_start as start, chrom_end as stop from features where chrom_start is not null and chrom_end is not null and container_name is not null)
 select *, row_number() over (order by case when regexp_matches(container, '[0-9]') then 0 else 1 end, try_cast(regexp_extract(container, '[0-9]+') as int), container, start, stop) as place,
  lag(start) over w as start_before, lead(start) over w as start_after from f window w as (partition by container order by start, stop)""")
 def sorted_features(spark, sf):
     """Distinct features in natural container order, with the starts before and after in their container."""
-    f = table(spark, sf, "features").select(F.lower(F.trim("container_name")).alias("container"), F.col("chrom_start").alias("start"), F.col("chrom_end").alias("stop")).where("start is not null and stop is not null").distinct()
-    w = W.partitionBy("container").orderBy("start", "stop")
-    local = f.withColumn("n", F.row_number().over(w)).withColumn("start_before", F.lag("start").over(w)).withColumn("start_after", F.lead("start").over(w))
-    # Places run on from container to container: only the containers' sizes are put in one order.
-    sizes = f.groupBy("container").agg(F.count(F.lit(1)).alias("size"))
-    order = W.orderBy(X.natural_key("container"), "container").rowsBetween(W.unboundedPreceding, -1)
-    before = sizes.select("container", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("before"))
-    return local.join(before, "container").select("container", "start", "stop", (F.col("before") + F.col("n")).alias("place"), "start_before", "start_after")
+    f = table(spark, sf, "features").select(F.lower(F.trim("container_name")).alias("c"), "chrom_start", "chrom_end").where("c is not null")
+    return intervals.sorted_features(f, "c", "chrom_start", "chrom_end").select("container", "start", "stop", "place", "start_before", "start_after")
 
 
 def _whole_mates(spark: SparkSession, sf: str) -> DataFrame:

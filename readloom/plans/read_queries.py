@@ -554,11 +554,11 @@ def mismatched_names(spark, sf):
     return pipeline.mismatched_names(li.where("l_linenumber < 5"), li.where("l_linenumber > 2"))
 
 
-@query(f"select distinct nullif(regexp_extract(read_name, '^[^ /]*'), '') as read_name from read2probe where {key('probe_id')} = (select min({key('probe_id')}) from read2probe)")
+@query(f"select distinct nullif(regexp_extract(read_name, '^[^ /]*'), '') as read_name from read2probe where nullif(regexp_extract(read_name, '^[^ /]*'), '') is not null and {key('probe_id')} = (select min({key('probe_id')}) from read2probe)")
 def assigned_names(spark, sf):
     """Distinct names assigned to the first probe, as a point lookup."""
     r = table(spark, sf, "read2probe").select(read_stem("read_name").alias("read_name"), code_key("probe_id").alias("probe_id"))
-    return r.join(r.agg(F.min("probe_id").alias("probe_id")), "probe_id").select("read_name").distinct()
+    return joins.names_of(r, r.agg(F.min("probe_id").alias("probe_id"))).select("read_name")
 
 
 @query()
