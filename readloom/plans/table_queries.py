@@ -242,12 +242,12 @@ def array_functions(spark, sf):
 
 @query("""with l as (select l_orderkey, list(l_quantity order by l_linenumber, l_quantity) as q from lineitem group by 1)
 select l_orderkey, list_concat(q, [0.0::double]) as joined, q[2:] as rest, list_filter(q, lambda x: x not in (5.0, 10.0)) as others,
-  flatten(list_transform(range(1, len(q) + 1), lambda i: list_transform(list_filter(range(1, len(q) + 1), lambda j: j <> i), lambda j: [q[i], q[j]]))) as twos from l""")
+  flatten(flatten(list_transform(range(1, len(q) + 1), lambda i: list_transform(list_filter(range(1, len(q) + 1), lambda j: j <> i), lambda j: [q[i], q[j]])))) as twos from l""")
 def array_helpers(spark, sf):
-    """Quantities of each order joined, without some places and values, and all ordered twos."""
+    """Quantities of each order joined, without some places and values, and all ordered twos, one after the other."""
     rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity")))
     q = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(rows.alias("r")).select("l_orderkey", F.col("r.l_quantity").alias("q"))
-    return q.select("l_orderkey", N.joined("q", F.array(F.lit(0.0))).alias("joined"), N.without_place("q", 0).alias("rest"), N.without_values("q", F.array(F.lit(5.0), F.lit(10.0))).alias("others"), N.permutations("q", 2).alias("twos"))
+    return q.select("l_orderkey", N.joined("q", F.array(F.lit(0.0))).alias("joined"), N.without_place("q", 0).alias("rest"), N.without_values("q", F.array(F.lit(5.0), F.lit(10.0))).alias("others"), F.flatten(N.permutations("q", 2)).alias("twos"))
 
 
 @query("""with h as (select *, lpad(hex(o_orderkey), 8, '0') as h from orders) select o_orderkey, h as big, h[7:8] || h[5:6] || h[3:4] || h[1:2] as little, -o_orderkey as back, format('{:,.2f}', o_totalprice) as price,
