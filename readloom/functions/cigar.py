@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from readloom.functions.sequence import chars, codes_match
+from readloom.functions.sequence import chars, codes_match, let
 
 
 def _col(c: Column | str) -> Column:
@@ -57,21 +57,20 @@ def mismatch_details(ref: Column | str, ops: Column | str) -> Column:
     """The MD string: counts of matches, reference bases at mismatches, '^' and the deleted bases, 0 between."""
     ref, ops = _col(ref), _col(ops)
     at = F.zip_with(chars(ref), chars(ops), lambda r, o: F.when(o == "=", "=").when(o == "X", F.concat(F.lit("X"), r)).when(o == "D", F.concat(F.lit("D"), r)).otherwise("|"))
-    flat = F.array_join(at, "")
-    tokens = F.regexp_extract_all(flat, F.lit(r"(=(?:\|*=)*|X.|(?:D.)+)"), F.lit(1))
-    text = F.transform(
-        tokens,
-        lambda t: F.when(t.startswith("="), F.length(F.replace(t, F.lit("|"), F.lit(""))).cast("string")).when(t.startswith("X"), F.substring(t, 2, 1)).otherwise(F.concat(F.lit("^"), F.regexp_replace(t, "D(.)", "$1"))),
-    )
-
-    def zero_before(i: Column) -> Column:
-        now = F.element_at(tokens, i + 1).startswith("=")
-        before = F.when(i > 0, F.element_at(tokens, F.greatest(i, F.lit(1))).startswith("=")).otherwise(F.lit(False))
-        return ~now & ~before
-
-    joined = F.array_join(F.transform(text, lambda t, i: F.when(zero_before(i), F.concat(F.lit("0"), t)).otherwise(t)), "")
-    end = F.when((F.size(tokens) > 0) & ~F.element_at(tokens, -1).startswith("="), F.concat(joined, F.lit("0"))).otherwise(joined)
-    return F.when(F.size(tokens) > 0, end).when(ref.isNotNull() & ops.isNotNull(), F.lit(""))
+    differs = "X.|(?:D.)+"
+
+    def matches(run: Column) -> Column:
+        return F.replace(run, F.lit("|"), F.lit(""))
+
+    def told(t: Column) -> Column:
+        return F.when(t.startswith("X"), F.substring(t, 2, 1)).otherwise(F.concat(F.lit("^"), F.regexp_replace(t, "D(.)", "$1")))
+
+    def joined(flat: Column) -> Column:
+        # A run of matches, empty ones too, stands before each mismatch or deletion and after the last one.
+        runs, tokens = F.split(flat, differs), F.regexp_extract_all(flat, F.lit(f"({differs})"), F.lit(1))
+        return F.array_join(F.zip_with(runs, tokens, lambda r, t: F.concat(F.length(matches(r)).cast("string"), F.coalesce(told(t), F.lit("")))), "")
+
+    return let({"flat": F.array_join(at, "")}, lambda v: F.when(matches(v["flat"]) != "", joined(v["flat"])).when(v["flat"].isNotNull(), F.lit("")))
 
 
 def pair_metrics(ref: Column | str, qry: Column | str) -> Column:

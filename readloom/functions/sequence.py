@@ -58,7 +58,8 @@ def mask(code: Column) -> Column:
 
 def codes_match(a: Column, b: Column) -> Column:
     """Equal codes match, and codes whose sets of nucleotides meet; a gap matches only a gap."""
-    return (a == b) | (mask(a).bitwiseAND(mask(b)) != 0)
+    plain = a.isin(*"ACGT") & b.isin(*"ACGT")  # the sets are looked up only for others
+    return (a == b) | (~plain & (mask(a).bitwiseAND(mask(b)) != 0))
 
 
 def complement(c: Column | str) -> Column:

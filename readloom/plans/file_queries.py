@@ -193,7 +193,7 @@ def mismatch_details(spark, sf):
     """MD strings of the mates laid side by side; runs of matches are written as so many 1s, as SQL has no run lengths."""
     p = _whole_mates(spark, sf).where("a != ''").select("read_index", F.translate("a", "N", "A").alias("a"), F.translate("b", "N", "A").alias("b"))
     md = C.mismatch_details("a", C.operations("a", "b"))
-    ones = F.array_join(F.transform(F.regexp_extract_all(md, F.lit("([0-9]+|[^0-9])"), F.lit(1)), lambda t: F.when(t.rlike("^[1-9]"), F.repeat(F.lit("1"), t.cast("int"))).otherwise(t)), "")
+    ones = F.array_join(F.transform(F.regexp_extract_all(md, F.lit("([1-9][0-9]*|[^1-9]+)"), F.lit(1)), lambda t: F.when(t.between("1", "9~"), F.repeat(F.lit("1"), t.cast("int"))).otherwise(t)), "")
     return p.select("read_index", ones.alias("marked"))
 
 

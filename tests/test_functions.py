@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,19 @@ def test_mismatch_details(spark, ops, ref, md):
     assert _details(ref, ops) == md
 
 
+def test_mismatch_details_of_long_reads(spark):
+    """Random operations, empty runs and null too; the time is in proportion to the length (before: minutes for these)."""
+    from readloom.operators.alignment import _details
+
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices("ACGTD", k=n)), "".join(rng.choices("=XDI", (9, 9, 1, 1), k=n))) for i, n in enumerate([*range(60), *[4000] * 20])] + [(80, None, "="), (81, "A", None)]
+    df = spark.createDataFrame(rows, "i int, ref string, ops string")
+    began = time.monotonic()
+    got = {r.i: r.md for r in df.select("i", C.mismatch_details("ref", "ops").alias("md")).collect()}
+    assert time.monotonic() - began < 30
+    assert got == {i: None if ref is None or ops is None else _details(ref, ops) for i, ref, ops in rows}
+
+
 def test_text(spark):
     got = one(
         spark, X.pad_left(L("ab"), 4, "0"), X.pad_left(L("abcde"), 4), X.nth_index(L("a.b.c"), ".", 2), X.nth_index(L("a.b"), ".", 2), X.is_numeric(L("1e3")), X.is_numeric(L("x")), X.count_matched(L("banana"), "an"),
