@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions.cigar import expanded
-from readloom.functions.sequence import chars
+from readloom.functions.sequence import chars, let
 
 _COLUMNS = (
     "name string, flag int, container string, start long, mapq int, cigar string, mate_container string, mate_start long, insert_size long, seq string, qual string, tags map<string,string>"
@@ -217,40 +217,44 @@ def consistency(alignments: DataFrame, reference: Column) -> DataFrame:
     nm: NM isn't the mismatches, inserted and deleted bases; reference_n: the reference has an N, nothing else is looked at.
     Clipped bases take no part.
     """
-    ops = expanded("cigar")
-    read = F.length(F.regexp_replace(ops, "[^MIS=X]", ""))
-    body = F.regexp_replace(ops, "[HSP]", "")
-    first = F.length(F.regexp_extract(ops, "^H*(S*)", 1))
-    seq = F.substring(F.col("seq"), first + 1, F.length(F.regexp_replace(body, "[^MI=X]", "")))
+
+    def count(text: Column, other: str) -> Column:
+        return F.length(F.regexp_replace(text, other, ""))
+
     # MD as one letter a column of the reference: '=' as the read, a base where it differs, a small one where it's deleted.
-    parts = F.regexp_extract_all("md", F.lit("([0-9]+|[A-Za-z]|\\^[A-Za-z]+)"), F.lit(1))
-    said = F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.repeat(F.lit("="), p.cast("int"))).when(p.startswith("^"), F.lower(F.substring(p, 2, 1 << 20))).otherwise(F.upper(p))), "")
-    # The columns that take up reference: the read's base there, or '-' where it is deleted.
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, o: Column) -> Column:
-        base = F.substring(seq, acc["at"] + 1, F.lit(1))
-        return F.when(o == "I", F.struct(acc["out"].alias("out"), (acc["at"] + 1).alias("at"))).when(o.isin("D", "N"), F.struct(F.concat(acc["out"], F.lit("-")).alias("out"), acc["at"].alias("at"))).otherwise(
-            F.struct(F.concat(acc["out"], base).alias("out"), (acc["at"] + 1).alias("at"))
+    parts = F.regexp_extract_all("md", F.lit("([0-9]+|\\^[A-Za-z]+|[A-Za-z](?:0*[A-Za-z])*)"), F.lit(1))
+    said = F.array_join(F.transform(parts, lambda p: F.when(p.startswith("^"), F.lower(F.substring(p, 2, 1 << 20))).when(p < "A", F.repeat(F.lit("="), p.cast("int"))).otherwise(F.upper(F.translate(p, "0", "")))), "")
+
+    def step(seq: Column, acc: Column, p: Column) -> Column:
+        """One part of the CIGAR more: the read's bases in the columns that take up reference, or '-' where they are deleted."""
+        n, o = F.regexp_extract(p, "^[0-9]+", 0).cast("int"), F.right(p, F.lit(1))
+        return (
+            F.when(o == "I", F.struct(acc["out"].alias("out"), (acc["at"] + n).alias("at")))
+            .when(o.isin("D", "N"), F.struct(F.concat(acc["out"], F.repeat(F.lit("-"), n)).alias("out"), acc["at"].alias("at")))
+            .when(o.isin("H", "S", "P"), acc)
+            .otherwise(F.struct(F.concat(acc["out"], F.substring(seq, acc["at"] + 1, n)).alias("out"), (acc["at"] + n).alias("at")))
         )
 
-    under = F.aggregate(chars(body), start, step)["out"]
-    x = alignments.withColumn("x_", F.struct(ops.alias("ops"), read.alias("read"), said.alias("said"), under.alias("under"), reference.alias("ref")))
-    said, under, ref = F.col("x_.said"), F.col("x_.under"), F.upper("x_.ref")
-    deleted = F.length(F.regexp_replace(said, "[^a-z]", "")) == F.length(F.regexp_replace(under, "[^-]", ""))
-    columns = F.length(F.regexp_replace(F.col("x_.ops"), "[^MDN=X]", ""))
-    same_length = (F.length(said) == columns) & (F.length(under) == columns) & deleted
-    built = F.array_join(F.zip_with(chars(said), chars(under), lambda m, r: F.when(m == "=", r).otherwise(F.upper(m))), "")
-    edits = F.length(F.regexp_replace(said, "=", "")) + F.length(F.regexp_replace(F.col("x_.ops"), "[^I]", ""))
-    clean = ~ref.contains("N")
-    md = F.col("md").isNotNull()
-    issues = F.array_compact(
-        F.array(
-            F.when(~clean, "reference_n"), F.when(clean & (F.col("x_.read") != F.length("seq")), "cigar_length"), F.when(clean & ~md, "no_md"), F.when(clean & md & ~same_length, "md_length"),
-            F.when(clean & md & same_length & (F.upper(built) != ref), "md_reference"), F.when(clean & md & same_length & ~F.col("nm").eqNullSafe(edits), "nm"),
-        )
-    )
-    return x.withColumn("issues", issues).drop("x_")
+    def under(v: Column) -> Column:
+        first = F.length(F.regexp_extract(v["ops"], "^H*(S*)", 1))
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+        return let({"seq": F.substring(v["seq"], first + 1, count(v["ops"], "[^MI=X]"))}, lambda s: F.aggregate(v["parts"], start, lambda acc, p: step(s["seq"], acc, p))["out"])
+
+    def issues(v: Column, under: Column) -> Column:
+        said, clean, md = v["said"], ~v["ref"].contains("N"), v["md"].isNotNull()
+        deleted = count(said, "[^a-z]") == count(under, "[^-]")
+        columns = count(v["ops"], "[^MDN=X]")
+        same_length = (F.length(said) == columns) & (F.length(under) == columns) & deleted
+        built = F.array_join(F.zip_with(chars(said), chars(under), lambda m, r: F.when(m == "=", r).otherwise(m)), "")
+        edits = F.length(F.replace(said, F.lit("="), F.lit(""))) + count(v["ops"], "[^I]")
+        return let({"same": same_length}, lambda s: F.array_compact(F.array(
+            F.when(~clean, "reference_n"), F.when(clean & (count(v["ops"], "[^MIS=X]") != F.length(v["seq"])), "cigar_length"), F.when(clean & ~md, "no_md"), F.when(clean & md & ~s["same"], "md_length"),
+            F.when(clean & md & s["same"] & (F.upper(built) != v["ref"]), "md_reference"), F.when(clean & md & s["same"] & ~v["nm"].eqNullSafe(edits), "nm"),
+        )))
+
+    # Each value is computed once a row: plans repeat what lambdas or several conditions refer to.
+    values = {"ops": expanded("cigar"), "parts": F.regexp_extract_all("cigar", F.lit("([0-9]+[^0-9])"), F.lit(1)), "seq": F.col("seq"), "said": said, "md": F.col("md"), "nm": F.col("nm"), "ref": F.upper(reference)}
+    return alignments.withColumn("issues", let(values, lambda v: let({"under": under(v)}, lambda u: issues(v, u["under"]))))
 
 
 def _bgzf(raw: bytes) -> bytes:

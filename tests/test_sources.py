@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,6 +165,28 @@ def test_consistency(spark):
     assert got == {i: r[5] for i, r in enumerate(rows)}
 
 
+def test_consistency_of_long_reads(spark):
+    """Random operations within clips, right, with another NM, a base too many or another reference; the time is in proportion to the length (before: minutes for these)."""
+    from readloom.operators.alignment import _details, _summary
+
+    rng, rows = random.Random(5), []
+    for i, n in enumerate([*range(1, 61), *[16_000] * 8]):
+        ops = "".join(rng.choices("=XID", (200, 20, 1, 1), k=n)) + "="
+        ref = ["-" if o == "I" else rng.choice("ACGT") for o in ops]
+        read = "".join(r if o == "=" else {"A": "C", "C": "G", "G": "T", "T": "A", "-": "A"}[r] for r, o in zip(ref, ops, strict=True) if o != "D")
+        under = "".join(ref).replace("-", "")
+        if i % 4 == 3:
+            under = {"A": "C", "C": "G", "G": "T", "T": "A"}[under[0]] + under[1:]
+        cigar = "2H3S" + _summary(ops.replace("=", "M").replace("X", "M")) + "1S"
+        issues = [[], ["nm"], ["cigar_length"], ["md_reference"]][i % 4]
+        rows.append((i, cigar, "NNN" + read + "A" * (2 if i % 4 == 2 else 1), _details("".join(ref), ops), sum(o != "=" for o in ops) + (i % 4 == 1), under, issues))
+    df = spark.createDataFrame(rows, "i int, cigar string, seq string, md string, nm int, under string, want array<string>")
+    began = time.monotonic()
+    got = A.consistency(df, F.col("under")).collect()
+    assert time.monotonic() - began < 30
+    assert len(got) == len(rows) and all(r.issues == r.want for r in got)
+
+
 def test_changes_of_a_folder(spark, tmp_path):
     from readloom.streaming import files
 
