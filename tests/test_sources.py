@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gzip
 import random
+import struct
 import time
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +155,61 @@ def test_sam_and_bam(spark, tmp_path):
     assert [r.name for r in A.sorted_by_name(sam, sam.where("name = 'r2'")).collect()] == ["r1", "r1"]
 
 
+def _bam_of(spark, path, n, long=0):
+    """A BAM file of n reads, `long` of which are longer than a split, and its reads."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(n):
+        k = 200_000 if i < long else rng.randrange(1, 60)
+        rows.append((f"r{i}", 65, f"chr{i % 3}", 1 + i % 500, 60, f"{k}M", "*", 0, 0, "".join(rng.choices("ACGTNRM=", k=k)), "".join(map(chr, rng.choices(range(33, 73), k=k))), {"NM": str(i % 7), "RG": "g\u00e9"}))
+    df = spark.createDataFrame(rows, A._COLUMNS).withColumn("mate", F.lit(1))
+    A.write_bam(df, path, [(f"chr{i}", 10_000) for i in range(3)], A.header_lines([(f"chr{i}", 10_000) for i in range(3)]))
+    return sorted(map(str, df.drop("mate", "tags").collect()))
+
+
+@pytest.mark.parametrize(("split", "long"), [("4k", 0), ("70k", 0), ("300k", 3), ("128m", 0)])
+def test_bam_in_splits(spark, tmp_path, split, long):
+    """A BAM file is read by as many tasks as it has splits, in whichever its records begin and end (before: by one)."""
+    path = str(tmp_path / "a.bam")
+    want = _bam_of(spark, path, 12_000, long)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        bam = A.read_bam(spark, path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(map(str, bam.select(*[c.split()[0] for c in A._COLUMNS.split(", ")][:11]).collect())) == want
+    assert {tuple(r) for r in bam.select("nm", "rg").distinct().collect()} == {(i, "g\u00e9") for i in range(7)}
+    tasks = bam.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks >= (1 if split == "128m" else 3) and "union" not in bam._jdf.queryExecution().toString().lower()  # not as a whole
+
+
+def test_bam_otherwise_packed(spark, tmp_path):
+    """Plain gzip members, the mark of a block within one by chance, files of both kinds together, and broken ones."""
+    path = str(tmp_path / "a.bam")
+    want = _bam_of(spark, path, 300)
+    content = b"".join(c for _, _, c in A.gzip_blocks((tmp_path / "a.bam").read_bytes()))
+    cols = [c.split()[0] for c in A._COLUMNS.split(", ")][:11]
+    many = tmp_path / "many"
+    many.mkdir()
+    _write(many / "gzip b.bam", gzip.compress(content[:5000]) + gzip.compress(content[5000:]))
+    _write(many / "c.bam", (tmp_path / "a.bam").read_bytes())
+    stored = zlib.compressobj(0, zlib.DEFLATED, -15)
+    n, text = struct.unpack_from("<i", content, 4)[0], b"@CO\t" + A._MARK + b"\n"
+    marked = content[:4] + struct.pack("<i", n + len(text)) + content[8 : 8 + n] + text + content[8 + n :]
+    body = stored.compress(marked[:60_000]) + stored.flush()
+    member = struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(marked[:60_000]), len(marked[:60_000]))
+    assert member.count(A._MARK) == 2
+    _write(many / "d.bam", member + A._bgzf(marked[60_000:]) + A._bgzf(b""))
+    assert sorted(map(str, A.read_bam(spark, str(many)).select(*cols).collect())) == sorted(want * 3)
+    good = (tmp_path / "a.bam").read_bytes()
+    assert len(content) < 65_280
+    for k, (bad, why) in enumerate([(good[:-40], "cut off"), (good[:200] + bytes([good[200] ^ 1]) + good[201:], "decompress"), (A._bgzf(content[:-7]) + A._bgzf(b""), "cut off"), (b"no BAM", "no gzip"), (A._bgzf(b"no BAM"), "not a BAM")]):
+        with pytest.raises(Exception, match=why):
+            A.read_bam(spark, _write(tmp_path / f"bad{k}.bam", bad)).collect()
+
+
 def test_consistency(spark):
     """Clips, an insertion and a deletion: read TT|ACG.G.TA|C over reference ACGTACCC."""
     rows = [
