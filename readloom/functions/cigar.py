@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from readloom.functions.sequence import chars, codes_match, let
+from readloom.functions.sequence import both_plain, chars, codes_match, let
 
 
 def _col(c: Column | str) -> Column:
@@ -14,7 +14,7 @@ def _col(c: Column | str) -> Column:
 
 def operations(ref: Column | str, qry: Column | str) -> Column:
     """One letter a column: '=' match, 'I' gap in the reference, 'D' gap in the query, 'X' mismatch."""
-    per = F.zip_with(chars(ref), chars(qry), lambda r, q: F.when(codes_match(r, q), "=").when(r == "-", "I").when(q == "-", "D").otherwise("X"))
+    per = F.zip_with(chars(ref), chars(qry), lambda r, q: F.when(r == q, "=").when(both_plain(r, q), "X").when(codes_match(r, q), "=").when(r == "-", "I").when(q == "-", "D").otherwise("X"))
     return F.array_join(per, "")
 
 

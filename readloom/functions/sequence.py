@@ -58,8 +58,12 @@ def mask(code: Column) -> Column:
 
 def codes_match(a: Column, b: Column) -> Column:
     """Equal codes match, and codes whose sets of nucleotides meet; a gap matches only a gap."""
-    plain = a.isin(*"ACGT") & b.isin(*"ACGT")  # the sets are looked up only for others
-    return (a == b) | (~plain & (mask(a).bitwiseAND(mask(b)) != 0))
+    return (a == b) | (~both_plain(a, b) & (mask(a).bitwiseAND(mask(b)) != 0))
+
+
+def both_plain(a: Column, b: Column) -> Column:
+    """Whether each is one of A, C, G and T, which match only themselves: the sets need looking up only for others."""
+    return a.isin(*"ACGT") & b.isin(*"ACGT")
 
 
 def complement(c: Column | str) -> Column:

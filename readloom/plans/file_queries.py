@@ -336,11 +336,11 @@ select read_index, case when w = 1 then ['cigar_length', 'md_length', 'md_refere
 def alignment_consistency(spark, sf):
     """What is wrong with alignments of mate two to mate one: nothing, a longer CIGAR, another NM, or another reference base, by read index."""
     w = F.col("read_index") % 4
-    p = _whole_mates(spark, sf).where("length(a) > 2").select("read_index", F.translate("a", "N", "A").alias("a"), F.translate("b", "N", "A").alias("b"))
-    md = C.mismatch_details("a", C.operations("a", "b"))
+    p = _whole_mates(spark, sf).where("length(a) > 2").select("read_index", F.translate("a", "N", "A").alias("a"), F.translate("b", "N", "A").alias("b")).withColumn("ops", C.operations("a", "b"))
+    md, differing = C.mismatch_details("a", "ops"), F.length(F.replace("ops", F.lit("="), F.lit("")))
     first = F.substring("a", 1, 1)
     x = p.select(
-        "read_index", F.col("b").alias("seq"), F.concat((F.length("a") + F.when(w == 1, 1).otherwise(0)).cast("string"), F.lit("M")).alias("cigar"), md.alias("md"), (S.mismatches("a", "b") + F.when(w == 2, 1).otherwise(0)).alias("nm"),
+        "read_index", F.col("b").alias("seq"), F.concat((F.length("a") + F.when(w == 1, 1).otherwise(0)).cast("string"), F.lit("M")).alias("cigar"), md.alias("md"), (differing + F.when(w == 2, 1).otherwise(0)).alias("nm"),
         F.when(w == 3, F.concat(F.translate(first, "ACGT", "CGTA"), F.substring(F.col("a"), F.lit(2), F.length("a")))).otherwise(F.col("a")).alias("reference"),
     )
     return A.consistency(x, F.col("reference")).select("read_index", "issues")
