@@ -127,6 +127,8 @@ def _bam_records(raw: bytes, at: int, names: list[str]) -> Iterator[tuple[int, t
     full, n = len(raw), {-1: "*"} | dict(enumerate(names))
     while at + 36 <= full:
         size, ref, pos, l_name, mapq, _, n_ops, flag, l_seq, m_ref, m_pos, insert = _FIXED.unpack_from(raw, at)
+        if size < 32:
+            raise ValueError(f"no BAM record of {size} bytes")
         end, p = at + 4 + size, at + 36
         if end > full:
             return

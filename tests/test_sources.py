@@ -204,8 +204,10 @@ def test_bam_otherwise_packed(spark, tmp_path):
     _write(many / "d.bam", member + A._bgzf(marked[60_000:]) + A._bgzf(b""))
     assert sorted(map(str, A.read_bam(spark, str(many)).select(*cols).collect())) == sorted(want * 3)
     good = (tmp_path / "a.bam").read_bytes()
+    A.write_bam(spark.createDataFrame([], A._COLUMNS).withColumn("mate", F.lit(1)), str(tmp_path / "none.bam"), [("chr1", 9)], A.header_lines([("chr1", 9)]))
+    assert A.read_bam(spark, str(tmp_path / "none.bam")).count() == 0 and A.read_bam(spark, [path, path]).count() == 2 * len(want)
     assert len(content) < 65_280
-    for k, (bad, why) in enumerate([(good[:-40], "cut off"), (good[:200] + bytes([good[200] ^ 1]) + good[201:], "decompress"), (A._bgzf(content[:-7]) + A._bgzf(b""), "cut off"), (b"no BAM", "no gzip"), (A._bgzf(b"no BAM"), "not a BAM")]):
+    for k, (bad, why) in enumerate([(good[:-40], "cut off"), (good[:200] + bytes([good[200] ^ 1]) + good[201:], "decompress"), (A._bgzf(content[:-7]) + A._bgzf(b""), "cut off"), (b"no BAM", "no gzip"), (A._bgzf(b"no BAM"), "not a BAM"), (A._bgzf(content + b"\0" * 40), "no BAM record")]):
         with pytest.raises(Exception, match=why):
             A.read_bam(spark, _write(tmp_path / f"bad{k}.bam", bad)).collect()
 
